@@ -225,6 +225,6 @@ def contrast_snr(directions: DataFrame, by: Sequence[str] = (), ddof: int = 0) -
     return directions.groupBy(*by).agg(
         F.avg("magnitude").alias("mean_diff_mag"),
         spread.alias("std_diff_mag"),
-        (F.avg("magnitude") / spread).alias("snr"),
+        F.try_divide(F.avg("magnitude"), spread).alias("snr"),
         F.count(F.lit(1)).alias("n_subj"),
     )

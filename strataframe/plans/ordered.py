@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 HOT_ROWS = 4_000_000
 
@@ -51,7 +51,7 @@ def with_ranges(
     )
     fixed = df.sparkSession.createDataFrame(
         [tuple(r[c] for c in part) + ([float(b) for b in r["_bounds"]],) for r in found],
-        schema.add("_bounds", "array<double>"),
+        T.StructType([*schema.fields, T.StructField("_bounds", T.ArrayType(T.DoubleType()))]),
     )
     cut = (
         df.join(F.broadcast(fixed), part, "left")

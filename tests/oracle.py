@@ -65,7 +65,7 @@ if __name__ == "__main__":
     from workload import QUERIES, SQL
 
     sf = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
-    wanted = sys.argv[2:] or list(QUERIES)
+    wanted = [q for q in QUERIES if not sys.argv[2:] or q in sys.argv[2:] or QUERIES[q].__module__.split(".")[-1] in sys.argv[2:]]
     spark = session.build("local[8]", 8, **{"spark.driver.memory": "12g"})
     spark.sparkContext.setLogLevel("ERROR")
     con = duck(sf)
