@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, functions as F
 
 
@@ -9,6 +11,14 @@ def as_double(vec: Column | str) -> Column:
     return F.col(vec).cast("array<double>") if isinstance(vec, str) else vec.cast("array<double>")
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Evaluate ``value`` once per row and use it inside ``body``.
+
+    Column expressions are substituted, not stored: captured in a lambda they would be computed for every element.
+    """
+    return F.transform(F.array(value), body)[0]
+
+
 def total(vec: Column) -> Column:
     return F.aggregate(vec, F.lit(0.0), lambda acc, v: acc + v)
 
@@ -38,7 +48,7 @@ def subtract(a: Column, b: Column) -> Column:
 
 
 def scale(a: Column, factor: Column) -> Column:
-    return F.transform(a, lambda v: v * factor)
+    return let(factor, lambda f: F.transform(a, lambda v: v * f))
 
 
 def unit(a: Column, eps: float = 0.0) -> Column:
@@ -51,8 +61,8 @@ def cosine(a: Column, b: Column, eps: float = 1e-12) -> Column:
 
 def variance_pop(a: Column) -> Column:
     """Two-pass population variance of the elements of one array."""
-    mu = mean(a)
-    return F.aggregate(F.transform(a, lambda v: (v - mu) * (v - mu)), F.lit(0.0), lambda acc, v: acc + v) / F.size(a)
+    squares = let(mean(a), lambda mu: F.aggregate(a, F.lit(0.0), lambda acc, v: acc + (v - mu) * (v - mu)))
+    return squares / F.size(a)
 
 
 def pad_right(a: Column, length: int) -> Column:

@@ -53,17 +53,26 @@ def rank_auc(
         )
         value = (F.col("_s") - F.col("_p") * (F.col("_p") + 1.0) / 2.0) / (F.col("_p") * F.col("_q"))
     else:
-        folded = df.groupBy(*keys, score).agg(
+        folded = df.groupBy(*keys, F.col(score).alias("_score")).agg(
             F.count_if(F.col(label) == 1).cast("double").alias("_pos"),
             F.count_if(F.col(label) == 0).cast("double").alias("_neg"),
         )
-        rows = running(folded, keys, [score], {"_upto": F.col("_neg")}, rank=None, hot_rows=hot_rows)
-        sums = rows.groupBy(*keys).agg(
-            F.sum(F.col("_pos") * (F.col("_upto") - F.col("_neg") / 2.0)).alias("_s"),
-            F.sum("_pos").alias("_p"),
-            F.sum("_neg").alias("_q"),
-        )
-        value = F.col("_s") / (F.col("_p") * F.col("_q"))
+        return auc_from_counts(folded, keys, hot_rows)
+    return _auc(sums, keys, value)
+
+
+def auc_from_counts(folded: DataFrame, keys: Sequence[str], hot_rows=HOT_ROWS) -> DataFrame:
+    """AUC from ``keys, _score, _pos, _neg``: one row per distinct score with its class counts; ties count half."""
+    rows = running(folded, keys, ["_score"], {"_upto": F.col("_neg")}, rank=None, hot_rows=hot_rows)
+    sums = rows.groupBy(*keys).agg(
+        F.sum(F.col("_pos") * (F.col("_upto") - F.col("_neg") / 2.0)).alias("_s"),
+        F.sum("_pos").alias("_p"),
+        F.sum("_neg").alias("_q"),
+    )
+    return _auc(sums, keys, F.col("_s") / (F.col("_p") * F.col("_q")))
+
+
+def _auc(sums: DataFrame, keys: Sequence[str], value: Column) -> DataFrame:
     empty = (F.col("_p") == 0) | (F.col("_q") == 0)
     return sums.select(*keys, F.when(empty, 0.5).otherwise(value).alias("auc"), F.col("_p").cast("bigint").alias("n_pos"), F.col("_q").cast("bigint").alias("n_neg"))
 

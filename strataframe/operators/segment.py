@@ -135,10 +135,9 @@ def apply_epoch_scaler(epochs: DataFrame, scaler: DataFrame, keys: Sequence[str]
 
 def zscore_arrays(epochs: DataFrame, vec: str = "x", clamp: float = 15.0) -> DataFrame:
     """Per-epoch z-score on arrays."""
-    mu, sd = A.mean(F.col(vec)), F.sqrt(A.variance_pop(F.col(vec))) + 1e-8
-    timed = epochs.withColumn("_mu", mu).withColumn("_sd", sd)
-    z = F.transform(vec, lambda v: A.clamp((v - F.col("_mu")) / F.col("_sd"), clamp))
-    return timed.withColumn(vec, z).drop("_mu", "_sd")
+    scale = F.struct(A.mean(F.col(vec)).alias("mu"), (F.sqrt(A.variance_pop(F.col(vec))) + 1e-8).alias("sd"))
+    z = A.let(scale, lambda s: F.transform(vec, lambda v: A.clamp((v - s["mu"]) / s["sd"], clamp)))
+    return epochs.withColumn(vec, z)
 
 
 # ---- epochs around markers -----------------------------------------------------------------------------------------------

@@ -489,7 +489,7 @@ def replicate_statistics(replicates: DataFrame) -> DataFrame:
 def custom_statistics(replicates: DataFrame, stat: Callable[[pd.DataFrame], float]) -> DataFrame:
     """A user statistic per replicate: ``stat`` sees the (few) label rows of one replicate. A draw that raises is NaN."""
 
-    def one(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         try:
             value = float(stat(pdf))
         except (ValueError, ZeroDivisionError, ArithmeticError):
