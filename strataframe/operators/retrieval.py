@@ -16,21 +16,21 @@ from ..contracts import BROADCAST_LIMIT, ContractError, fits_broadcast
 from ..functions import arrays as A
 
 
-def _unit_rows(column: pd.Series) -> np.ndarray:
+def unit_rows(column: pd.Series) -> np.ndarray:
     m = np.stack(column.to_numpy()).astype(float)
     return m / (np.linalg.norm(m, axis=1, keepdims=True) + 1e-12)
 
 
-def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+def best_ids(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """The k largest per row, smaller id first on ties; ``ids`` ascending."""
     order = np.argsort(-scores, axis=1, kind="stable")[:, :k]
     return ids[order], np.take_along_axis(scores, order, axis=1)
 
 
-def _local_gallery(gallery: DataFrame, gid: str, vec: str):
+def local_gallery(gallery: DataFrame, gid: str, vec: str):
     rows = gallery.select(F.col(gid).alias("id"), A.as_double(vec).alias("v")).orderBy("id").collect()
     ids = np.array([r["id"] for r in rows])
-    return ids, _unit_rows(pd.Series([r["v"] for r in rows]))
+    return ids, unit_rows(pd.Series([r["v"] for r in rows]))
 
 
 def _width(df: DataFrame, vec: str) -> int:
@@ -71,14 +71,14 @@ def top_k(
         return pd.DataFrame({"qid": qids, "hits": hits})
 
     if fits_broadcast(gallery, 8 * _width(gallery, vec) + 16, limit):
-        shared = spark.sparkContext.broadcast(_local_gallery(gallery, gid, vec))
+        shared = spark.sparkContext.broadcast(local_gallery(gallery, gid, vec))
 
         def scan(batches):
             ids, g = shared.value
             for pdf in batches:
                 for start in range(0, len(pdf), 1024):
                     part = pdf.iloc[start : start + 1024]
-                    yield pack(part["qid"].to_numpy(), *_best(_unit_rows(part["v"]) @ g.T, ids, k))
+                    yield pack(part["qid"].to_numpy(), *best_ids(unit_rows(part["v"]) @ g.T, ids, k))
 
         packed = query.select(F.col(qid).alias("qid"), A.as_double(vec).alias("v")).mapInPandas(scan, schema)
     else:
@@ -87,10 +87,10 @@ def top_k(
             if not len(q) or not len(g):
                 return pd.DataFrame({"qid": [], "hits": []})
             g = g.sort_values("id")
-            gv, ids, out = _unit_rows(g["v"]), g["id"].to_numpy(), []
+            gv, ids, out = unit_rows(g["v"]), g["id"].to_numpy(), []
             for start in range(0, len(q), 1024):
                 part = q.iloc[start : start + 1024]
-                out.append(pack(part["qid"].to_numpy(), *_best(_unit_rows(part["v"]) @ gv.T, ids, k)))
+                out.append(pack(part["qid"].to_numpy(), *best_ids(unit_rows(part["v"]) @ gv.T, ids, k)))
             return pd.concat(out)
 
         packed = _tile_pairs(query, gallery, qid, gid, vec, tile).applyInPandas(tile_best, schema)
@@ -123,13 +123,13 @@ def correct_ranks(
     )
 
     def beaten(part: pd.DataFrame, ids: np.ndarray, g: np.ndarray) -> np.ndarray:
-        sims = _unit_rows(part["v"]) @ g.T
+        sims = unit_rows(part["v"]) @ g.T
         better = sims > part["target"].to_numpy()[:, None]
         better &= ids[None, :] != part["correct"].to_numpy()[:, None]
         return better.sum(axis=1)
 
     if fits_broadcast(gallery, 8 * _width(gallery, vec) + 16, limit):
-        shared = query.sparkSession.sparkContext.broadcast(_local_gallery(gallery, gid, vec))
+        shared = query.sparkSession.sparkContext.broadcast(local_gallery(gallery, gid, vec))
 
         def scan(batches):
             ids, g = shared.value
@@ -144,7 +144,7 @@ def correct_ranks(
     def tile_count(qs: pd.DataFrame, g: pd.DataFrame) -> pd.DataFrame:
         if not len(qs) or not len(g):
             return pd.DataFrame({"qid": qs["qid"] if len(qs) else [], "n": 0})
-        gv, ids = _unit_rows(g["v"]), g["id"].to_numpy()
+        gv, ids = unit_rows(g["v"]), g["id"].to_numpy()
         parts = [qs.iloc[s : s + 1024] for s in range(0, len(qs), 1024)]
         return pd.concat([pd.DataFrame({"qid": p["qid"].to_numpy(), "n": beaten(p, ids, gv)}) for p in parts])
 
