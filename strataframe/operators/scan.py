@@ -53,7 +53,7 @@ def scan_lines(
         "h.severity",
         "path",
         (F.col("_i") + 1).alias("line"),
-        F.substring(F.regexp_replace("_line", r"^\s+|\s+$", ""), 1, SNIPPET).alias("snippet"),
+        F.substring(F.regexp_replace("_line", r"^[\s\p{Z}]+|[\s\p{Z}]+$", ""), 1, SNIPPET).alias("snippet"),
     )
     if allow is not None:
         out = out.join(allow.select("kind", "path"), ["kind", "path"], "left_anti")

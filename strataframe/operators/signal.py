@@ -90,7 +90,7 @@ class FilterPlan:
     def gain(self, freqs: np.ndarray) -> np.ndarray:
         """Zero-phase power response: Butterworth edges and second-order notches, applied forward and backward."""
         g = np.ones_like(freqs)
-        with np.errstate(divide="ignore"):
+        with np.errstate(divide="ignore", over="ignore"):
             warped = np.tan(np.pi * np.minimum(freqs, self.sfreq / 2 * (1 - 1e-9)) / self.sfreq)
             edge = lambda f: np.tan(np.pi * f / self.sfreq)
             if self.highpass is not None and self.lowpass is not None:

@@ -29,6 +29,14 @@ def build(master: str | None = None, shuffle_partitions: int | None = None, **co
     return builder.getOrCreate()
 
 
+def configure(spark: SparkSession) -> SparkSession:
+    """Apply the settings a running session can still take."""
+    for key, value in SETTINGS.items():
+        if spark.conf.isModifiable(key):
+            spark.conf.set(key, value)
+    return spark
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Use the cluster's ``spark.checkpoint.dir``; a local folder only where none is set."""
     context = spark.sparkContext
