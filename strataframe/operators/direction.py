@@ -84,7 +84,7 @@ def _order_statistics(tiles: DataFrame, ranks: list[int], bins: int, passes: int
     for _ in range(passes):
         wanted = sorted({(lo, hi) for lo, hi, _ in spans.values()})
 
-        def count(pdf: pd.DataFrame, wanted=tuple(wanted)) -> pd.DataFrame:
+        def count(pdf: pd.DataFrame) -> pd.DataFrame:
             values = _tile_cosines(pdf)
             out = []
             for s, (lo, hi) in enumerate(wanted):

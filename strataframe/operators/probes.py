@@ -15,11 +15,16 @@ from pyspark.sql import DataFrame, Window, functions as F
 from ..contracts import ContractError
 from ..functions import arrays as A
 from ..plans.moments import cell_moments
+from ..plans.ordered import HOT_ROWS
 from ..plans.quantiles import exact_percentiles
 from . import metrics, sampling
 
+# Seeds of the canonical probe.
 SEEDS = (42, 123, 2024)
 
+# Up to this many rows the built-in percentile holds all values of a group; beyond, the bracketing plan is used.
+SMALL_ROWS = 200_000
+
 # ---- many binary logistic models in one pass per iteration -------------------------------------------------------------
 
 
@@ -66,7 +71,14 @@ def _newton(rows, n_models, clip, c, penalise_intercept, max_iter, tol) -> Model
     low = high = None
     if clip is not None:
         long = per_model.select("m", F.posexplode("x").alias("dim", "v"))
-        cut = exact_percentiles(long, ["m", "dim"], "v", [p / 100.0 for p in clip]).collect()
+        probs = [p / 100.0 for p in clip]
+        if rows.count() <= SMALL_ROWS:
+            each = long.groupBy("m", "dim").agg(F.percentile("v", probs).alias("q"))
+            cut = each.select("m", "dim", F.posexplode("q").alias("i", "q")).select(
+                "m", "dim", F.lit(probs)[F.col("i")].alias("p"), "q"
+            ).collect()
+        else:
+            cut = exact_percentiles(long, ["m", "dim"], "v", probs).collect()
         dims = 1 + max(r["dim"] for r in cut)
         low, high = np.zeros((n_models, dims)), np.zeros((n_models, dims))
         for r in cut:
@@ -265,7 +277,7 @@ def _fit_multiclass(train: DataFrame, test: DataFrame, kind: str, classes: int,
     train, test, n, width = _scaled(train, test)
     if kind == "linear":
         model = LogisticRegression(
-            labelCol="code", family="multinomial", maxIter=200, regParam=1.0 / n, standardization=False, tol=1e-6
+            labelCol="code", family="multinomial", maxIter=100, regParam=1.0 / n, standardization=False, tol=1e-5
         )
         if balanced:
             per = train.groupBy("code").agg((F.lit(float(n)) / F.count(F.lit(1))).alias("_w"))
@@ -493,7 +505,9 @@ def concept_probes(
         .join(seen, keys, "left")
         .select(*keys, F.lit(0.0).alias("_score"), (F.col("pos") - zero("_sp")).alias("_pos"), (F.col("neg") - zero("_sn")).alias("_neg"))
     )
-    auc = metrics.auc_from_counts(hits.unionByName(silent), keys)
+    # a group has at most one score per subject of its concept: count those, not the joined rows
+    crowded = concepts.groupBy("concept").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > HOT_ROWS)
+    auc = metrics.auc_from_counts(hits.unionByName(silent), keys, None if crowded.isEmpty() else HOT_ROWS)
     pair = F.struct(F.col("auc"), (F.col("n_pos") + F.col("n_neg")).alias("n"))
     both = auc.groupBy("feature", "concept").agg(
         F.max(F.when(F.col("split") == "train", pair)).alias("a"), F.max(F.when(F.col("split") == "test", pair)).alias("b")

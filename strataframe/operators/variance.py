@@ -642,7 +642,9 @@ def concentration(axes: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     whole = Window.partitionBy(*by)
     cum = axes.withColumn("rank", F.row_number().over(along)).withColumn(
         "cum",
-        F.sum("label_ss").over(along.rowsBetween(Window.unboundedPreceding, 0)) / F.sum("label_ss").over(whole),
+        F.try_divide(
+            F.sum("label_ss").over(along.rowsBetween(Window.unboundedPreceding, 0)), F.sum("label_ss").over(whole)
+        ),
     )
     live = F.sum("label_ss") > 0
 
@@ -674,7 +676,9 @@ def top_axes(axes: DataFrame, n: int = 20, by: Sequence[str] = ()) -> DataFrame:
         "rank",
         F.when(
             F.sum("label_ss").over(whole) > 0,
-            F.sum("label_ss").over(along.rowsBetween(Window.unboundedPreceding, 0)) / F.sum("label_ss").over(whole),
+            F.try_divide(
+                F.sum("label_ss").over(along.rowsBetween(Window.unboundedPreceding, 0)), F.sum("label_ss").over(whole)
+            ),
         )
         .otherwise(0.0)
         .alias("cum_fraction"),

@@ -27,7 +27,7 @@ def with_ranges(
 
     ``hot_rows=None`` skips the count for callers whose groups are bounded.
     """
-    if hot_rows is None:
+    if hot_rows is None or _clearly_small(df, hot_rows):
         return df.withColumn("_range", F.lit(0)), False
     part = list(part)
     key = key.cast("double")
@@ -61,6 +61,13 @@ def with_ranges(
     return cut, True
 
 
+def _clearly_small(df: DataFrame, hot_rows: int) -> bool:
+    """Whether the planner's size estimate leaves no room for a hot group, so that counting can be skipped. An estimate
+    that is too low costs parallelism, not correctness."""
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return int(str(size)) < 8 * hot_rows
+
+
 def running(
     df: DataFrame,
     part: Sequence[str],

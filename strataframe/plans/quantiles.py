@@ -2,7 +2,7 @@
 
 The built-in ``percentile`` keeps every distinct value of a group in one buffer. Here a quantile sketch first brackets
 each wanted order statistic (its rank error is bounded by 1/accuracy); a second pass counts the values below the bracket
-and keeps only those inside it.
+and keeps only those inside it. Groups of up to half the accuracy are kept whole.
 """
 
 from __future__ import annotations
@@ -18,7 +18,9 @@ def exact_percentiles(
     """``keys, p, q``: one row per group and probability. NULL and NaN values are ignored."""
     keys, probs = list(keys), [float(p) for p in probs]
     rows = df.select(*keys, F.col(value).cast("double").alias("_v")).where(~F.isnan("_v") & F.col("_v").isNotNull())
-    slack = 2.0 / accuracy
+    # sketch error, and one rank for the difference between its ranks and interpolated positions
+    slack = 4.0 / accuracy
+    whole = F.col("_n") <= accuracy // 2
     low = [max(0.0, p - slack) for p in probs]
     high = [min(1.0, p + slack) for p in probs]
     sketch = rows.groupBy(*keys).agg(
@@ -37,8 +39,8 @@ def exact_percentiles(
                     F.struct(
                         F.lit(p).alias("p"),
                         (F.lit(p) * (F.col("_n") - 1)).alias("pos"),
-                        (F.col("_min") if low[i] == 0.0 else F.col("_lo")[i]).alias("lo"),
-                        (F.col("_max") if high[i] == 1.0 else F.col("_hi")[i]).alias("hi"),
+                        (F.col("_min") if low[i] == 0.0 else F.when(whole, F.col("_min")).otherwise(F.col("_lo")[i])).alias("lo"),
+                        (F.col("_max") if high[i] == 1.0 else F.when(whole, F.col("_max")).otherwise(F.col("_hi")[i])).alias("hi"),
                     )
                     for i, p in enumerate(probs)
                 ]

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,14 +28,29 @@ def build(master: str | None = None, shuffle_partitions: int | None = None, **co
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     for key, value in {**SETTINGS, **conf}.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    return ship(builder.getOrCreate())
 
 
 def configure(spark: SparkSession) -> SparkSession:
-    """Apply the settings a running session can still take."""
+    """Apply the settings a running session can still take, and ship the package to its executors."""
     for key, value in SETTINGS.items():
         if spark.conf.isModifiable(key):
             spark.conf.set(key, value)
+    return ship(spark)
+
+
+def ship(spark: SparkSession) -> SparkSession:
+    """Send this package to the Python workers, once per context: tasks import it by name."""
+    context = spark.sparkContext
+    if getattr(context, "_strataframe_shipped", False):
+        return spark
+    package = Path(__file__).resolve().parent
+    bundle = Path(tempfile.mkdtemp(prefix="strataframe-")) / "strataframe.zip"
+    with zipfile.ZipFile(bundle, "w") as archive:
+        for source in sorted(package.rglob("*.py")):
+            archive.write(source, source.relative_to(package.parent))
+    context.addPyFile(str(bundle))
+    context._strataframe_shipped = True
     return spark
 
 
