@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
+from multiprocessing.pool import ThreadPool
 
 import numpy as np
 from pyspark.sql import DataFrame, Row, functions as F
@@ -43,21 +44,31 @@ def erasure_audit(features: DataFrame, config: AuditConfig | None = None, with_l
     erased = erasure.apply_eraser(features, eraser)
     width = len(eraser.mu)
     n_subjects = features.select("subject_id").distinct().count()
-    cap = config.subject_cap
-    before, _ = probes.subject_probe(features, "linear", cap)
-    after, _ = probes.subject_probe(erased, "linear", cap)
-    mlp = probes.subject_probe(erased, "mlp", cap)[0] if config.mlp else None
     raw = free = delta = np.array([NAN])
     labels = [r[0] for r in features.select("label").distinct().limit(3).collect()] if with_label else []
-    if len(labels) == 2:
-        recs = features.select("recording_id", "label").distinct().groupBy("label").count()
-        if recs.agg(F.min("count")).first()[0] >= 2:
-            a = probes.linear_probe(features, config.erasure_seeds, cv=config.erasure_cv).collect()
-            b = probes.linear_probe(erased, config.erasure_seeds, cv=config.erasure_cv).collect()
-            first, second = ({r["seed"]: r["balanced_accuracy"] for r in rows} for rows in (a, b))
-            raw = np.array([first[s] for s in first])
-            free = np.array([second[s] for s in first])
-            delta = free - raw
+    recs = features.select("recording_id", "label").distinct().groupBy("label").count()
+    probe_label = len(labels) == 2 and recs.agg(F.min("count")).first()[0] >= 2
+
+    def identity(table: DataFrame, kind: str):
+        return lambda: probes.subject_probe(table, kind, config.subject_cap)[0]
+
+    def label_scores(table: DataFrame):
+        rows = lambda: probes.linear_probe(table, config.erasure_seeds, cv=config.erasure_cv).collect()
+        return lambda: {r["seed"]: r["balanced_accuracy"] for r in rows()}
+
+    work = {"before": identity(features, "linear"), "after": identity(erased, "linear")}
+    if config.mlp:
+        work["mlp"] = identity(erased, "mlp")
+    if probe_label:
+        work.update(raw=label_scores(features), free=label_scores(erased))
+    # the probes are independent jobs: the scheduler interleaves them
+    with ThreadPool(len(work)) as threads:
+        done = dict(zip(work, threads.map(lambda job: job(), work.values())))
+    before, after, mlp = done["before"], done["after"], done.get("mlp")
+    if probe_label:
+        raw = np.array([done["raw"][k] for k in done["raw"]])
+        free = np.array([done["free"][k] for k in done["raw"]])
+        delta = free - raw
     gate = bool(raw.mean() >= config.erasure_gate)
     return {
         "erasure_rank_subject_axis": eraser.rank,

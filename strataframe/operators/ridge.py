@@ -26,15 +26,16 @@ class RidgeMap:
 
 
 def fit_ridge_map(train: DataFrame, alpha: float = 1000.0, x: str = "x", y: str = "y") -> RidgeMap:
-    """Multi-output ridge on standardised features (population deviation), intercept unpenalised."""
-    row = cell_moments(train, [], x).first()
-    n, mu = int(row["n"]), np.array(row["mean"])
-    sd = np.sqrt(np.array(row["within"]) / n)
+    """Multi-output ridge on standardised features (population deviation), intercept unpenalised: one pass for the means,
+    one for all products."""
+    xy = train.select(A.as_double(x).alias("_x"), F.concat(A.as_double(x), A.as_double(y)).alias("_xy"))
+    row = cell_moments(xy, [], "_xy", extra=[F.max(F.size("_x")).alias("d")]).first()
+    n, d, mean = int(row["n"]), int(row["d"]), np.array(row["mean"])
+    sd = np.sqrt(np.array(row["within"])[:d] / n)
     sd = np.where(sd > 0, sd, 1.0)
-    _, y_mean = mean_vector(train, y)
-    g, _, _ = gram(train, x, center_left=mu, scale_left=sd)
-    c, _, _ = gram(train, x, y, center_left=mu, center_right=y_mean, scale_left=sd)
-    return RidgeMap(mu, sd, y_mean, np.linalg.solve(g + alpha * np.eye(len(g)), c))
+    cross, _, _ = gram(xy, "_x", "_xy", center_left=mean[:d], center_right=mean, scale_left=sd)
+    g, c = cross[:, :d] / sd, cross[:, d:]
+    return RidgeMap(mean[:d], sd, mean[d:], np.linalg.solve(g + alpha * np.eye(d), c))
 
 
 def apply_ridge_map(df: DataFrame, model: RidgeMap, x: str = "x", out: str = "prediction") -> DataFrame:
@@ -76,12 +77,12 @@ def principal_map(train: DataFrame, n_components: int, x: str = "x") -> tuple[np
 
 
 def _ridge_paths(train: DataFrame, lambdas: Sequence[float], x: str, y: str):
-    row = train.select(F.avg(F.col(y).cast("double")).alias("m")).first()
-    y_mean = np.array([float(row["m"])])
-    _, mu = mean_vector(train, x)
-    g, _, _ = gram(train, x, center_left=mu)
-    one = train.select(x, F.array(F.col(y).cast("double")).alias("_y"))
-    c, _, _ = gram(one, x, "_y", center_left=mu, center_right=y_mean)
+    xy = train.select(A.as_double(x).alias("_x"), F.concat(A.as_double(x), F.array(F.col(y).cast("double"))).alias("_xy"))
+    _, mean = mean_vector(xy, "_xy")
+    d = len(mean) - 1
+    mu, y_mean = mean[:d], mean[d:]
+    cross, _, _ = gram(xy, "_x", "_xy", center_left=mu, center_right=mean)
+    g, c = cross[:, :d], cross[:, d:]
     values, vectors = np.linalg.eigh(g)
     turned = vectors.T @ c
     weights = np.hstack([vectors @ (turned / (values[:, None] + lam)) for lam in lambdas])

@@ -8,31 +8,33 @@ from pyspark.sql import DataFrame, functions as F
 
 # General patterns of the scan, hard kinds first. Patterns for particular people, places or storage roots
 # are built from the caller's own lists.
-EMAIL = ("email_pattern", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}")
-AUTHOR_TRAILER = ("git_author_real", r"Co-Authored-By:\s*(?!Anonymous)")
+EMAIL = ("email_pattern", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", "@")
+AUTHOR_TRAILER = ("git_author_real", r"Co-Authored-By:\s*(?!Anonymous)", "Co-Authored-By:")
 SOFT_PATTERNS = (
-    ("our_lab", r"\bour lab\b"),
-    ("our_group", r"\bour group\b"),
-    ("we_acknowledge", r"\bwe acknowledge\b"),
+    ("our_lab", r"\bour lab\b", "our lab"),
+    ("our_group", r"\bour group\b", "our group"),
+    ("we_acknowledge", r"\bwe acknowledge\b", "we acknowledge"),
 )
 
 SNIPPET = 200
 LINE_ENDS = r"\r\n|[\r\x0B\x0C\x1C-\x1E\x{85}\x{2028}\x{2029}]"
 
 
-def scan_patterns_for(names: Sequence[str] = (), roots: Sequence[str] = (), cited: Sequence[str] = ()) -> list[tuple[str, str, str]]:
-    """``(kind, severity, pattern)``: whole words for names, paths below storage roots, citations by author, and the
-    general patterns."""
-    hard = [(f"root_{i}", rf"\Q{r}\E[A-Za-z0-9_\-./]+") for i, r in enumerate(roots)]
-    hard += [(f"identifier_{n.lower()}", rf"\b\Q{n}\E\b") for n in names]
-    hard += [(f"citation_{n.lower()}", rf"\b\Q{n}\E et al") for n in cited]
+def scan_patterns_for(
+    names: Sequence[str] = (), roots: Sequence[str] = (), cited: Sequence[str] = ()
+) -> list[tuple[str, str, str, str]]:
+    """``(kind, severity, pattern, literal)``: whole words for names, paths below storage roots, citations by author, and
+    the general patterns. A line without the literal cannot match, so most lines never reach the pattern."""
+    hard = [(f"root_{i}", rf"\Q{r}\E[A-Za-z0-9_\-./]+", r) for i, r in enumerate(roots)]
+    hard += [(f"identifier_{n.lower()}", rf"\b\Q{n}\E\b", n) for n in names]
+    hard += [(f"citation_{n.lower()}", rf"\b\Q{n}\E et al", n) for n in cited]
     hard += [EMAIL, AUTHOR_TRAILER]
-    return [(k, "hard", p) for k, p in hard] + [(k, "soft", p) for k, p in SOFT_PATTERNS]
+    return [(k, "hard", p, q) for k, p, q in hard] + [(k, "soft", p, q) for k, p, q in SOFT_PATTERNS]
 
 
 def scan_lines(
     docs: DataFrame,
-    patterns: Sequence[tuple[str, str, str]],
+    patterns: Sequence[tuple[str, str, str, str]],
     path: str = "path",
     text: str = "text",
     allow: DataFrame | None = None,
@@ -44,9 +46,12 @@ def scan_lines(
     """
     whole = F.regexp_replace(F.col(text), LINE_ENDS, "\n")
     lines = docs.select(F.col(path).alias("path"), F.posexplode(F.split(whole, "\n", -1)).alias("_i", "_line"))
-    found = F.array_compact(
-        F.array(*[F.when(F.col("_line").rlike(p), F.struct(F.lit(k).alias("kind"), F.lit(s).alias("severity"))) for k, s, p in patterns])
-    )
+    line = F.col("_line")
+    tests = [
+        F.when(F.contains(line, F.lit(q)) & line.rlike(p), F.struct(F.lit(k).alias("kind"), F.lit(s).alias("severity")))
+        for k, s, p, q in patterns
+    ]
+    found = F.array_compact(F.array(*tests))
     hits = lines.select("path", "_i", "_line", F.explode(found).alias("h"))
     out = hits.select(
         "h.kind",

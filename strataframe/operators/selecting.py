@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..contracts import ContractError, require_empty, require_rows
 from ..functions.scalars import class_index, finite, sex_code, subject_number
@@ -133,14 +133,11 @@ def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> D
 
 
 def encode_labels(df: DataFrame, column: str, name: str = "label_code") -> DataFrame:
-    """Index of each distinct value in sorted order, from 0. The distinct values are the classes of a task."""
+    """Index of each distinct value in sorted order, from 0."""
     values = df.select(column).distinct()
-    codes = values.select(column, (F.row_number().over(Window.orderBy(column)) - 1).cast("int").alias(name))
-    return df.join(F.broadcast(codes) if _few(values) else codes, column)
-
-
-def _few(values: DataFrame, limit: int = 100_000) -> bool:
-    return values.limit(limit + 1).count() <= limit
+    text = values.schema[column].dataType.typeName() == "string"
+    codes = ranked(values, [], [column], name, key=text_key(F.col(column)) if text else None)
+    return df.join(codes.withColumn(name, (F.col(name) - 1).cast("int")), column)
 
 
 def stimulus_codes(paths: DataFrame, path: str = "path", extensions: Sequence[str] = (".jpg", ".jpeg", ".png", ".bmp", ".webp"), max_images: int | None = None, seed: int = 0, hot_rows=HOT_ROWS) -> DataFrame:

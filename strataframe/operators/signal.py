@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions import arrays as A
 from ..functions.scalars import finite
+from ..session import checkpoint
 
 # Defaults of the spectral fit.
 FIT_RANGE = (1.0, 45.0)
@@ -274,7 +275,8 @@ def spectral_ablate(epochs: DataFrame, sfreq: float, mode: str = "aperiodic_remo
         raise ValueError(f"unknown mode {mode!r}")
     keys = list(keys)
     if fit is None:
-        psd = welch_psd(epochs, sfreq, keys, vec=vec)
+        # read four times below, and small beside the epochs: one spectrum per channel and recording
+        psd = checkpoint(welch_psd(epochs, sfreq, keys, vec=vec))
         fit = aperiodic_fit(psd, keys, fit_range)
         peaks = spectral_peaks(psd, fit, keys, fit_range)
     if peaks is not None:

@@ -232,14 +232,13 @@ def variance_components(
 # ---- resampled sums: the shared kernel of bootstrap and permutation ---------------------------------------------------
 
 
-def _replicate_sums(cells: DataFrame, vectors: Sequence[str], scalars: Sequence[str], n_reps: int, groups: Sequence):
+def _replicate_sums(cells: DataFrame, vectors: Sequence[str], scalars: Sequence[str], n_reps: int, width: int):
     """Weighted sums of cell vectors and scalars per (replicate, group).
 
-    ``cells`` carries ``reps``: an array of ``(rep, grp, mult)``, at most one entry per replicate. Inside a task this
-    is one matrix product per batch; a task emits one row per (replicate, group), merged by a vector sum.
+    ``cells`` carries ``slot array<int>`` (replicate * width + group) and ``mult array<double>``, at most one entry per
+    replicate. Inside a task this is one matrix product per batch; a task emits one row per (replicate, group), merged
+    by a vector sum.
     """
-    index = {g: i for i, g in enumerate(groups)}
-    width = len(groups)
 
     def partial(batches):
         acc = None
@@ -250,18 +249,17 @@ def _replicate_sums(cells: DataFrame, vectors: Sequence[str], scalars: Sequence[
                     [np.stack(part[v].to_numpy()).astype(float) for v in vectors]
                     + [part[list(scalars)].to_numpy(dtype=float)]
                 )
+                slots = np.concatenate(part["slot"].to_numpy())
+                column = np.repeat(np.arange(len(part)), part["slot"].map(len))
                 weights = np.zeros((n_reps * width, len(part)))
-                for j, reps in enumerate(part["reps"]):
-                    for r in reps:
-                        weights[r["rep"] * width + index[r["grp"]], j] += r["mult"]
+                np.add.at(weights, (slots, column), np.concatenate(part["mult"].to_numpy()))
                 product = weights @ matrix
                 acc = product if acc is None else acc + product
         if acc is not None:
             flat = np.arange(n_reps * width)
             yield pd.DataFrame({"rep": (flat // width).astype("int32"), "g": flat % width, "s": list(acc)})
 
-    kept = cells.select(*vectors, *scalars, "reps")
-    parts = kept.mapInPandas(partial, "rep int, g long, s array<double>")
+    parts = cells.select(*vectors, *scalars, "slot", "mult").mapInPandas(partial, "rep int, g long, s array<double>")
     merged = parts.groupBy("rep", "g").agg(Summarizer.metrics("sum").summary(array_to_vector("s")).alias("s"))
     return merged.select("rep", "g", vector_to_array("s.sum").alias("s"))
 
@@ -329,13 +327,11 @@ def permanova(
     groups = [r[0] for r in subjects.select(label).distinct().orderBy(label).collect()]
     labels = permutation_labels(subjects.select(subject, label), n_perm, seed, subject, label)
     code = F.array_position(F.lit(groups), F.col(label)).cast("int") - 1
-    reps = labels.groupBy(subject).agg(
-        F.collect_list(
-            F.struct((F.col("perm") - 1).alias("rep"), code.alias("grp"), F.lit(1.0).alias("mult"))
-        ).alias("reps")
-    )
+    slot = ((F.col("perm") - 1) * len(groups) + code).cast("int")
+    reps = labels.groupBy(subject).agg(F.collect_list(slot).alias("slot"))
+    reps = reps.withColumn("mult", F.array_repeat(F.lit(1.0), n_perm))
     sized = subjects.select(subject, "z", F.col("n").cast("double").alias("n")).join(reps, subject)
-    sums = _replicate_sums(sized, ["z"], ["n"], n_perm, list(range(len(groups))))
+    sums = _replicate_sums(sized, ["z"], ["n"], n_perm, len(groups))
     weight = F.element_at("s", -1)
     body = F.slice("s", 1, F.size("s") - 1)
     per_rep = (
@@ -407,11 +403,8 @@ def bootstrap_replicates(
     drawn = position.join(picks, "pos", "left").drop("pos")
     groups = [r[0] for r in cells.select(label).distinct().orderBy(label).collect()]
     code = (F.array_position(F.lit(groups), F.col(label)) - 1).cast("int")
-    own = F.array(F.struct(F.lit(0).alias("rep"), code.alias("grp"), F.lit(1.0).alias("mult")))
-    others = F.transform(
-        F.coalesce("reps", F.array().cast("array<struct<boot:int,mult:double>>")),
-        lambda r: F.struct(r["boot"].alias("rep"), code.alias("grp"), r["mult"].alias("mult")),
-    )
+    picked = F.coalesce("reps", F.array().cast("array<struct<boot:int,mult:double>>"))
+    slot = F.transform(picked, lambda r: (r["boot"] * len(groups) + code).cast("int"))
     n = F.col("n").cast("double")
     rows = (
         cells.join(subjects, subject)
@@ -423,11 +416,12 @@ def bootstrap_replicates(
             F.col("within").alias("sw"),
             n.alias("n"),
             (F.lit(1.0) / F.col("_k")).alias("subjects"),
-            F.concat(own, others).alias("reps"),
+            F.concat(F.array(code), slot).alias("slot"),
+            F.concat(F.array(F.lit(1.0)), F.transform(picked, lambda r: r["mult"])).alias("mult"),
         )
     )
     vectors = ["sx", "sxx_cell", "sxx_subject", "sw"]
-    sums = _replicate_sums(rows, vectors, ["n", "subjects"], n_boot + 1, list(range(len(groups))))
+    sums = _replicate_sums(rows, vectors, ["n", "subjects"], n_boot + 1, len(groups))
     width = len(total["mean"])
     cut = [F.slice("s", 1 + i * width, width).alias(v) for i, v in enumerate(vectors)]
     level = F.element_at(F.lit(groups), (F.col("g") + 1).cast("int")).alias("label")

@@ -9,7 +9,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
+
+from .ordered import running
 
 
 def exact_percentiles(
@@ -58,8 +60,7 @@ def exact_percentiles(
         .groupBy(*keys, "p", "_v")
         .agg(F.count(F.lit(1)).alias("_c"))
     )
-    along = Window.partitionBy(*keys, "p").orderBy(F.col("_v").asc_nulls_first())
-    cum = counted.withColumn("_upto", F.sum("_c").over(along.rowsBetween(Window.unboundedPreceding, 0)))
+    cum = running(counted, [*keys, "p"], ["_v"], {"_upto": F.col("_c")}, rank=None)
     positions = wanted.select(*keys, "p", "pos")
     joined = cum.join(positions, [*keys, "p"])
     lower, upper = F.floor("pos"), F.ceil("pos")

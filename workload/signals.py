@@ -7,6 +7,7 @@ import math
 from pyspark.sql import functions as F
 
 from strataframe.operators import pooling as P, segment as S, signal as G
+from strataframe.session import checkpoint
 from strataframe.streaming import epochs as SE, sinks
 
 from .registry import query, rounded, table
@@ -89,7 +90,7 @@ def representative_recording(spark, sf):
 @query("spectral_ablation")
 def spectral_ablation(spark, sf):
     w = windows(spark, sf)
-    psd = G.welch_psd(w, RATE, ["recording_id"])
+    psd = checkpoint(G.welch_psd(w, RATE, ["recording_id"]))
     fit = G.aperiodic_fit(psd, ["recording_id"], (2.0, 30.0))
     peaks = G.spectral_peaks(psd, fit, ["recording_id"], (2.0, 30.0))
     return G.spectral_ablate(w, RATE, "both_removed", ["recording_id"], fit, peaks, (2.0, 30.0))
