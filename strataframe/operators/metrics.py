@@ -100,11 +100,10 @@ def seed_summary(df: DataFrame, value: str, by: Sequence[str] = (), seed: str =
     )
 
 
-def health_bands(alphas: DataFrame, by: Sequence[str], alpha: str = "alpha", exact_median: bool = True) -> DataFrame:
-    """Exponent summary per group: mean, median, range and the shares below 2, in 2..6 and above 6."""
+def _bands(alpha: str, exact_median: bool) -> list[Column]:
     a = F.col(alpha)
     median = F.percentile(a, 0.5) if exact_median else F.percentile_approx(a, 0.5, 10_000).cast("double")
-    return alphas.groupBy(*by).agg(
+    return [
         F.count(F.lit(1)).alias("n_matrices"),
         F.avg(a).alias("alpha_mean"),
         median.alias("alpha_median"),
@@ -112,8 +111,13 @@ def health_bands(alphas: DataFrame, by: Sequence[str], alpha: str = "alpha", exa
         F.max(a).alias("alpha_max"),
         F.avg((a < 2).cast("double")).alias("fraction_lt_2"),
         F.avg(((a >= 2) & (a <= 6)).cast("double")).alias("fraction_2_6"),
-        F.avg((a > 6).cast("double")).alias("fraction_gt_6"),
-    )
+    ]
+
+
+def health_bands(alphas: DataFrame, by: Sequence[str], alpha: str = "alpha", exact_median: bool = True) -> DataFrame:
+    """Exponent summary per group: mean, median, range and the shares below 2, in 2..6 and above 6."""
+    above = F.avg((F.col(alpha) > 6).cast("double")).alias("fraction_gt_6")
+    return alphas.groupBy(*by).agg(*_bands(alpha, exact_median), above)
 
 
 def block_of(longname: str | Column) -> Column:
@@ -125,12 +129,10 @@ def block_of(longname: str | Column) -> Column:
 def block_summary(alphas: DataFrame, by: Sequence[str], alpha: str = "alpha", weight: str = "log_norm") -> DataFrame:
     """``health_bands`` without the upper share, plus the weighted mean sum(alpha w) / sum(w), NaN when the weights
     cancel."""
-    bands = health_bands(alphas, by, alpha).drop("fraction_gt_6")
-    w = F.sum(weight)
-    weighted = alphas.groupBy(*by).agg(
-        F.coalesce(F.try_divide(F.sum(F.col(alpha) * F.col(weight)), w), F.lit(float("nan"))).alias("alpha_weighted_mean")
+    weighted = F.try_divide(F.sum(F.col(alpha) * F.col(weight)), F.sum(weight))
+    return alphas.groupBy(*by).agg(
+        *_bands(alpha, True), F.coalesce(weighted, F.lit(float("nan"))).alias("alpha_weighted_mean")
     )
-    return bands.join(weighted, list(by))
 
 
 def histogram(df: DataFrame, value: str, low: float, high: float, bins: int, by: Sequence[str] = ()) -> DataFrame:

@@ -51,14 +51,14 @@ def crossed_from_cells(cells: DataFrame, subject: str, label: str, by: Sequence[
         *by,
         "factor",
         "n",
-        "k",
+        "n_cells",
         A.total(F.col("between")).alias("ss"),
         (A.total(F.col("between")) + A.total(F.col("within"))).alias("total"),
     )
     wide = scalar.groupBy(*by).agg(
         F.max("n").alias("n_rows"),
-        F.max(F.when(F.col("factor") == "subject", F.col("k"))).alias("n_subjects"),
-        F.max(F.when(F.col("factor") == "label", F.col("k"))).alias("n_labels"),
+        F.max(F.when(F.col("factor") == "subject", F.col("n_cells"))).alias("n_subjects"),
+        F.max(F.when(F.col("factor") == "label", F.col("n_cells"))).alias("n_labels"),
         F.max(F.when(F.col("factor") == "label", F.col("total"))).alias("ss_total"),
         F.max(F.when(F.col("factor") == "label", F.col("ss"))).alias("ss_label"),
         F.max(F.when(F.col("factor") == "subject", F.col("ss"))).alias("ss_subject"),
@@ -103,7 +103,7 @@ def nested_ss(
 def nested_from_cells(cells: DataFrame, label: str = "label", by: Sequence[str] = ()) -> DataFrame:
     by = list(by)
     labels = pool(cells, [*by, label], sums=["within"])
-    labels = labels.withColumnRenamed("k", "n_subjects").withColumnRenamed("between", "swl")
+    labels = labels.withColumnRenamed("n_cells", "n_subjects").withColumnRenamed("between", "swl")
     top = pool(labels, by, sums=["within", "swl"], counts=["n_subjects"])
     return top.select(
         *by,
@@ -111,8 +111,8 @@ def nested_from_cells(cells: DataFrame, label: str = "label", by: Sequence[str]
         F.col("swl").alias("ss_subject"),
         F.col("within").alias("ss_residual"),
         A.add(A.add(F.col("between"), F.col("swl")), F.col("within")).alias("ss_total"),
-        (F.col("k") - 1).alias("df_label"),
-        (F.col("n_subjects") - F.col("k")).alias("df_subject"),
+        (F.col("n_cells") - 1).alias("df_label"),
+        (F.col("n_subjects") - F.col("n_cells")).alias("df_subject"),
         (F.col("n") - F.col("n_subjects")).alias("df_residual"),
         F.col("n").alias("n_rows"),
         "n_subjects",
@@ -381,7 +381,7 @@ def bootstrap_replicates(
     center = F.lit([float(v) for v in total["mean"]])
     cells = cell_moments(features, [subject, label], vec).withColumn("mean", A.subtract(F.col("mean"), center))
     subjects = pool(cells, [subject]).select(
-        subject, F.col("n").alias("_ns"), F.col("mean").alias("_ms"), F.col("k").alias("_k")
+        subject, F.col("n").alias("_ns"), F.col("mean").alias("_ms"), F.col("n_cells").alias("_k")
     )
     ids = subjects.select(subject)
     position = hash_ranked(ids, "position", [subject], name="pos")

@@ -114,3 +114,25 @@ def test_pairwise_cosine_paths_agree(spark, tile):
     assert D.mean_cosine(dirs).first()["mean_cosine"] == pytest.approx(upper.mean())
     few = D.direction_consistency(dirs.where("subject_id = 0")).first()
     assert np.isnan(few["c_bar"]) and few["n_subjects_paired"] == 1
+
+
+def test_cell_moments_paths_agree(spark):
+    from strataframe.plans import moments
+
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(500, 7)) + 1e3
+    s = np.where(rng.random(500) < 0.5, 0, rng.integers(0, 40, 500))
+    y = rng.integers(0, 2, 500)
+    df = table(spark, x, s, y, partitions=6).withColumn("name", F.when(F.col("subject_id") == 1, F.lit(None)).otherwise(F.concat(F.lit("s"), "subject_id")))
+    for keys in (["subject_id", "label"], ["name"], []):
+        a = moments.cell_moments(df, keys).toPandas()
+        b = moments.batch_cell_moments(df, keys).toPandas()
+        if keys:
+            a, b = (d.fillna({"name": ""}).sort_values(keys).reset_index(drop=True) if "name" in keys else d.sort_values(keys).reset_index(drop=True) for d in (a, b))
+            assert a[keys].equals(b[keys])
+        assert a.n.tolist() == b.n.tolist()
+        assert np.allclose(np.stack(a["mean"]), np.stack(b["mean"]), rtol=1e-12)
+        assert np.allclose(np.stack(a["within"]), np.stack(b["within"]), atol=1e-6)
+    ragged = spark.createDataFrame([(1, [1.0]), (1, [1.0, 2.0])], "k long, x array<double>").coalesce(1)
+    with pytest.raises(Exception, match="different width"):
+        moments.batch_cell_moments(ragged, ["k"]).collect()
