@@ -1,7 +1,6 @@
 """Streams against the batch operators on the same rows."""
 
 import numpy as np
-import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 

@@ -10,7 +10,7 @@ from strataframe.operators import pooling as P, segment as S, signal as G
 from strataframe.session import checkpoint
 from strataframe.streaming import epochs as SE, sinks
 
-from .registry import query, rounded, table
+from .registry import query, rounded
 from .sequences import SIGNAL, signal
 
 WIN = 32
