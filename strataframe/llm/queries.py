@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact, mixing, simhash
+from . import exact, lines, mixing, simhash
 from .common import LOWER, UPPER, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -57,3 +57,8 @@ FROM d WINDOW g AS (PARTITION BY h)""",
 )
 def op9_exact_dedup(spark, sf_dir):
     return exact.exact_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query("op10_line_dedup")
+def op10_line_dedup(spark, sf_dir):
+    return lines.line_dedup_report(table(spark, sf_dir, "documents"))
