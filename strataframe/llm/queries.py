@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact, lines, mixing, simhash
+from . import bpe, exact, lines, mixing, simhash
 from .common import LOWER, UPPER, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -23,6 +23,18 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+#: The vocabulary of op2 and of the pipeline.
+RANKS = "byte_bpe_multi_50k.tiktoken"
+
+
+@query("op2_byte_bpe")
+def op2_byte_bpe(spark, sf_dir):
+    import public_tokenizers
+
+    docs = table(spark, sf_dir, "documents")
+    return bpe.encode(docs, public_tokenizers.path(RANKS), public_tokenizers.PATTERN, digests=True)
+
+
 @query(
     "op3_source_mix",
     r"""WITH d AS (SELECT doc_id, source, md5(concat_ws(':', '42', doc_id)) AS k,
