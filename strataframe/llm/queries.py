@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact, lines, mixing, simhash
+from . import bpe, exact, language, lines, mixing, simhash
 from .common import LOWER, UPPER, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -23,6 +23,11 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+@query("op1_language_id")
+def op1_language_id(spark, sf_dir):
+    return language.identify(table(spark, sf_dir, "documents"))
+
+
 #: The vocabulary of op2 and of the pipeline.
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
