@@ -14,6 +14,9 @@ WORD = r"[^\x20\x09-\x0D]+"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
 
+#: With this setting the shuffle files of a query go when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 _stashed: list[tuple[SparkSession, str]] = []
 
 
@@ -45,11 +48,16 @@ def shared_folder(spark: SparkSession) -> str:
 def stash(df: DataFrame, name: str) -> DataFrame:
     """Write to the shared folder and read back: lineage ends there, so a lost executor repeats nothing before it.
 
-    The files go when the program ends or ``release`` is called.
+    What was shuffled for it is no longer needed and goes at once; the files go when the program ends or ``release`` is called.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/strataframe-{uuid.uuid4().hex}/{name}"
-    df.write.option("compression", "zstd").parquet(path)
+    kept = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, kept)
     _stashed.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 

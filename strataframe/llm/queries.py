@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, exact, language, lines, mixing, quality, simhash, urls
+from . import bpe, exact, language, lines, mixing, ngram_lm, quality, simhash, urls
 from .common import LOWER, UPPER, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -66,6 +66,24 @@ def op4_simhash(spark, sf_dir):
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+@query(
+    "op5_backoff_score",
+    rf"""WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x20\x09-\x0D]+') AS l FROM documents),
+  w AS (SELECT doc_id, unnest(l) AS b, generate_subscripts(l, 1) AS i FROM d),
+  p AS (SELECT *, lag(b) OVER (PARTITION BY doc_id ORDER BY i) AS a FROM w),
+  u AS (SELECT b, count(*) AS c, sum(count(*)) OVER () AS total FROM w GROUP BY b),
+  g AS (SELECT a, b, count(*) AS c FROM p WHERE a IS NOT NULL GROUP BY a, b HAVING count(*) >= 2),
+  s AS (SELECT p.doc_id, CASE WHEN p.a IS NULL THEN ln(u.c / u.total) WHEN g.c IS NULL THEN ln(0.4) + ln(u.c / u.total)
+    ELSE ln(g.c / x.c) END AS s FROM p JOIN u ON p.b = u.b LEFT JOIN u x ON p.a = x.b LEFT JOIN g ON p.a = g.a AND p.b = g.b)
+SELECT d.doc_id, count(s) AS n_words, round(coalesce(sum(s), 0), 4) AS log_score, round(sum(s) / nullif(count(s), 0), 6) AS mean_log_score
+FROM d LEFT JOIN s USING (doc_id) GROUP BY d.doc_id""",
+)
+def op5_backoff_score(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    scored = ngram_lm.score(docs, ngram_lm.count_ngrams(docs))
+    return scored.select("doc_id", "n_words", F.round("log_score", 4).alias("log_score"), F.round("mean_log_score", 6).alias("mean_log_score"))
+
+
 @query("op6_url_filter")
 def op6_url_filter(spark, sf_dir):
     return urls.judge(table(spark, sf_dir, "pages"))
