@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, exact, language, lines, mixing, ngram_lm, quality, simhash, urls
+from . import bpe, exact, language, lines, mixing, ngram_lm, quality, search, simhash, urls
 from .common import LOWER, UPPER, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -94,6 +94,25 @@ def op7_quality_vote(spark, sf_dir):
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+@query(
+    "op8_bm25_top_k",
+    rf"""WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x20\x09-\x0D]+') AS l FROM documents),
+  w AS (SELECT doc_id, t, count(*) AS tf FROM (SELECT doc_id, unnest(l) AS t FROM d) GROUP BY doc_id, t),
+  f AS (SELECT t, count(*) AS df FROM w GROUP BY t),
+  n AS (SELECT doc_id, len(l) AS dl, avg(len(l)) OVER () AS mean, count(*) OVER () AS total FROM d),
+  i AS (SELECT w.doc_id, w.t, tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / mean)) AS impact,
+    ln(1 + (total - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) AS idf FROM w JOIN n USING (doc_id) JOIN f USING (t)),
+  s AS (SELECT q.doc_id AS query_id, i.doc_id, round(sum(q.tf * i.idf * i.impact), 6) AS score FROM w q JOIN i USING (t)
+    WHERE q.doc_id % 20 = 0 GROUP BY q.doc_id, i.doc_id),
+  r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank, doc_id, score FROM s)
+SELECT query_id, rank, doc_id, score FROM r WHERE rank <= 10""",
+)
+def op8_bm25_top_k(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    queries = docs.where("doc_id % 20 = 0").select(F.col("doc_id").alias("query_id"), "text")
+    return search.top_k(docs, queries)
+
+
 @query(
     "op9_exact_dedup",
     f"""WITH d AS (SELECT doc_id, sha256(translate(coalesce(text, ''), '{UPPER}', '{LOWER}')) AS h FROM documents)
