@@ -8,6 +8,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 from itertools import islice
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F
@@ -18,6 +19,8 @@ KEEP_PIECES = 400_000
 KEEP_PAIRS = 2_000_000
 #: Texts up to this many characters are split at once, longer ones in runs of as many pieces.
 RUN = 1 << 18
+#: Ids that a task hands on at once (a longer text goes alone).
+OUT_TOKENS = 1 << 20
 
 
 class Vocabulary:
@@ -192,36 +195,40 @@ def encode(docs: DataFrame, path: str, pattern: str, digests: bool = False) -> D
     """
     data = read_file(path)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(data, pattern)
         decimal = [str(i) for i in range(len(encoder.vocabulary.tokens))]
         for batch in batches:
-            counts, firsts, seconds, arrays = [], [], [], []
+            counts, firsts, seconds = [], [], []
             for text in batch.column(1):
-                n, of_ids, of_bytes, comma, ids_out = 0, hashlib.sha256(), hashlib.sha256(), False, []
+                n, of_ids, of_bytes = 0, hashlib.sha256(), hashlib.sha256()
                 for ids in encoder.runs(text.as_py() or ""):
-                    if not ids:
-                        continue
-                    n += len(ids)
-                    if digests:
-                        of_ids.update(("," * comma + ",".join([decimal[i] for i in ids])).encode())
+                    if ids:
+                        of_ids.update(("," * (n > 0) + ",".join([decimal[i] for i in ids])).encode())
                         of_bytes.update(encoder.vocabulary.decode(ids))
-                        comma = True
-                    else:
-                        ids_out += ids
+                        n += len(ids)
                 counts.append(n)
                 firsts.append(of_ids.hexdigest())
                 seconds.append(of_bytes.hexdigest())
-                arrays.append(ids_out)
-            if digests:
-                columns = [pa.array(counts, pa.int64()), pa.array(firsts, pa.string()), pa.array(seconds, pa.string())]
-                yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-            else:
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(arrays, pa.list_(pa.int32()))], names=["doc_id", "ids"])
+            columns = [pa.array(counts, pa.int64()), pa.array(firsts, pa.string()), pa.array(seconds, pa.string())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = _encoder(data, pattern)
+        for batch in batches:
+            start, held, arrays = 0, 0, []
+            for at, text in enumerate(batch.column(1), 1):
+                parts = [np.array(ids, np.int32) for ids in encoder.runs(text.as_py() or "")]
+                arrays.append(np.concatenate(parts) if parts else np.zeros(0, np.int32))
+                held += len(arrays[-1])
+                if held >= OUT_TOKENS or at == batch.num_rows:
+                    ids = batch.column(0).slice(start, at - start)
+                    yield pa.RecordBatch.from_arrays([ids, pa.array(arrays, pa.list_(pa.int32()))], names=["doc_id", "ids"])
+                    start, held, arrays = at, 0, []
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     more = "n_tokens bigint, ids_sha256 string, decoded_sha256 string" if digests else "ids array<int>"
-    return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(run, f"doc_id {kind}, {more}")
+    return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(summed if digests else listed, f"doc_id {kind}, {more}")
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
