@@ -44,6 +44,12 @@ def ledoit_wolf_weight(cov: np.ndarray, n: int, quartic: float) -> float:
     return 0.0 if beta <= 0 or delta <= 0 else float(beta / delta)
 
 
+def _spectral_power(variances: np.ndarray, axes: np.ndarray, live: np.ndarray, exponent: float) -> np.ndarray:
+    """Power of a symmetric matrix on its live axes; zero on the others."""
+    kept = axes[:, live]
+    return kept @ np.diag(variances[live] ** exponent) @ kept.T
+
+
 def fit_whitening(features: DataFrame, shrinkage: bool = True, vec: str = "x") -> Whitening:
     """Square root and pseudo-inverse square root of the (shrunk) covariance; directions below 1e-8 of the largest
     standard deviation are dropped from the inverse."""
@@ -52,13 +58,11 @@ def fit_whitening(features: DataFrame, shrinkage: bool = True, vec: str = "x") -
     cov = scatter / n
     weight = ledoit_wolf_weight(cov, n, quartic) if shrinkage else 0.0
     cov = (1.0 - weight) * cov + weight * np.trace(cov) / len(cov) * np.eye(len(cov))
-    values, vectors = np.linalg.eigh(cov)
-    values = np.maximum(values, 0.0)
-    root = np.sqrt(values)
-    kept = root > 1e-8 * root.max() if root.max() > 0 else np.zeros(len(root), dtype=bool)
-    inverse = np.divide(1.0, root, out=np.zeros_like(root), where=kept)
-    cond = float(values[kept].max() / values[kept].min()) if kept.sum() >= 2 else float("inf")
-    return Whitening(n, mu, (vectors * inverse) @ vectors.T, (vectors * root) @ vectors.T, cond, weight)
+    variances, axes = np.linalg.eigh(cov)
+    live = variances > 1e-16 * max(variances[-1], 0.0)  # ascending, so the last is the largest
+    cond = float(variances[-1] / variances[live][0]) if live.sum() > 1 else float("inf")
+    half, minus_half = (_spectral_power(variances, axes, live, p) for p in (0.5, -0.5))
+    return Whitening(n, mu, minus_half, half, cond, weight)
 
 
 def fit_eraser(features: DataFrame, whitening: Whitening, subject: str = "subject_id", vec: str = "x") -> Eraser:

@@ -6,7 +6,7 @@ recording is gathered in one task. Per-recording results (mean spectra, fits) co
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from math import gcd
 
 import numpy as np
@@ -27,14 +27,20 @@ MAX_PEAKS = 6
 MIN_PEAK_HEIGHT = 0.1
 
 
+def _stacks(x: pd.Series) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of the rows of each length, and those rows as one matrix."""
+    sizes = x.map(len).to_numpy()
+    for size in np.unique(sizes):
+        places = np.flatnonzero(sizes == size)
+        yield places, np.stack(x.to_numpy()[places]).astype(float)
+
+
 def _by_length(x: pd.Series, fn: Callable[[np.ndarray], np.ndarray]) -> pd.Series:
     """Apply a batched function to rows of equal length together."""
-    out = pd.Series([None] * len(x), index=x.index, dtype=object)
-    for _, index in x.groupby(x.map(len)).groups.items():
-        done = fn(np.stack(x.loc[index].to_numpy()).astype(float))
-        for i, row in zip(index, done):
-            out.at[i] = row
-    return out
+    out = np.empty(len(x), dtype=object)
+    for places, rows in _stacks(x):
+        out[places] = list(fn(rows))
+    return pd.Series(out, index=x.index)
 
 
 # ---- resampling and filters ------------------------------------------------------------------------------------------
@@ -251,21 +257,32 @@ def spectral_peaks(psd: DataFrame, fit: DataFrame, keys: Sequence[str] = ("recor
     return ranks.where(F.col("peak") <= max_peaks).select(*keys, "peak", "cf", "amp", "bw")
 
 
-def ablate_rows(x: np.ndarray, sfreq: float, b: float, chi: float, peaks: Sequence, mode: str, low: float) -> np.ndarray:
-    """Whiten by the fitted 1/f envelope and/or take out Gaussian peak power, phase kept."""
-    n = x.shape[1]
-    freqs = np.fft.rfftfreq(n, 1.0 / sfreq)
-    spectrum = np.fft.rfft(x)
-    envelope = np.sqrt(10.0 ** (b - chi * np.log10(np.maximum(freqs, low))))
-    if mode in ("periodic_removed", "both_removed"):
-        bump = np.zeros_like(freqs)
-        for cf, amp, bw in peaks:
-            bump += envelope**2 * (10.0 ** (amp * np.exp(-((freqs - cf) ** 2) / (2.0 * (bw / 2.0) ** 2))) - 1.0)
-        flat = np.maximum(np.abs(spectrum) ** 2 / n - bump, 1e-16)
-        spectrum = np.sqrt(flat * n) * np.exp(1j * np.angle(spectrum))
-    if mode in ("aperiodic_removed", "both_removed"):
-        spectrum = spectrum / np.maximum(envelope, 1e-8)
-    return np.fft.irfft(spectrum, n)
+def spectral_gain(power: np.ndarray, freqs: np.ndarray, line: np.ndarray, peaks: np.ndarray, mode: str) -> np.ndarray:
+    """Real factor for each row and frequency that takes the fitted parts out of a spectrum.
+
+    ``line`` is log10 of the 1/f power (rows, frequencies), ``peaks`` centre, log10 height and width (rows, peaks, 3;
+    height 0 for none). Without its peaks a spectrum keeps the share of its power that the peaks do not explain, none
+    if they explain more than there is; without the 1/f part it is measured in units of it.
+    """
+    share = np.ones_like(power)
+    if mode != "aperiodic_removed":
+        centre, height, width = (peaks[:, :, i, None] for i in range(3))
+        rise = np.power(10.0, height * np.exp(-2.0 * ((freqs - centre) / np.where(width > 0, width, 1.0)) ** 2))
+        excess = np.power(10.0, line) * (rise.sum(axis=1) - peaks.shape[1])
+        share -= np.divide(excess, power, out=np.ones_like(power), where=power > 0)
+    if mode != "periodic_removed":
+        share *= np.power(10.0, -np.maximum(line, -16.0))
+    return np.sqrt(np.maximum(share, 0.0))
+
+
+def _peak_table(found: pd.Series) -> np.ndarray:
+    """(rows, peaks, 3) of lists of peaks, short and missing lists filled up with peaks of height 0."""
+    lists = [() if f is None else f for f in found]
+    out = np.zeros((len(lists), max(map(len, lists), default=0), 3))
+    for i, listed in enumerate(lists):
+        for j, peak in enumerate(listed):
+            out[i, j] = peak["cf"], peak["amp"], peak["bw"]
+    return out
 
 
 def spectral_ablate(epochs: DataFrame, sfreq: float, mode: str = "aperiodic_removed", keys: Sequence[str] = ("recording_id", "ch"), fit: DataFrame | None = None, peaks: DataFrame | None = None, fit_range: tuple[float, float] = FIT_RANGE, vec: str = "x") -> DataFrame:
@@ -288,13 +305,15 @@ def spectral_ablate(epochs: DataFrame, sfreq: float, mode: str = "aperiodic_remo
 
     @F.pandas_udf("array<double>")
     def apply(x: pd.Series, b: pd.Series, chi: pd.Series, bumps: pd.Series) -> pd.Series:
-        out = []
-        for row, level, slope, found in zip(x, b, chi, bumps):
-            if pd.isna(level):
-                out.append(row)
-                continue
-            listed = [] if found is None else [(p["cf"], p["amp"], p["bw"]) for p in found]
-            out.append(ablate_rows(np.asarray(row, dtype=float)[None], sfreq, level, slope, listed, mode, low)[0])
+        out, level, slope = x.to_numpy().copy(), b.to_numpy(float), chi.to_numpy(float)
+        fitted = np.flatnonzero(~np.isnan(level))
+        for within, rows in _stacks(x.iloc[fitted]):
+            places = fitted[within]
+            size = rows.shape[1]
+            freqs, spectrum = np.fft.rfftfreq(size, 1.0 / sfreq), np.fft.rfft(rows)
+            line = level[places, None] - slope[places, None] * np.log10(np.maximum(freqs, low))
+            gain = spectral_gain(np.abs(spectrum) ** 2 / size, freqs, line, _peak_table(bumps.iloc[places]), mode)
+            out[places] = list(np.fft.irfft(gain * spectrum, size))
         return pd.Series(out)
 
     joined = epochs.join(fit.select(*keys, "b", "chi", "_peaks"), keys, "left")

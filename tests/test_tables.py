@@ -24,14 +24,21 @@ def labels(df):
 
 
 def test_participants(spark, tmp_path):
-    a = write_tsv(
-        tmp_path / "a.tsv",
-        ["participant_id", "indication", "age"],
-        [["sub-1", "MDD", "30"], ["sub-2", " adhd", "20"], ["sub-1", "ADHD", "31"], ["sub-3", "HEALTHY", "40"], ["sub-4", "MDD ", "9"]],
-    )
-    assert labels(C.participant_labels(spark, a, ("MDD", "ADHD"))) == {1: 0, 2: 1, 4: 0}
-    b = write_tsv(tmp_path / "b.tsv", ["participant_id", "formal Dx"], [["sub-7", "ADHD"], ["8", "mdd"], ["sub-x", "MDD"]])
-    assert labels(C.participant_labels(spark, b, ("adhd", "mdd"), "formal Dx")) == {7: 0, 8: 1}
+    """The planted group decides the label: its place in the list of groups, whatever the case and blanks around it."""
+    groups, rng = ("alpha", "Beta"), np.random.default_rng(3)
+    spelled, want = [], {}
+    for subject in rng.choice(900, 40, replace=False):
+        kind = int(rng.integers(0, 3))
+        text = [" ALPHA", "beta  ", "gamma"][kind]
+        spelled.append([f"sub-{subject:03d}", "x", text])
+        if kind < 2:
+            want[int(subject)] = kind
+    first = next(s for s in spelled if s[2] != "gamma")
+    again = spelled + [[first[0], "x", "beta" if "ALPHA" in first[2] else "alpha"]]  # a second row of a subject does not count
+    table = write_tsv(tmp_path / "t.tsv", ["participant_id", "site", "arm"], again)
+    assert labels(C.participant_labels(spark, table, groups, "arm")) == want
+    odd = write_tsv(tmp_path / "odd.tsv", ["participant_id", "arm"], [["55", "alpha"], ["sub-none", "beta"]])
+    assert labels(C.participant_labels(spark, odd, groups, "arm")) == {55: 0}
 
 
 def test_stimulus_codes_and_schedule(spark):
@@ -137,8 +144,11 @@ def test_signs_and_roles(spark):
     assert one(spark, U.layer_flags(lit(0.62), lit(0.70), lit(0.2))) == "+early"
     assert one(spark, U.layer_flags(lit(0.40), lit(0.50), lit(0.9))) == "-deep"
     assert one(spark, U.layer_flags(lit(float("nan")), lit(0.5), lit(0.1))) == ""
-    assert one(spark, U.spectral_roles(lit(0.05), lit(0.06))) == "subject confound;state signal"
-    assert one(spark, U.spectral_roles(lit(0.01), lit(0.01))) == ""
+    for state in (0.0, 0.3):  # either role by itself, both, none: far from the thresholds
+        for subject in (0.0, 0.3):
+            roles = [r for r, drop in (("subject confound", subject), ("state signal", state)) if drop]
+            found = one(spark, U.spectral_roles(lit(state), lit(subject)))
+            assert sorted(filter(None, found.split(";"))) == sorted(roles)
     assert one(spark, U.leaderboard_verdict(lit(0.1), lit(0.5), lit(0.6), lit(0.6))) == "TRAP"
     assert one(spark, U.leaderboard_verdict(lit(0.1), lit(0.5), lit(0.6), lit(0.5))) == "identity-reliant"
     assert one(spark, U.leaderboard_verdict(lit(0.5), lit(0.1), lit(0.6), lit(0.5))) == "task-carried"
