@@ -7,7 +7,7 @@ there is one device, so its state is bounded by retention times sampling rate.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -30,21 +30,18 @@ def _seconds(ts: str | Column) -> Column:
     return F.unix_micros(F.col(ts) if isinstance(ts, str) else ts) / 1e6
 
 
-def _slots(first: Column, last: Column, width: float) -> Column:
-    return F.sequence(F.floor(first / width).cast("bigint"), F.floor(last / width).cast("bigint"))
-
-
 def join_epochs(samples: DataFrame, markers: DataFrame, tmin: float, tmax: float, delay: str = "10 minutes") -> DataFrame:
     """Samples in ``[onset + tmin, onset + tmax)`` of each marker, as a left outer interval join on event time.
 
-    A marker whose window stays empty comes out once with NULL samples when the watermark passes it. Code 0 is no
-    marker.
+    A marker has one time slot, that of its window's begin; a window is as wide as a slot, so each sample stands in its
+    own slot and in the one before. So the marker is one row of the outer join: one whose window stays empty comes out
+    once with NULL samples when the watermark passes it. Code 0 is no marker.
     """
     width = max(tmax - tmin, 1e-6)
-    s = samples.withWatermark("ts", delay).withColumn("slot", F.floor(_seconds("ts") / width).cast("bigint"))
-    at = _seconds("onset")
+    own = F.floor(_seconds("ts") / width).cast("bigint")
+    s = samples.withWatermark("ts", delay).withColumn("slot", F.explode(F.array(own, own - 1)))
     m = markers.where(F.col("code") != 0).withWatermark("onset", delay)
-    m = m.withColumn("slot", F.explode(_slots(at + tmin, at + tmax, width)))
+    m = m.withColumn("slot", F.floor((_seconds("onset") + tmin) / width).cast("bigint"))
     low = F.expr(f"INTERVAL {int(round(tmin * 1e6))} MICROSECOND")
     high = F.expr(f"INTERVAL {int(round(tmax * 1e6))} MICROSECOND")
     left, right = m.alias("m"), s.alias("s")
@@ -94,6 +91,14 @@ def epoch_rows(joined: DataFrame, max_gap: float | None = None) -> DataFrame:
     )
 
 
+def close_run(done: DataFrame, markers: DataFrame, tail: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Result of a bounded run with one row for every marker: ``done`` is what the stream has put out, and ``tail``
+    gives, as a batch, the rows of the markers that were still waiting when the input ended."""
+    keys = ["recording_id", "code", "onset"]
+    left = markers.where(F.col("code") != 0).join(done.select(*keys), keys, "left_anti")
+    return done.unionByName(tail(left).select(*done.columns))
+
+
 ASSEMBLED = (
     "recording_id long, code long, onset double, n_samples long, max_gap double, status string, "
     "ch array<string>, t array<double>, v array<double>"
@@ -112,10 +117,12 @@ def assemble_epochs(
 ) -> DataFrame:
     """Epochs from a retention buffer per recording, with a status for every marker.
 
-    A marker is settled once samples reach ``onset + tmax``: ``ok``, ``empty``, ``dropout`` or ``aged_out`` (the buffer
-    no longer reaches back to ``onset + tmin``). Later markers do not wait for earlier ones. Samples leave the buffer
-    ``retention`` seconds after the newest, but never while a pending marker needs them. When a recording falls silent
-    past the watermark its pending markers come out as ``not_ready``.
+    A marker is settled once its recording's samples and the watermark have reached ``onset + tmax``, so that samples
+    which arrive out of order within ``delay`` count however the input is cut into batches: ``ok``, ``empty``,
+    ``dropout`` or ``aged_out`` (the buffer no longer reaches back to ``onset + tmin``). Later markers do not wait for
+    earlier ones. Samples leave the buffer ``retention`` seconds behind the newest, but never while a pending marker
+    needs them. When a recording falls silent for ``retention`` past a marker's window, the marker comes out as
+    ``not_ready``. What still waits when a bounded run ends is finished by ``close_run``.
     """
     s = samples.select("recording_id", F.col("ts").alias("at"), "row_id", "ch", "v", F.lit(None).cast("bigint").alias("code"))
     m = markers.where(F.col("code") != 0).select(
@@ -158,49 +165,48 @@ def assemble_epochs(
     columns = ["recording_id", "code", "onset", "n_samples", "max_gap", "status", "ch", "t", "v"]
 
     def step(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rec = int(key[0])
+        rec, now = int(key[0]), state.getCurrentWatermarkMs() / 1000.0
         if state.exists:
             row_id, ch, t, v, code, onset, last = state.get
         else:
             row_id, ch, t, v, code, onset, last = [], [], [], [], [], [], float("-inf")
-        buf = pd.DataFrame({"row_id": list(row_id), "ch": list(ch), "t": list(t), "v": list(v)})
-        pending = list(zip(code, onset))
+        buffered = [pd.DataFrame({"row_id": row_id, "ch": ch, "t": t, "v": v})] if len(row_id) else []
+        marks = [pd.DataFrame({"code": code, "t": onset})] if len(code) else []
         if not state.hasTimedOut:
             for pdf in chunks:
-                fresh = pdf[pdf["code"].isna()]
-                if len(fresh):
-                    buf = pd.concat([buf, fresh[["row_id", "ch", "t", "v"]]]) if len(buf) else fresh[["row_id", "ch", "t", "v"]]
-                pending += [(int(r.code), float(r.t)) for r in pdf[pdf["code"].notna()].itertuples()]
-            buf = buf.sort_values(["t", "row_id"])
-        last = max(last, float(buf["t"].max())) if len(buf) else last
-        out, waiting = [], []
-        for c, at in sorted(pending, key=lambda p: p[1]):
-            ready = last >= at + tmax
-            if ready or state.hasTimedOut:
-                out.append(settle(rec, int(c), float(at), buf, ready))
-            else:
-                waiting.append((c, at))
+                fresh = pdf["code"].isna()
+                buffered.append(pdf.loc[fresh, ["row_id", "ch", "t", "v"]])
+                marks.append(pdf.loc[~fresh, ["code", "t"]])
+        buf = pd.concat(buffered, ignore_index=True) if buffered else pd.DataFrame({"row_id": [], "ch": [], "t": [], "v": []})
+        pending = pd.concat(marks, ignore_index=True) if marks else pd.DataFrame({"code": [], "t": []})
+        buf, pending = buf.sort_values(["t", "row_id"]), pending.sort_values(["t", "code"])
+        if len(buf):
+            last = max(last, float(buf["t"].iloc[-1]))
+        end = pending["t"].to_numpy(float) + tmax
+        ready = (end <= last) & (end <= now)
+        silent = ~ready & (end + retention <= now)
+        out = [
+            settle(rec, int(c), float(at), buf, bool(ok))
+            for c, at, ok in zip(pending["code"][ready | silent], pending["t"][ready | silent], ready[ready | silent])
+        ]
         if out:
             yield pd.DataFrame(out, columns=columns)
-        if state.hasTimedOut:
+        waiting = pending[~(ready | silent)]
+        keep_from = min(last - retention, now - retention, float(waiting["t"].min()) + tmin if len(waiting) else float("inf"))
+        buf = buf[buf["t"] >= keep_from]
+        if not len(waiting) and last + retention <= now:
             state.remove()
             return
-        floor = min([last - retention, *[at + tmin for _, at in waiting]])
-        buf = buf[buf["t"] >= floor]
         state.update(
             (
-                [int(i) for i in buf["row_id"]],
-                [str(c) for c in buf["ch"]],
-                [float(x) for x in buf["t"]],
-                [float(x) for x in buf["v"]],
-                [int(c) for c, _ in waiting],
-                [float(at) for _, at in waiting],
-                float(last),
-            )
+                buf["row_id"].astype("int64").tolist(), buf["ch"].astype(str).tolist(), buf["t"].tolist(), buf["v"].tolist(),
+                waiting["code"].astype("int64").tolist(), waiting["t"].tolist(), float(last),
+            )
         )
-        newest = max([last, *[at + tmax for _, at in waiting]])
-        horizon = int((newest + retention) * 1000)
-        state.setTimeoutTimestamp(max(horizon, state.getCurrentWatermarkMs() + 1))
+        # Called again when the watermark reaches the next window's end, or the end of its grace, or the buffer's.
+        ends = waiting["t"].to_numpy(float) + tmax
+        ahead = [x for x in (*ends, *(ends + retention), last + retention) if x > now and np.isfinite(x)]
+        state.setTimeoutTimestamp(max(int(min(ahead, default=now) * 1000), state.getCurrentWatermarkMs()) + 1)
 
     return events.groupBy("recording_id").applyInPandasWithState(
         step, ASSEMBLED, STATE, "append", GroupStateTimeout.EventTimeTimeout

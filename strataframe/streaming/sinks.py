@@ -3,25 +3,48 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 
 from ..session import ensure_checkpoint_dir
 
 
-def run_to_files(stream: DataFrame, name: str, mode: str = "append", timeout: int | None = None) -> DataFrame:
+def run_to_files(
+    stream: DataFrame, name: str, mode: str = "append", timeout: int | None = None, keys: Sequence[str] = ()
+) -> DataFrame:
     """Process everything the sources hold, write the result as Parquet in the shared checkpoint folder and read it back.
 
-    Append results go through the file sink. In update or complete mode each micro-batch replaces the last one's files.
+    Append results go through the file sink. In complete mode each micro-batch is a new version of the whole result.
+    In update mode it holds changed rows only: they replace the rows of the same ``keys`` in the last version. The
+    query's own state and the versions before the last are deleted at the end.
     """
+    if mode == "update" and not keys:
+        raise ValueError("update mode needs the keys by which rows replace each other")
     spark = stream.sparkSession
     ensure_checkpoint_dir(spark)
     base = f"{spark.sparkContext.getCheckpointDir()}/streams/{name}-{uuid.uuid4().hex}"
-    out = f"{base}/data"
+    versions: list[str] = []
+
+    def keep(batch: DataFrame, number: int) -> None:
+        path = f"{base}/data-{number}"
+        if mode == "update" and versions and versions[-1] != path:
+            old = batch.sparkSession.read.schema(stream.schema).parquet(versions[-1])
+            batch = old.join(batch.select(*keys), list(keys), "left_anti").select(*stream.columns).unionByName(batch)
+        batch.write.mode("overwrite").parquet(path)
+        versions.append(path)
+
     writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{base}/state").trigger(availableNow=True)
     if mode == "append":
-        started = writer.format("parquet").option("path", out).start()
+        versions.append(f"{base}/data")
+        started = writer.format("parquet").option("path", versions[0]).start()
     else:
-        started = writer.foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(out)).start()
+        started = writer.foreachBatch(keep).start()
     started.awaitTermination(timeout)
-    return spark.read.schema(stream.schema).parquet(out)
+    for path in (f"{base}/state", *versions[:-1]):
+        folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        if path != versions[-1]:
+            folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+    if not versions:
+        return spark.createDataFrame([], stream.schema)
+    return spark.read.schema(stream.schema).parquet(versions[-1])

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strataframe.operators import ridge, segment
-from strataframe.streaming import decode, epochs as S
+from strataframe.streaming import decode, epochs as S, sinks
 
 
 def run(spark, df, name, mode="append"):
@@ -124,3 +124,42 @@ def test_calibrate_decode_and_replay(spark, tmp_path, trials):
     live = decode.running_accuracy(decode.decode_stream(decode.read_replay(spark, path), saved, g, (1, 3)), (1, 3))
     final = run(spark, live, "accuracy", "complete").collect()[0]
     assert final["n_trials"] == 18 and final["top1"] == pytest.approx(batch["top1"])
+
+
+def test_join_has_one_null_row_for_an_empty_marker_and_none_for_others(spark):
+    samples, markers = frames(spark, [(1, 1, "c", 10.05, 1.0)], [(7, 1, 10.0), (8, 1, 50.0)])
+    rows = {c: [r["row_id"] for r in S.join_epochs(samples, markers, -0.2, 1.0).where(f"code = {c}").collect()] for c in (7, 8)}
+    assert rows == {7: [1], 8: [None]}
+
+
+@pytest.mark.parametrize("files", [1, 3, 10])
+def test_assembled_epochs_do_not_depend_on_how_the_input_is_cut(spark, tmp_path, files):
+    """Samples out of order within the delay count in whichever batch they come."""
+    rng = np.random.default_rng(5)
+    rows = ramp(300, rate=10.0)
+    jittered = sorted(rows, key=lambda r: r[3] + rng.uniform(0, 3))
+    size = -(-len(rows) // files)
+    marks = [(7, 1, 5.0), (8, 1, 12.5), (9, 1, 29.5), (3, 1, 0.0)]
+    s, m = str(tmp_path / "s"), str(tmp_path / "m")
+    for i in range(files):
+        part, own = frames(spark, jittered[i * size : (i + 1) * size], marks[i::files] or [(0, 1, 1.0)])
+        part.repartition(1).write.mode("append").parquet(s)
+        own.repartition(1).write.mode("append").parquet(m)
+    allowed = "60 seconds"
+    live = S.assemble_epochs(S.read_stream(spark, s, S.SAMPLES, 1), S.read_stream(spark, m, S.MARKERS, 1), -0.5, 1.0, delay=allowed)
+    done = sinks.run_to_files(live.drop("ch", "t", "v"), f"cut{files}")
+    _, stored = frames(spark, rows, marks)
+    seconds = spark.createDataFrame(rows, "row_id long, recording_id long, ch string, ts double, v double")
+    tail = lambda left: segment.epoch_summary(seconds, left, -0.5, 1.0, max_gap=0.15)
+    whole = S.close_run(done, stored.withColumn("onset", F.unix_micros("onset") / 1e6), tail)
+    got = {r["code"]: (r["n_samples"], r["status"]) for r in whole.collect()}
+    assert got == {7: (15, "ok"), 8: (15, "ok"), 9: (10, "not_ready"), 3: (10, "aged_out")}
+
+
+def test_update_sink_merges_by_key(spark, tmp_path):
+    for key, v in ((1, 1.0), (2, 5.0), (1, 2.0)):
+        spark.createDataFrame([(key, v)], "k long, v double").repartition(1).write.mode("append").parquet(str(tmp_path / "in"))
+    live = S.read_stream(spark, str(tmp_path / "in"), "k long, v double", 1).groupBy("k").agg(F.sum("v").alias("total"))
+    assert {r["k"]: r["total"] for r in sinks.run_to_files(live, "merged", "update", keys=["k"]).collect()} == {1: 3.0, 2: 5.0}
+    with pytest.raises(ValueError, match="keys"):
+        sinks.run_to_files(live, "merged", "update")

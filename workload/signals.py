@@ -11,7 +11,7 @@ from strataframe.session import checkpoint
 from strataframe.streaming import epochs as SE, sinks
 
 from .registry import query, rounded
-from .sequences import SIGNAL, signal
+from .sequences import MARKERS, SIGNAL, markers, signal
 
 WIN = 32
 RATE = 64.0
@@ -172,20 +172,55 @@ def stream_frozen_scaler(spark, sf):
     return rounded(out)
 
 
-@query("stream_joined_epochs")
+def _purchases(rows):
+    return rows.where(F.col("ch") == "purchase").select(F.col("row_id").alias("code"), "recording_id", F.col("ts").alias("onset"))
+
+
+def _stored(spark, sf):
+    return signal(spark, sf).withColumn("ts", F.timestamp_micros(F.round(F.col("ts") * 1e6).cast("bigint")))
+
+
+STREAMED = f"""{SIGNAL}, {MARKERS},
+l AS (SELECT *, lag(ts) OVER (PARTITION BY recording_id ORDER BY ts, row_id) AS prev,
+  lag(ts) OVER (PARTITION BY recording_id ORDER BY row_id) AS prev_row FROM s),
+sp AS (SELECT recording_id, min(ts) AS t0, max(ts) AS t1 FROM s GROUP BY recording_id),
+h AS (SELECT m.code, m.recording_id, m.onset, l.ts, l.v, CASE WHEN l.prev >= onset - 3600 THEN l.ts - l.prev END AS gap,
+  CASE WHEN l.prev_row >= onset - 3600 AND l.prev_row < onset + 86400 THEN l.ts - l.prev_row END AS row_gap
+  FROM m JOIN l ON l.recording_id = m.recording_id AND l.ts >= onset - 3600 AND l.ts < onset + 86400),
+g AS (SELECT code, count(*) AS n, avg(v) AS mean_v, max(gap) AS max_gap, max(row_gap) AS row_gap FROM h GROUP BY code)"""
+
+
+@query(
+    "stream_joined_epochs",
+    f"""WITH {STREAMED}
+SELECT recording_id, m.code, round(onset, 6) AS onset, coalesce(n, 0) AS n_samples, round(mean_v, 6) AS mean_v,
+  round(row_gap, 6) AS max_gap, CASE WHEN n IS NULL THEN 'empty' WHEN row_gap > 43200 THEN 'dropout' ELSE 'ok' END AS status
+FROM m LEFT JOIN g USING (code)""",
+)
 def stream_joined_epochs(spark, sf):
-    live = _live(spark, sf)
-    marks = _live(spark, sf).where(F.col("ch") == "purchase").select(F.col("row_id").alias("code"), "recording_id", F.col("ts").alias("onset"))
-    joined = SE.join_epochs(live, marks, -3600.0, 24 * 3600.0, "1 hour")
-    return rounded(sinks.run_to_files(SE.epoch_rows(joined, 12 * 3600.0).drop("samples"), "joined"))
+    def rows(samples, marks):
+        return SE.epoch_rows(SE.join_epochs(samples, marks, -3600.0, 24 * 3600.0, "1 hour"), 12 * 3600.0).drop("samples")
 
+    done = sinks.run_to_files(rows(_live(spark, sf), _purchases(_live(spark, sf))), "joined")
+    stored = _stored(spark, sf)
+    closed = SE.close_run(done, _purchases(stored), lambda left: rows(stored, left))
+    return rounded(closed.withColumn("onset", F.unix_micros("onset") / 1e6))
 
-@query("stream_assembled_epochs")
+
+@query(
+    "stream_assembled_epochs",
+    f"""WITH {STREAMED}
+SELECT recording_id, m.code, round(onset, 6) AS onset, coalesce(n, 0) AS n_samples, round(max_gap, 6) AS max_gap,
+  CASE WHEN t1 < onset + 86400 THEN 'not_ready' WHEN t0 > onset - 3600 THEN 'aged_out'
+  WHEN n IS NULL THEN 'empty' WHEN max_gap > 43200 THEN 'dropout' ELSE 'ok' END AS status
+FROM m LEFT JOIN g USING (code) LEFT JOIN sp USING (recording_id)""",
+)
 def stream_assembled_epochs(spark, sf):
     live = _live(spark, sf)
-    marks = _live(spark, sf).where(F.col("ch") == "purchase").select(F.col("row_id").alias("code"), "recording_id", F.col("ts").alias("onset"))
-    out = SE.assemble_epochs(live, marks, -3600.0, 24 * 3600.0, retention=72 * 3600.0, max_gap=12 * 3600.0, delay="1 hour")
-    return sinks.run_to_files(out.drop("ch", "t", "v"), "assembled")
+    out = SE.assemble_epochs(live, _purchases(_live(spark, sf)), -3600.0, 24 * 3600.0, retention=72 * 3600.0, max_gap=12 * 3600.0, delay="1 hour")
+    done = sinks.run_to_files(out.drop("ch", "t", "v"), "assembled")
+    samples = signal(spark, sf)
+    return rounded(SE.close_run(done, markers(spark, sf), lambda left: S.epoch_summary(samples, left, -3600.0, 24 * 3600.0, max_gap=12 * 3600.0)))
 
 
 @query(
