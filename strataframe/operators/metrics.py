@@ -45,7 +45,7 @@ def rank_auc(
     """
     keys = list(keys)
     if ties == "ordinal":
-        rows = ranked(df, keys, [score, order], "_rank", key=F.col(score), hot_rows=hot_rows)
+        rows = ranked(df, keys, [score, order], "_rank", hot_rows=hot_rows)
         sums = rows.groupBy(*keys).agg(
             F.sum(F.when(F.col(label) == 1, F.col("_rank"))).cast("double").alias("_s"),
             F.count_if(F.col(label) == 1).cast("double").alias("_p"),

@@ -113,9 +113,15 @@ def correct_ranks(
     limit: int = BROADCAST_LIMIT,
     tile: int = 8192,
 ) -> DataFrame:
-    """``qid, rank``: one plus the number of other gallery rows strictly more similar than the correct one."""
+    """``qid, rank``: one plus the number of other gallery rows strictly more similar than the correct one.
+
+    A query whose correct item is not in the gallery has no rank; it is an error, as leaving it out would raise the hit
+    rates.
+    """
     wanted = gallery.select(F.col(gid).alias(correct), A.as_double(vec).alias("_c"))
-    q = query.join(wanted, correct).select(
+    missing = F.raise_error(F.concat(F.lit("correct item not in the gallery: "), F.coalesce(F.col(correct).cast("string"), F.lit("null"))))
+    found = query.join(wanted, correct, "left").withColumn("_c", F.coalesce("_c", missing.cast("array<double>")))
+    q = found.select(
         F.col(qid).alias(qid),
         A.as_double(vec).alias(vec),
         F.col(correct).cast("bigint").alias("correct"),

@@ -95,7 +95,7 @@ def stratified_group_folds(df: DataFrame, group: str, label: str, k: int, seed:
 def group_folds(df: DataFrame, group: str, k: int, hot_rows=HOT_ROWS) -> DataFrame:
     """``group, fold``: groups from largest to smallest, dealt back and forth so that fold sizes stay close."""
     sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("_c"))
-    rows = ranked(sizes, [], [F.desc("_c"), F.asc(group)], "_r", key=-F.col("_c"), hot_rows=hot_rows)
+    rows = ranked(sizes, [], [F.desc("_c"), F.asc(group)], "_r", hot_rows=hot_rows)
     at = (F.col("_r") - 1) % k
     forward = F.floor((F.col("_r") - 1) / k) % 2 == 0
     return rows.select(group, F.when(forward, at).otherwise(k - 1 - at).cast("int").alias("fold"))

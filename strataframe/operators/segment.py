@@ -35,8 +35,7 @@ def runs_to_recordings(df: DataFrame, session: Sequence[str], order: str, keys:
 
 def index_samples(samples: DataFrame, keys: Sequence[str], order: Sequence[str], hot_rows=HOT_ROWS) -> DataFrame:
     """0-based sample index per recording and channel, for tables that only carry time stamps."""
-    key = F.unix_micros(order[0]) if samples.schema[order[0]].dataType.typeName().startswith("timestamp") else None
-    out = running(samples, keys, list(order), {}, rank="sample_idx", key=key, hot_rows=hot_rows)
+    out = running(samples, keys, list(order), {}, rank="sample_idx", hot_rows=hot_rows)
     return out.withColumn("sample_idx", F.col("sample_idx") - 1)
 
 
@@ -222,7 +221,7 @@ def epoch_summary(
 
 
 def _lag_by(samples: DataFrame, session: str, ts: str, order: str, hot_rows) -> DataFrame:
-    return lagged(samples, [session], order, {"_prev": ts}, key=F.col(order), hot_rows=hot_rows)
+    return lagged(samples, [session], order, {"_prev": ts}, hot_rows=hot_rows)
 
 
 def epoch_matrix(

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..contracts import ContractError, require_empty, require_rows
 from ..functions.scalars import class_index, finite, sex_code, subject_number
-from ..plans.ordered import HOT_ROWS, ranked, text_key
+from ..plans.ordered import HOT_ROWS, ranked
 
 
 # ---- recordings -----------------------------------------------------------------------------------------------------------
@@ -133,11 +133,11 @@ def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> D
 
 
 def encode_labels(df: DataFrame, column: str, name: str = "label_code") -> DataFrame:
-    """Index of each distinct value in sorted order, from 0."""
-    values = df.select(column).distinct()
-    text = values.schema[column].dataType.typeName() == "string"
-    codes = ranked(values, [], [column], name, key=text_key(F.col(column)) if text else None)
-    return df.join(codes.withColumn(name, (F.col(name) - 1).cast("int")), column)
+    """Index of each distinct value in sorted order, from 0. A null label has no code; its rows stay, with null."""
+    values = df.select(column).where(F.col(column).isNotNull()).distinct()
+    codes = ranked(values, [], [column], name)
+    coded = df.join(codes.withColumn(name, (F.col(name) - 1).cast("int")), column, "left")
+    return coded.select(*df.columns, name)
 
 
 def stimulus_codes(paths: DataFrame, path: str = "path", extensions: Sequence[str] = (".jpg", ".jpeg", ".png", ".bmp", ".webp"), max_images: int | None = None, seed: int = 0, hot_rows=HOT_ROWS) -> DataFrame:
@@ -154,7 +154,7 @@ def stimulus_codes(paths: DataFrame, path: str = "path", extensions: Sequence[st
     require_rows(found, "no images found")
     if max_images is not None:
         found = take_hashed(found, seed, [path], max_images)
-    return ranked(found, [], ["basename", path], "code", key=text_key(F.col("basename")), hot_rows=hot_rows)
+    return ranked(found, [], ["basename", path], "code", hot_rows=hot_rows)
 
 
 # ---- set operations, keyed merges ------------------------------------------------------------------------------------------------

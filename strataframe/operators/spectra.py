@@ -17,10 +17,16 @@ from ..plans.moments import attach, gram, mean_vector
 from ..plans.ordered import HOT_ROWS, ranked
 
 TALL = 4
+#: Eigenvalues up to this share of a matrix's largest are rounding noise of a deficient rank; they are left out.
+NOISE = 1e-12
+
+
+def _above_noise(lam: np.ndarray) -> np.ndarray:
+    return lam[lam > NOISE * max(lam.max(initial=0.0), np.finfo(float).tiny)]
 
 
 def matrix_eigenvalues(weights: DataFrame, keys: Sequence[str] = ("model", "layer"), row: str = "row_idx", vec: str = "w") -> DataFrame:
-    """``keys, lam``: squared non-zero singular values of each matrix.
+    """``keys, lam``: squared non-zero singular values of each matrix, those above ``NOISE`` times the largest.
 
     A matrix with at most ``TALL`` times as many rows as columns is decomposed by one task (so a group is bounded by its
     width); a taller one is first reduced to its Gram matrix, summed over tasks.
@@ -36,7 +42,7 @@ def matrix_eigenvalues(weights: DataFrame, keys: Sequence[str] = ("model", "laye
 
     def decompose(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         s = np.linalg.svd(np.stack(pdf["w"].to_numpy()), compute_uv=False)
-        return pd.DataFrame({**dict(zip(keys, key)), "lam": s[s > 0] ** 2})
+        return pd.DataFrame({**dict(zip(keys, key)), "lam": _above_noise(s * s)})
 
     small = marked.where(~F.col("_tall")).drop("_tall").groupBy(*keys).applyInPandas(decompose, schema)
 
@@ -63,7 +69,7 @@ def matrix_eigenvalues(weights: DataFrame, keys: Sequence[str] = ("model", "laye
 
     def eigen(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         lam = np.linalg.eigvalsh(np.stack(pdf.sort_values("i")["g"].to_numpy()))
-        return pd.DataFrame({**dict(zip(keys, key)), "lam": lam[lam > 0]})
+        return pd.DataFrame({**dict(zip(keys, key)), "lam": _above_noise(lam)})
 
     tall = summed.select(*keys, "i", vector_to_array("s.sum").alias("g")).groupBy(*keys).applyInPandas(eigen, schema)
     return small.unionByName(tall)
@@ -79,7 +85,7 @@ def spectral_summary(eigenvalues: DataFrame, keys: Sequence[str], tail_frac: flo
     live = eigenvalues.where(F.col(lam) > 0)
     sizes = live.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_eigs"))
     tail_n = F.least(F.greatest(F.lit(2).cast("bigint"), round_half_even(F.col("n_eigs") * tail_frac)), F.col("n_eigs"))
-    rows = ranked(live.select(*keys, lam), keys, [F.desc(lam)], "_r", key=-F.col(lam), hot_rows=hot_rows)
+    rows = ranked(live.select(*keys, lam), keys, [F.desc(lam)], "_r", hot_rows=hot_rows)
     rows = attach(rows, sizes.withColumn("_t", tail_n), keys)
     inside = F.col("_r") <= F.col("_t")
     sums = rows.groupBy(*keys).agg(

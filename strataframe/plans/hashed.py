@@ -11,6 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import draws
+from .ordered import match
 
 
 def hash_ranked(
@@ -34,7 +35,8 @@ def hash_ranked(
     )
     inside = Window.partitionBy(*part, "_b").orderBy("_h", *ids)
     ranked = keyed.withColumn(name, F.row_number().over(inside).cast("bigint"))
-    return ranked.join(offsets, [*part, "_b"]).withColumn(name, F.col(name) + F.col("_o")).drop("_h", "_b", "_o")
+    joined = match(ranked, offsets, [*part, "_b"])  # null is a part of its own
+    return joined.withColumn(name, F.col(name) + F.col("_o")).drop("_h", "_b", "_o")
 
 
 def take_hashed(df: DataFrame, seed, ids: Sequence[str], n: int, digits: int = 3) -> DataFrame:

@@ -1,71 +1,47 @@
 """Ranks, running sums and lags over groups of any size.
 
 A plain window puts each group into one task. Here groups above ``hot_rows`` are first cut into ranges of the ordering
-value (bounds from a quantile sketch, fixed on the driver so that reruns agree); the window then runs inside a range
+value (bounds from a sample, the cut rows stored so that reruns agree); the window then runs inside a range
 and a small per-range summary carries the state across ranges. Groups below the limit take the plain window.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
-
-HOT_ROWS = 4_000_000
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..session import checkpoint
 
-def text_key(column: Column) -> Column:
-    """A number that never decreases along the byte order of a string (its first six bytes)."""
-    head = F.rpad(F.hex(F.substring(F.encode(column, "UTF-8"), 1, 6)), 12, "0")
-    return F.conv(head, 16, 10).cast("double")
+HOT_ROWS = 4_000_000
 
 
 def with_ranges(
-    df: DataFrame, part: Sequence[str], key: Column, hot_rows: int | None = HOT_ROWS
+    df: DataFrame, part: Sequence[str], order: Sequence[Column | str], hot_rows: int | None = HOT_ROWS
 ) -> tuple[DataFrame, bool]:
-    """Add ``_range``: 0 for ordinary groups, the range of ``key`` for groups above ``hot_rows``; and whether any was cut.
+    """Add ``_range``: 0 for ordinary groups, else the range along ``order`` of a group above ``hot_rows``; and whether
+    any group was cut. Null is a group of its own.
 
-    ``hot_rows=None`` skips the count for callers whose groups are bounded.
+    Ranges are those of a range partitioning by (part, order), whatever the type of the columns, about half of
+    ``hot_rows`` rows each; they are stored, since their bounds come from a sample. ``hot_rows=None`` skips the count
+    for callers whose groups are bounded.
     """
-    if hot_rows is None or _clearly_small(df, hot_rows):
+    if hot_rows is None:
         return df.withColumn("_range", F.lit(0)), False
     part = list(part)
-    key = key.cast("double")
-    hot = df.groupBy(*part).agg(F.count(F.lit(1)).alias("_c")).where(F.col("_c") > hot_rows).collect()
-    if not hot:
+    hot = df.groupBy(*part).agg(F.count(F.lit(1)).alias("_c")).where(F.col("_c") > hot_rows)
+    total = hot.agg(F.sum("_c")).first()[0]
+    if total is None:
         return df.withColumn("_range", F.lit(0)), False
-    largest = max(r["_c"] for r in hot)
-    cuts = min(4096, max(2, int(2 * largest // hot_rows) + 1))
-    probs = [i / cuts for i in range(1, cuts)]
-    if not part:
-        bounds = df.agg(F.percentile_approx(key, probs, 20_000).alias("b")).first()["b"]
-        levels = F.lit([float(b) for b in bounds])
-        return df.withColumn("_range", F.size(F.filter(levels, lambda b: b < key))), True
-    schema = df.select(*part).schema
-    keys = df.sparkSession.createDataFrame([tuple(r[c] for c in part) for r in hot], schema)
-    found = (
-        df.join(F.broadcast(keys), part, "left_semi")
-        .groupBy(*part)
-        .agg(F.percentile_approx(key, probs, 20_000).alias("_bounds"))
-        .collect()
-    )
-    fixed = df.sparkSession.createDataFrame(
-        [tuple(r[c] for c in part) + ([float(b) for b in r["_bounds"]],) for r in found],
-        T.StructType([*schema.fields, T.StructField("_bounds", T.ArrayType(T.DoubleType()))]),
-    )
-    cut = (
-        df.join(F.broadcast(fixed), part, "left")
-        .withColumn("_range", F.coalesce(F.size(F.filter("_bounds", lambda b: b < key)), F.lit(0)))
-        .drop("_bounds")
-    )
-    return cut, True
-
-
-def _clearly_small(df: DataFrame, hot_rows: int) -> bool:
-    """Whether the planner's size estimate leaves no room for a hot group, so that counting can be skipped. An estimate
-    that is too low costs parallelism, not correctness."""
-    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return int(str(size)) < 8 * hot_rows
+    marked, rest = df, None
+    if part:
+        named = F.broadcast(hot.select(*[F.col(c).alias(f"_k_{c}") for c in part]))  # at most rows / hot_rows groups
+        same = reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"_k_{c}")) for c in part])
+        marked, rest = df.join(named, same, "left_semi"), df.join(named, same, "left_anti")
+    pieces = int(2 * total // hot_rows) + 2
+    cut = checkpoint(marked.repartitionByRange(pieces, *part, *order).withColumn("_range", F.spark_partition_id() + 1))
+    return (cut if rest is None else rest.withColumn("_range", F.lit(0)).unionByName(cut)), True
 
 
 def running(
@@ -74,20 +50,18 @@ def running(
     order: Sequence[Column | str],
     sums: Mapping[str, Column],
     rank: str | None = "rank",
-    key: Column | None = None,
     hot_rows: int | None = HOT_ROWS,
 ) -> DataFrame:
     """Row number (1-based) and inclusive running sums along ``order`` within ``part``.
 
-    ``order`` must be unique within a group. ``key`` is a number that never decreases along ``order``; by default the
-    first ordering column itself.
+    ``order`` must be unique within a group.
     """
     part = list(part)
     order = [F.col(c) if isinstance(c, str) else c for c in order]
     values = dict(sums)
     if rank:
         values[rank] = F.lit(1).cast("bigint")
-    cut, split = with_ranges(df, part, key if key is not None else order[0], hot_rows)
+    cut, split = with_ranges(df, part, order, hot_rows)
     cut = cut.withColumns({f"_v_{n}": v for n, v in values.items()})
     inside = Window.partitionBy(*part, "_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     out = cut.withColumns({n: F.sum(f"_v_{n}").over(inside) for n in values})
@@ -99,14 +73,14 @@ def running(
         .agg(*[F.sum(f"_v_{n}").alias(f"_v_{n}") for n in values])
         .select(*part, "_range", *[F.coalesce(F.sum(f"_v_{n}").over(before), F.lit(0)).alias(f"_o_{n}") for n in values])
     )
-    joined = _match(out, offsets, [*part, "_range"])
+    joined = match(out, offsets, [*part, "_range"])
     for n in values:
         joined = joined.withColumn(n, F.col(n) + F.col(f"_o_{n}"))
     return joined.drop("_range", *[f"_v_{n}" for n in values], *[f"_o_{n}" for n in values])
 
 
-def ranked(df, part, order, name="rank", key=None, hot_rows=HOT_ROWS) -> DataFrame:
-    return running(df, part, order, {}, rank=name, key=key, hot_rows=hot_rows)
+def ranked(df, part, order, name="rank", hot_rows=HOT_ROWS) -> DataFrame:
+    return running(df, part, order, {}, rank=name, hot_rows=hot_rows)
 
 
 def lagged(
@@ -114,12 +88,11 @@ def lagged(
     part: Sequence[str],
     order: str,
     columns: Mapping[str, str],
-    key: Column | None = None,
     hot_rows: int | None = HOT_ROWS,
 ) -> DataFrame:
     """Value of the previous row along ``order`` within ``part``: ``{new column: source column}``."""
     part = list(part)
-    cut, split = with_ranges(df, part, key if key is not None else F.col(order), hot_rows)
+    cut, split = with_ranges(df, part, [order], hot_rows)
     inside = Window.partitionBy(*part, "_range").orderBy(order)
     out = cut.withColumns({new: F.lag(src).over(inside) for new, src in columns.items()})
     if not split:
@@ -130,14 +103,15 @@ def lagged(
         F.min(order).alias("_first"),
     )
     tail = tail.withColumn("_prev", F.lag("_tail").over(across)).drop("_tail")
-    joined = _match(out, tail, [*part, "_range"])
+    joined = match(out, tail, [*part, "_range"])
     first = F.col(order) == F.col("_first")
     for new in columns:
         joined = joined.withColumn(new, F.when(first, F.col(f"_prev.{new}")).otherwise(F.col(new)))
     return joined.drop("_range", "_first", "_prev")
 
 
-def _match(rows: DataFrame, per_range: DataFrame, keys: Sequence[str]) -> DataFrame:
+def match(rows: DataFrame, per_range: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Inner join on keys in which null equals null."""
     condition = None
     renamed = per_range.select(*[F.col(k).alias(f"_k_{k}") if k in keys else F.col(k) for k in per_range.columns])
     for k in keys:

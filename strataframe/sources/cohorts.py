@@ -136,9 +136,8 @@ def extract_features(windows: DataFrame, extractor: str | Callable, dim: int, ba
 
 
 def feature_table(extracted: DataFrame) -> DataFrame:
-    """Extracted windows as features with a row id built from recording and window."""
-    ids = F.col("recording_id").cast("bigint") * 1_000_000 + F.col("window_idx")
-    return extracted.withColumn("row_id", ids)
+    """Extracted windows as features with a row id, the 64-bit digest of recording (of any type) and window."""
+    return extracted.withColumn("row_id", F.xxhash64("recording_id", "window_idx"))
 
 
 def channel_windows_to_signal(windows: DataFrame, keys: Sequence[str], order: str = "ch", vec: str = "x") -> DataFrame:

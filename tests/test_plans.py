@@ -40,10 +40,20 @@ def test_running_over_the_whole_table(skewed):
     same(plain, ordered.ranked(skewed, [], ["id"], hot_rows=100))
 
 
-def test_text_key_follows_byte_order(spark):
-    words = ["", "a", "ab", "abc", "b", "Z", "zz", "é", "漢字", "abcdefg", "abcdefh"]
-    rows = spark.createDataFrame([(w,) for w in words], "s string").withColumn("k", ordered.text_key(F.col("s"))).orderBy("s").collect()
-    assert [r["k"] for r in rows] == sorted(r["k"] for r in rows)
+@pytest.mark.parametrize("values", [[f"sub-{i:08d}" for i in range(6000)], [7] * 6000, [None] * 6000])
+def test_ranges_split_long_prefixes_and_ties(spark, values):
+    """Common prefixes, equal values and nulls are still cut: the range follows all ordering columns."""
+    rows = spark.createDataFrame([(v, i) for i, v in enumerate(values)], f"v {'string' if isinstance(values[0], str) else 'long'}, id long")
+    cut, split = ordered.with_ranges(rows.repartition(4), [], ["v", "id"], 500)
+    sizes = [r["count"] for r in cut.groupBy("_range").count().collect()]
+    assert split and len(sizes) > 10 and max(sizes) < 1500
+    ranked = ordered.ranked(rows.repartition(4), [], ["v", "id"], hot_rows=500)
+    assert [r["rank"] for r in ranked.orderBy("id").collect()] == list(range(1, 6001))
+
+
+def test_null_parts_keep_their_rows(spark):
+    rows = spark.createDataFrame([(None, 1), (None, 2), ("a", 3), ("a", 4)], "k string, id long")
+    assert sorted(r["rank"] for r in hashed.hash_ranked(rows, 1, ["id"], ["k"]).collect()) == [1, 1, 2, 2]
 
 
 @pytest.mark.parametrize("accuracy", [50, 10_000])
