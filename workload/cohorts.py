@@ -177,7 +177,7 @@ def decode_trials(spark, sf):
     f = crossed(spark, sf)
     code = table(spark, sf, "embeddings").select(F.col("vec_id").alias("row_id"), F.col("label").cast("bigint").alias("code"))
     trials = f.join(code, "row_id").select(F.col("row_id").alias("trial"), "code", F.lit("c").alias("ch"), "x")
-    gallery = P.mean_pool(trials, ["code"]).select(F.col("code").alias("id"), F.slice("x", 1, 8).alias("emb"))
+    gallery = P.mean_pool(trials, ["code"]).select(F.col("code").alias("id"), F.col("x").alias("emb"))
     scaler, model, _ = D.calibrate(trials.where(F.col("trial") % 3 < 2), gallery, average=False)
     test = S.apply_epoch_scaler(trials.where(F.col("trial") % 3 == 2), scaler, ["ch"])
     return rounded(D.running_accuracy(D.decode_stream(D.concat_channels(test), model, gallery, (1, 3)), (1, 3)))

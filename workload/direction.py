@@ -50,7 +50,7 @@ u AS (SELECT df.subject_id, dim, d / mag AS d FROM df JOIN nm ON df.subject_id =
     + f""", pos AS (SELECT subject_id, row_number() OVER (ORDER BY md5(concat_ws(':', 'position', subject_id)), subject_id) AS pos FROM nm),
 k AS (SELECT count(*) AS k FROM nm),
 pk AS (SELECT boot, (({u32("concat_ws(':', 0, boot, i)")} * k) >> 32) + 1 AS pos
-  FROM range(1, 201) AS b(boot), range(0, (SELECT k FROM k)) AS t(i), k),
+  FROM range(1, 2001) AS b(boot), range(0, (SELECT k FROM k)) AS t(i), k),
 bs AS (SELECT boot, dim, sum(d) AS s FROM pk JOIN pos USING (pos) JOIN u USING (subject_id) GROUP BY boot, dim),
 bd AS (SELECT boot, count(DISTINCT pos) AS distinct_n FROM pk GROUP BY boot),
 bv AS (SELECT boot, (sum(s * s) - any_value(k)) / (any_value(k) * (any_value(k) - 1.0)) AS v FROM bs, k GROUP BY boot)
@@ -59,7 +59,7 @@ SELECT (SELECT round(avg(cos), 6) FROM pc) AS mean_cosine, (SELECT k FROM k) AS
 FROM bv JOIN bd USING (boot) WHERE distinct_n >= 2""",
 )
 def mean_pairwise_cosine(spark, sf):
-    return rounded(D.mean_cosine_interval(D.pooled_directions(crossed(spark, sf)), n_boot=200, seed=0))
+    return rounded(D.mean_cosine_interval(D.pooled_directions(crossed(spark, sf)), n_boot=2000, seed=0))
 
 
 ANGLES = (

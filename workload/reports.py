@@ -296,15 +296,15 @@ def scan_report(spark, sf):
 
 @query("audit_cell")
 def audit_cell(spark, sf):
-    return A.audit_cell(crossed(spark, sf), A.AuditConfig("embeddings", "W,C", n_null_seeds=3, mlp=False))
+    return A.audit_cell(crossed(spark, sf), A.AuditConfig("embeddings", "W,C"))
 
 
 @query("audit_trait_cell")
 def audit_trait_cell(spark, sf):
     f = nested(spark, sf).withColumn("recording_id", F.col("subject_id") * 2 + F.col("row_id") % 2)
-    return A.audit_cell(f, A.AuditConfig("embeddings", "T,N", n_null_seeds=3, run_erasure=False))
+    return A.audit_cell(f, A.AuditConfig("embeddings", "T,N"))
 
 
 @query("audit_sweep")
 def audit_sweep(spark, sf):
-    return rounded(A.sweep(crossed(spark, sf).withColumn("dataset", F.col("row_id") % 3), n_null_seeds=3))
+    return rounded(A.sweep(crossed(spark, sf).withColumn("dataset", F.col("row_id") % 3)))

@@ -101,7 +101,7 @@ def variance_components(spark, sf):
     return rounded(V.variance_components(nested(spark, sf)))
 
 
-N_PERM = 99
+N_PERM = 999
 PERM_SQL = f"""WITH {NESTED},
 sd AS (SELECT dim, avg(v) AS m, greatest(stddev_pop(v), 1e-12) AS s FROM fl GROUP BY dim),
 subj AS (SELECT subject_id, min(label) AS label, row_number() OVER (ORDER BY min(label), subject_id) AS deal
@@ -127,7 +127,7 @@ def permanova(spark, sf):
     return rounded(V.permanova(nested(spark, sf), n_perm=N_PERM, seed=0))
 
 
-N_BOOT = 60
+N_BOOT = 1000
 BOOT_SQL = f"""WITH {NESTED},
 g AS (SELECT dim, avg(v) AS m FROM fl GROUP BY dim),
 s AS (SELECT subject_id, label, fl.dim, count(*) AS n, sum(v - m) AS t, var_pop(v) * count(*) AS ss
@@ -187,7 +187,7 @@ def _normal(text: str) -> str:
 c AS (SELECT subject_id, label, count(*) AS n FROM f GROUP BY subject_id, label),
 z AS (SELECT draw, subject_id, label, n, dim,
   {_normal("concat_ws(':', 7, draw, subject_id, label, dim)")} / sqrt(n) AS m
-  FROM c, range(1, 6) AS t(draw), range(0, 64) AS u(dim)),
+  FROM c, range(1, 21) AS t(draw), range(0, 64) AS u(dim)),
 g AS (SELECT draw, dim, sum(n * m) / sum(n) AS m FROM z GROUP BY draw, dim),
 tot AS (SELECT z.draw, sum(z.n * (z.m - g.m) * (z.m - g.m)) AS ss FROM z JOIN g ON z.draw = g.draw AND z.dim = g.dim
   GROUP BY z.draw),
@@ -197,7 +197,7 @@ ls AS (SELECT l.draw, sum(l.n * (l.m - g.m) * (l.m - g.m)) AS ss FROM l JOIN g O
 sst AS (SELECT s.draw, sum(s.n * (s.m - g.m) * (s.m - g.m)) AS ss FROM s JOIN g ON s.draw = g.draw AND s.dim = g.dim GROUP BY s.draw),
 df AS (SELECT ((SELECT count(*) FROM f) - (SELECT count(*) FROM c)) * 64.0 AS df),
 w AS (SELECT draw, df * pow(1 - 2 / (9 * df) + {_normal("concat_ws(':', 7, draw, 'residual')")} * sqrt(2 / (9 * df)), 3) AS ss
-  FROM df, range(1, 6) AS t(draw)),
+  FROM df, range(1, 21) AS t(draw)),
 nf AS (SELECT draw, ls.ss / (tot.ss + w.ss) AS lf, sst.ss / (tot.ss + w.ss) AS sf FROM tot JOIN ls USING (draw)
   JOIN sst USING (draw) JOIN w USING (draw)),
 nn AS (SELECT avg(lf) AS lm, stddev_samp(lf) AS ld, avg(sf) AS sm, stddev_samp(sf) AS sd FROM nf),
@@ -206,10 +206,10 @@ SELECT n_rows, n_subjects, n_labels, round(label_frac, 6) AS label_frac, round(s
   round(residual_frac, 6) AS residual_frac, round(lm, 6) AS null_label_mean, round(ld, 6) AS null_label_std,
   round(sm, 6) AS null_subject_mean, round(sd, 6) AS null_subject_std, round(label_frac / lm, 6) AS excess_label,
   round(subject_frac / sm, 6) AS excess_subject, round((n_labels - 1) / (n_rows - 1), 6) AS df_label_pred,
-  round((n_subjects - 1) / (n_rows - 1), 6) AS df_subject_pred, 5 AS n_null_seeds FROM real, nn""",
+  round((n_subjects - 1) / (n_rows - 1), 6) AS df_subject_pred, 20 AS n_null_seeds FROM real, nn""",
 )
 def null_control(spark, sf):
-    return rounded(V.null_control(crossed(spark, sf), n_seeds=5, seed=7))
+    return rounded(V.null_control(crossed(spark, sf), n_seeds=20, seed=7))
 
 
 AXES = f"""WITH {CROSSED},
