@@ -48,3 +48,11 @@ def position_bin(coordinate: Column, extreme: float = 0.13, bins: int = 100) ->
 
 def round_half_even(value: Column) -> Column:
     return F.bround(value, 0).cast("bigint")
+
+
+def nested(column: str, path: str, default: Column) -> Column:
+    """Field at a dotted path inside a struct column; ``default`` where it, or a struct on the way, is null."""
+    found = F.col(column)
+    for name in path.split("."):
+        found = found.getField(name)
+    return F.coalesce(found, default)

@@ -14,6 +14,8 @@ from . import direction, erasure, pooling, probes, variance
 from .report import with_verdict
 
 NAN = float("nan")
+#: Characters of a failure's message that a row keeps.
+FAILURE_TEXT = 200
 
 
 @dataclass
@@ -158,15 +160,16 @@ def sweep(features: DataFrame, dataset: str = "dataset", n_null_seeds: int = 10,
 
 
 def sweep_leaderboard(tables: Mapping[str, DataFrame], config: AuditConfig | None = None) -> DataFrame:
-    """Full audit rows of several data sets with their verdicts; one that breaks a contract becomes a failed row."""
+    """Full audit rows of several data sets with their verdicts; one that fails, in whatever way,
+    becomes a failed row (the message cut at ``FAILURE_TEXT`` characters)."""
     if not tables:
         raise ContractError("no data sets")
     done, spark = None, next(iter(tables.values())).sparkSession
     for name, features in tables.items():
         try:
             row = audit_cell(features, config).withColumn("dataset", F.lit(name)).withColumn("status", F.lit("ok"))
-        except (ContractError, ValueError) as error:
-            row = spark.createDataFrame([(name, f"failed: {str(error)[:200]}")], "dataset string, status string")
+        except Exception as error:  # noqa: BLE001  a failed job of one data set must not end the sweep
+            row = spark.createDataFrame([(name, f"failed: {str(error)[:FAILURE_TEXT]}")], "dataset string, status string")
         done = row if done is None else done.unionByName(row, allowMissingColumns=True)
     if "erasure_label_ba_raw" not in done.columns:
         return done

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions import arrays as A, draws
 from ..plans.hashed import hash_ranked
 from ..plans.moments import attach, cell_moments
+from ..session import checkpoint
 
 
 def unit_directions(
@@ -108,12 +109,11 @@ def _order_statistics(tiles: DataFrame, ranks: list[int], bins: int, passes: int
 
 
 def direction_consistency(
-    directions: DataFrame, subject: str = "subject_id", tile: int = 4096, small: int = 2000, bins: int = 1 << 14
+    directions: DataFrame, subject: str = "subject_id", tile: int = 4096, bins: int = 1 << 14
 ) -> DataFrame:
     """Median and quartiles of the pairwise cosines of unit directions; NaN below two subjects.
 
-    Up to ``small`` subjects the cosines of a tile are kept and the percentile taken directly; beyond, tiles return
-    counts only and the order statistics are found by refinement, to far below the last reported digit.
+    Tiles return counts only and the order statistics are found by refinement, to far below the last reported digit.
     """
     spark = directions.sparkSession
     rows = directions.count()
@@ -122,16 +122,7 @@ def direction_consistency(
             [(float("nan"), float("nan"), float("nan"), rows)],
             "c_bar double, iqr_low double, iqr_high double, n_subjects_paired long",
         )
-    tiles = _tiles(directions, subject, rows, tile)
-    if rows <= small:
-        values = tiles.groupBy("a", "b").applyInPandas(
-            lambda pdf: pd.DataFrame({"c": _tile_cosines(pdf)}), "c double"
-        )
-        return values.select(
-            F.percentile("c", 0.5).alias("c_bar"),
-            F.percentile("c", 0.25).alias("iqr_low"),
-            F.percentile("c", 0.75).alias("iqr_high"),
-        ).withColumn("n_subjects_paired", F.lit(rows).cast("bigint"))
+    tiles = _tiles(checkpoint(directions), subject, rows, tile)  # read by every pass
     pairs = rows * (rows - 1) // 2
     points = {p: p * (pairs - 1) for p in (0.25, 0.5, 0.75)}
     ranks = sorted({int(np.floor(v)) for v in points.values()} | {int(np.ceil(v)) for v in points.values()})

@@ -132,6 +132,13 @@ def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> D
     return first.select(*keys, "_first.*")
 
 
+def best_sampled(trials: DataFrame, code: str, n: int, by: Sequence[str] = (), count: str = "n") -> DataFrame:
+    """``by, code, n``: the codes with the most trials, at most ``n`` of each group; the smaller code on ties."""
+    counts = trials.groupBy(*by, code).agg(F.count(F.lit(1)).alias(count))
+    rows = ranked(counts, list(by), [F.desc(count), code], "_r")
+    return rows.where(F.col("_r") <= n).drop("_r")
+
+
 def encode_labels(df: DataFrame, column: str, name: str = "label_code") -> DataFrame:
     """Index of each distinct value in sorted order, from 0. A null label has no code; its rows stay, with null."""
     values = df.select(column).where(F.col(column).isNotNull()).distinct()

@@ -552,10 +552,11 @@ def null_fractions(
     only: no row of the table is touched and the cost does not grow with the number of rows.
     """
     by = list(by)
+    groups = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in by]  # groups draw independently
     cells = counts.select("*", F.explode(F.sequence(F.lit(1), F.lit(n_seeds))).alias("draw"))
     z = F.transform(
         F.sequence(F.lit(0), F.lit(n_dims - 1)),
-        lambda d: draws.normal(draws.digest(seed, F.col("draw"), F.col(subject), F.col(label), d)) / F.sqrt(F.col("n")),
+        lambda d: draws.normal(draws.digest(seed, *groups, F.col("draw"), F.col(subject), F.col(label), d)) / F.sqrt(F.col("n")),
     )
     cells = cells.select(*by, "draw", subject, label, "n", z.alias("mean"))
     cells = cells.withColumn("within", F.array_repeat(F.lit(0.0), n_dims))
@@ -563,7 +564,7 @@ def null_fractions(
     sizes = counts.groupBy(*by).agg(F.sum("n").alias("_n"), F.count(F.lit(1)).alias("_cells"))
     joined = between.join(sizes, by) if by else attach(between, sizes)
     df = (F.col("_n") - F.col("_cells")) * n_dims
-    residual = F.when(df > 0, draws.chi_square(draws.normal(draws.digest(seed, F.col("draw"), "residual")), df)).otherwise(0.0)
+    residual = F.when(df > 0, draws.chi_square(draws.normal(draws.digest(seed, *groups, F.col("draw"), "residual")), df)).otherwise(0.0)
     total = F.greatest(F.col("ss_total") + residual, F.lit(1e-18))
     return joined.select(
         *by,

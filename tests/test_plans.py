@@ -118,7 +118,7 @@ def test_pairwise_cosine_paths_agree(spark, tile):
     upper = (d @ d.T)[np.triu_indices(30, 1)]
     want = [np.median(upper), *np.percentile(upper, [25, 75])]
     direct = D.direction_consistency(dirs, tile=tile).first()
-    counted = D.direction_consistency(dirs, tile=tile, small=5, bins=256).first()
+    counted = D.direction_consistency(dirs, tile=tile, bins=256).first()
     for r, tol in ((direct, 1e-12), (counted, 1e-6)):
         assert [r["c_bar"], r["iqr_low"], r["iqr_high"]] == pytest.approx(want, abs=tol)
     assert D.mean_cosine(dirs).first()["mean_cosine"] == pytest.approx(upper.mean())

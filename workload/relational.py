@@ -544,7 +544,7 @@ def calibration_report(spark, sf):
     """SELECT l_partkey AS code, count(*) AS n FROM lineitem GROUP BY l_partkey ORDER BY n DESC, code LIMIT 40""",
 )
 def best_sampled_images(spark, sf):
-    return table(spark, sf, "lineitem").groupBy(F.col("l_partkey").alias("code")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "code").limit(40)
+    return X.best_sampled(table(spark, sf, "lineitem").select(F.col("l_partkey").alias("code")), "code", 40)
 
 
 @query(
