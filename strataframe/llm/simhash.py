@@ -57,7 +57,7 @@ def fingerprints(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     whole = docs.select("doc_id", content(F.col("text")).alias("content"), F.col("text").cast("string"))
-    return whole.mapInArrow(run, f"doc_id {kind}, content string, fp bigint")
+    return whole.mapInArrow(run, f"doc_id {kind}, content bigint, fp bigint")
 
 
 def block_keys(fp: Column, blocks: int, agree: int) -> list[Column]:
