@@ -17,80 +17,125 @@ from .common import stash
 ORDER = 2
 ALPHA = 0.4
 LEAST = 2
-#: The most frequent n-grams, at most so many, are joined by broadcast (3 MB): hot keys move no rows.
+#: The most frequent n-grams, at most so many, go to all tasks (3 MB): hot keys move no rows.
 HOT = 1 << 17
-#: Words whose digest a worker remembers.
-KEEP_WORDS = 500_000
+#: Texts whose n-grams a task lists at once.
+ROWS = 1000
 
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
-class _Grams:
-    """64-bit digests of the n-grams of texts. An n-gram's digest is made of its first words' digest and its last word."""
-
-    def __init__(self):
-        self.known: dict[bytes, int] = {}
-
-    def digests(self, text: str | None, order: int) -> list[np.ndarray]:
-        """Digests of all 1-grams, 2-grams ... of a text, in their order."""
-        found = _WORD.findall((text or "").encode().translate(_LOWER))
-        if len(self.known) > KEEP_WORDS:
-            self.known.clear()
-        for word in set(found).difference(self.known):
-            self.known[word] = xxhash.xxh64_intdigest(word)
-        known = self.known
-        single = np.fromiter([known[w] for w in found], np.uint64, len(found))
-        out = [single]
+class _Words:
+    """Words of a batch of texts as dense numbers, and the digests of n-grams."""
+
+    def __init__(self, texts):
+        known: dict[bytes, int] = {}
+        number = known.setdefault
+        parts = [np.zeros(0, np.int64)]
+        for t in texts:
+            found = _WORD.findall((t.as_py() or "").encode().translate(_LOWER))
+            parts.append(np.array([number(w, len(known)) for w in found], np.int64))
+        self.ids = np.concatenate(parts)
+        self.sizes = np.array([len(p) for p in parts[1:]], np.int64)
+        self.digests = np.fromiter(map(xxhash.xxh64_intdigest, known), np.uint64, len(known))
+
+    def starts(self, order: int) -> np.ndarray:
+        """Where an n-gram of ``order`` words begins."""
+        left = np.repeat(np.cumsum(self.sizes), self.sizes) - np.arange(len(self.ids))
+        return np.flatnonzero(left >= order)
+
+    def grams(self, starts: np.ndarray, order: int) -> np.ndarray:
+        """Digests of the n-grams at ``starts``: made of the first words' digest and the last word's."""
+        out = self.digests[self.ids[starts]]
         for k in range(1, order):
-            mixed = (out[-1][: max(0, len(found) - k)] * np.uint64(0x9E3779B97F4A7C15)) ^ single[k:]
-            mixed = (mixed ^ (mixed >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-            out.append(mixed ^ (mixed >> np.uint64(32)))
+            out = _mixed(out, self.digests[self.ids[starts + k]])
         return out
 
+    def counted(self, order: int) -> tuple[np.ndarray, np.ndarray]:
+        """One start of each different n-gram, and how often it occurs; those with the same first words together."""
+        starts = self.starts(order)
+        code = self.ids[starts]
+        for k in range(1, order):
+            if k > 1:
+                code = np.unique(code, return_inverse=True)[1]
+            code = code * len(self.digests) + self.ids[starts + k]
+        _, at, n = np.unique(code, return_index=True, return_counts=True)
+        return starts[at], n
+
+
+def _mixed(first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    x = (first * np.uint64(0x9E3779B97F4A7C15)) ^ last
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return x ^ (x >> np.uint64(32))
+
 
 def _counted(docs: DataFrame, order: int) -> DataFrame:
-    """(h, ctx, suf, n): how often each n-gram of ``order`` words occurs, with the digests of its first and last words; one row per gram and batch."""
+    """How often n-grams of ``order`` words occur, one row per n-gram and batch of texts.
+
+    (h, n) for words; (ctx, suf, n) for two words, whose digests these are; else (h, ctx, suf, n) with the digests of
+    the first and the last words. Rows with the same first words lie together, so that they pack well when shuffled.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grams = _Grams()
         for batch in batches:
-            each = [grams.digests(t.as_py(), order) for t in batch.column(0)]
-            h = np.concatenate([d[-1] for d in each]) if each else np.zeros(0, np.uint64)
-            h, at, n = np.unique(h, return_index=True, return_counts=True)
-            columns = [h, n]
-            if order > 1:
-                below = [d[-2] for d in each]
-                columns[1:1] = [np.concatenate([b[:-1] for b in below])[at], np.concatenate([b[1:] for b in below])[at]]
-            yield pa.RecordBatch.from_arrays([pa.array(c.view(np.int64)) for c in columns], names=names)
-
-    names = ["h", "ctx", "suf", "n"] if order > 1 else ["h", "n"]
+            words = _Words(batch.column(0))
+            starts, n = words.counted(order)
+            h = words.grams(starts, order) if order != 2 else None
+            below = [words.grams(starts, order - 1), words.grams(starts + 1, order - 1)] if order > 1 else []
+            columns = [c.view(np.int64) for c in ([h] if h is not None else []) + below] + [n]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
+
+    names = ["h", "n"] if order == 1 else ["ctx", "suf", "n"] if order == 2 else ["h", "ctx", "suf", "n"]
     return docs.select(F.col("text").cast("string")).mapInArrow(run, ", ".join(f"{c} bigint" for c in names))
 
 
-def _occurring(docs: DataFrame, order: int) -> DataFrame:
-    """(row, h, n): how often each n-gram occurs in each text; ``row`` is the digest of doc_id and text."""
+def _occurring(docs: DataFrame, order: int, known: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """What the texts hold: (row, h, n, part), ``row`` the digest of doc_id and text.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grams = _Grams()
-        for batch in batches:
-            rows, hs, ns = [], [], []
-            for row, text in zip(batch.column(0).to_numpy(), batch.column(1)):
-                h, n = np.unique(grams.digests(text.as_py(), order)[-1], return_counts=True)
-                rows.append(np.full(len(h), row))
-                hs.append(h.view(np.int64))
-                ns.append(n)
-            if rows:
-                columns = [np.concatenate(rows), np.concatenate(hs), np.concatenate(ns)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["row", "h", "n"])
+    One row per text with the number of its words (n) and the gains of its n-grams that are in ``known`` (part), and
+    rows with null part for its other n-grams, with how often they occur (words counted, longer ones one by one).
+    """
+    digests, gains = known
 
-    return docs.select(_row(), F.col("text").cast("string")).mapInArrow(run, "row bigint, h bigint, n bigint")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (b.slice(at, ROWS) for b in batches for at in range(0, b.num_rows, ROWS)):
+            words, rows = _Words(batch.column(1)), batch.column(0).to_numpy()
+            owner = np.repeat(np.arange(len(rows)), words.sizes)
+            code, n = np.unique(owner * max(1, len(words.digests)) + words.ids, return_counts=True)
+            texts, h = np.divmod(code, max(1, len(words.digests)))
+            parts = [(texts, words.digests[h] if len(h) else h.view(np.uint64), n)]
+            for k in range(2, order + 1):
+                starts = words.starts(k)
+                parts.append((owner[starts], words.grams(starts, k), np.ones(len(starts), np.int64)))
+            texts, h, n = (np.concatenate(x) for x in zip(*parts))
+            h = h.view(np.int64)
+            at = np.minimum(np.searchsorted(digests, h), max(0, len(digests) - 1))
+            hit = digests[at] == h if len(digests) else np.zeros(len(h), bool)
+            part = np.bincount(texts[hit], n[hit] * gains[at[hit]], len(rows)) if hit.any() else np.zeros(len(rows))
+            yield pa.RecordBatch.from_arrays([pa.array(rows), pa.array(rows), pa.array(words.sizes), pa.array(part)], names=names)
+            cold = pa.array(rows[texts[~hit]]), pa.array(h[~hit]), pa.array(n[~hit])
+            yield pa.RecordBatch.from_arrays([*cold, pa.nulls(len(cold[0]), pa.float64())], names=names)
+
+    names = ["row", "h", "n", "part"]
+    return docs.select(_row(), F.col("text").cast("string")).mapInArrow(run, "row bigint, h bigint, n bigint, part double")
 
 
 def _row():
     return F.xxhash64("doc_id", "text").alias("row")
 
 
+def _with_digest(pairs: DataFrame) -> DataFrame:
+    """(h, ctx, suf, c) of (ctx, suf, c) rows of two words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            first, last = (batch.column(i).to_numpy().view(np.uint64) for i in range(2))
+            yield pa.RecordBatch.from_arrays([pa.array(_mixed(first, last).view(np.int64)), *batch.columns], names=["h", "ctx", "suf", "c"])
+
+    return pairs.select("ctx", "suf", "c").mapInArrow(run, "h bigint, ctx bigint, suf bigint, c bigint")
+
+
 def count_ngrams(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, least: int = LEAST) -> list[DataFrame]:
     """Count tables of 1 to ``order`` words over all texts: h, c, log_s, gain; partitioned by h and stored.
 
@@ -104,8 +149,10 @@ def count_ngrams(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, leas
     first = first.select("h", "c", (F.log("c") - F.log("all")).alias("log_s")).withColumn("gain", F.col("log_s"))
     tables = [stash(first, "grams_1")]
     for k in range(2, order + 1):
-        counts = _counted(docs, k).groupBy("h", "ctx", "suf").agg(F.sum("n").alias("c")).where(F.col("c") >= least)
-        counts = stash(counts, f"counts_{k}")
+        keys = ["ctx", "suf"] if k == 2 else ["h", "ctx", "suf"]
+        # Batches are counted already: dealt out as they are, in the order in which they pack well.
+        counts = _counted(docs, k).repartition(*keys).groupBy(*keys).agg(F.sum("n").alias("c")).where(F.col("c") >= least)
+        counts = stash(_with_digest(counts) if k == 2 else counts, f"counts_{k}")
         below = tables[-1]
         hot, cold = hot_and_cold(below)
         context = lambda t: t.select(F.col("h").alias("ctx"), F.col("c").alias("before"))
@@ -140,16 +187,17 @@ def score(docs: DataFrame, tables: list[DataFrame], alpha: float = ALPHA) -> Dat
     Words that no table holds are not scored. Null, empty and wordless texts: 0 words, score 0, mean null. One row per
     row of ``docs``; rows that repeat get the same.
     """
-    parts = []
-    for k, table in enumerate(tables, 1):
-        hot, cold = hot_and_cold(table.select("h", "c", "gain"))
-        met = split_join(_occurring(docs, k), hot.select("h", "gain"), cold.select("h", "gain"), "h")
-        sums = met.groupBy("row").agg(F.sum(F.col("n") * F.col("gain")).alias("gain"), F.sum("n").alias("words"))
-        parts.append(stash(sums.withColumn("words", F.col("words") if k == 1 else F.lit(0).cast("long")), f"scores_{k}"))
-    every = parts[0]
-    for part in parts[1:]:
-        every = every.union(part)
-    sums = every.groupBy("row").agg(F.sum("gain").alias("gain"), F.sum("words").alias("words"))
+    every = tables[0].select("h", "c", "gain")
+    for table in tables[1:]:
+        every = every.union(table.select("h", "c", "gain"))
+    hot, cold = hot_and_cold(every)
+    known = hot.toArrow().sort_by("h")
+    met = _occurring(docs, len(tables), (known["h"].to_numpy(), known["gain"].to_numpy())).join(cold.select("h", "gain"), "h", "left")
+    whole = F.col("part").isNotNull()
+    sums = met.groupBy("row").agg(
+        F.sum(F.coalesce("part", F.col("n") * F.col("gain"), F.lit(0.0))).alias("gain"), F.sum(F.when(whole, F.col("n"))).alias("words")
+    )
+    sums = stash(sums, "scores")
     rows = docs.select("doc_id", _row())
     again = rows.groupBy("row").agg(F.count(F.lit(1)).alias("times"))
     sums = sums.join(again, "row").select("row", F.col("gain") / F.col("times"), (F.col("words") / F.col("times")).cast("long"))
