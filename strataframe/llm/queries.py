@@ -125,4 +125,4 @@ def op9_exact_dedup(spark, sf_dir):
 
 @query("op10_line_dedup")
 def op10_line_dedup(spark, sf_dir):
-    return lines.line_dedup_report(table(spark, sf_dir, "documents"))
+    return lines.line_dedup_report(table(spark, sf_dir, "documents"), distance=None)

@@ -13,7 +13,7 @@ import tiktoken
 import xxhash
 from pyspark.sql import functions as F
 
-from strataframe.llm import bpe, common, components, exact, language, lines, mixing, ngram_lm, quality, search, simhash, urls
+from strataframe.llm import bpe, common, components, exact, language, lines, mixing, ngram_lm, quality, queries, search, simhash, urls
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -294,6 +294,34 @@ def test_lines_match_brute_force(spark, monkeypatch, large, rounds):
     assert all(r.n_chars == len(r.text) for r in out.where("text is not null").collect())
 
 
+def edited_lines():
+    """Families of lines of 3 to 80 words with up to a fifth of the words replaced, added or taken out, and a passage that many share."""
+    rng, out = np.random.default_rng(8), []
+    for size in [3, *range(4, 22), 25, 40, 80] * 2:
+        base = [f"v{x}" for x in rng.integers(0, 400, size)]
+        out.append(base)
+        for edits in {0, 1, size // 5, size // 4}:
+            other = list(base)
+            for _ in range(edits):
+                at, kind = int(rng.integers(len(other))), int(rng.integers(3))
+                other[at : at + (kind != 1)] = [f"e{rng.integers(10**6)}"] if kind < 2 else []
+            out.append(other or ["x"])
+    out += [["p"] * 3 + "one two three four five six".split() + [f"q{i}", f"q{i * 7}", f"q{i * 9}"] for i in range(30)]
+    return [" ".join(x) for x in out]
+
+
+def test_line_query_misses_no_similar_lines(spark, tmp_path):
+    texts = edited_lines()
+    words = {t: t.split(" ") for t in texts}
+    root = brute_components(sorted(words), lambda a, b: edit_distance(words[a], words[b]) <= 0.2 * max(len(words[a]), len(words[b])) + 1e-9)
+    make(spark, [(i, t, "en", "s") for i, t in enumerate(texts)]).write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id for r in queries.QUERIES["op10_line_dedup"](spark, str(tmp_path)).collect() if r.n_kept}
+    first = {}
+    for i, t in enumerate(texts):
+        first.setdefault(root[t], i)
+    assert got == set(first.values())
+
+
 def test_lines_of_an_empty_table(spark):
     assert lines.line_groups(empty(spark)).count() == 0
     assert lines.dedup_lines(empty(spark)).count() == 0
