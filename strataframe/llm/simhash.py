@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from itertools import combinations
@@ -12,7 +13,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import apply_decisions, content, stash
-from .components import connected_components
+from .components import connected_components, connecting_links, shared_blocks
 
 SHINGLE = 3
 SEED = 42
@@ -21,6 +22,8 @@ DISTANCE = 2
 BLOCKS = 5
 #: Blocks with more fingerprints than this are linked through shared one-bit neighbours instead of in pairs.
 LARGE_BLOCK = 32
+#: Rounds in which large blocks of similar shingle sets are linked to one of them.
+ROUNDS = 4
 #: Shingles whose bits are counted at once.
 CHUNK = 1 << 14
 
@@ -101,9 +104,9 @@ def links(prints: DataFrame, distance: int = DISTANCE, blocks: int = BLOCKS, lar
     return pairs.union(hubs).distinct()
 
 
-def grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+def grouped(docs: DataFrame, width: int = SHINGLE) -> tuple[DataFrame, DataFrame]:
     """The rows as (doc_id, content, fp), and the distinct fingerprints as (fp, least doc_id, root of the group)."""
-    prints = stash(fingerprints(docs), "fingerprints")
+    prints = stash(fingerprints(docs, width), "fingerprints")
     nodes = stash(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
     roots = connected_components(links(nodes))
     nodes = nodes.join(roots, nodes["fp"] == roots["node"], "left")
@@ -124,12 +127,61 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return prints.join(named, "fp").select("doc_id", hexed.alias("fingerprint"), "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame) -> DataFrame:
+def _shingles(docs: DataFrame, width: int, similarity: float) -> DataFrame:
+    """(doc_id, content, id, size, hashes, keys) of every row.
+
+    ``id`` tells different word lists apart, ``hashes`` are the different shingles, ``keys`` the smallest of them, so many
+    that two sets at the similarity share one: they have at least similarity * size of either in common.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (b.slice(at, 1000) for b in batches for at in range(0, b.num_rows, 1000)):
+            ids, sets, keys = [], [], []
+            for text in batch.column(2):
+                found = _WORD.findall((text.as_py() or "").encode("utf-8", "surrogatepass").translate(_LOWER))
+                count = max(1, len(found) - width + 1) if found else 0
+                hashed = b"".join([xxhash.xxh64_digest(b" ".join(found[i : i + width]), SEED) for i in range(count)])
+                own = np.unique(np.frombuffer(hashed, ">i8").astype(np.int64))
+                ids.append(np.frombuffer(xxhash.xxh64_digest(b" ".join(found), SEED), ">i8")[0])
+                sets.append(own)
+                keys.append(own[: len(own) - math.ceil(similarity * len(own) - 1e-9) + 1])
+            sizes = [len(x) for x in sets]
+            columns = [pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(sets, pa.list_(pa.int64())), pa.array(keys, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *columns], names=["doc_id", "content", "id", "size", "hashes", "keys"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    whole = docs.select("doc_id", content(F.col("text")).alias("content"), F.col("text").cast("string"))
+    return whole.mapInArrow(run, f"doc_id {kind}, content bigint, id bigint, size bigint, hashes array<bigint>, keys array<bigint>")
+
+
+def _similar(docs: DataFrame, width: int, similarity: float) -> DataFrame:
+    """(doc_id, content, root): rows whose sets of shingles have this Jaccard similarity, directly or through others, share a root."""
+    rows = stash(_shingles(docs, width, similarity), "shingles")
+    nodes = stash(rows.dropDuplicates(["id"]).select("id", "size", "hashes", "keys"), "nodes")
+    shared = stash(shared_blocks(nodes.select(F.explode("keys").alias("key"), "id", "size")), "blocks")
+    sets = nodes.select("id", "size", "hashes")
+    first, second = (sets.toDF(end, f"{end}_size", f"{end}_hashes") for end in "uv")
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        both = F.size(F.array_intersect("u_hashes", "v_hashes"))
+        return pairs.join(first, "u").join(second, "v").where(both >= similarity * (F.col("u_size") + F.col("v_size") - both) - 1e-9).select("u", "v")
+
+    near = F.least("a_size", "b_size") >= similarity * F.greatest("a_size", "b_size") - 1e-9
+    roots = connected_components(connecting_links(shared, near, near, verified, LARGE_BLOCK, ROUNDS))
+    return rows.select("doc_id", "content", "id").join(roots, F.col("id") == F.col("node"), "left").select("doc_id", "content", F.coalesce("root", "id").alias("root"))
+
+
+def drop_near_duplicates(docs: DataFrame, width: int = SHINGLE, similarity: float | None = None) -> DataFrame:
     """Keep one row of each group of ``near_duplicates``: the smallest doc_id, ties by content; null ids come last.
 
-    The columns are those of ``docs``. Of rows that repeat both id and text one can stay.
+    With ``similarity`` the groups are those of shingle sets (of ``width`` words) with at least this Jaccard similarity,
+    of which none is missed, instead of near fingerprints; texts without words are one group. The columns are those of
+    ``docs``. Of rows that repeat both id and text one can stay.
     """
-    prints, nodes = grouped(docs)
-    rows = prints.join(nodes.select("fp", "root"), "fp")
+    if similarity is not None:
+        rows = _similar(docs, width, similarity)
+    else:
+        prints, nodes = grouped(docs, width)
+        rows = prints.join(nodes.select("fp", "root"), "fp")
     best = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "content")).alias("best"))
     return apply_decisions(docs, best.select("best.doc_id", "best.content"), "left_semi")

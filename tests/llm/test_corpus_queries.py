@@ -129,5 +129,24 @@ def test_pipeline_stages(spark, tmp_path):
     assert all(vocabulary.decode(r.ids).decode() == whole[r.doc_id] and r.n_tokens == len(r.ids) for r in texts["encode"])
 
 
+def test_near_dedup_stage_misses_no_similar_texts(spark):
+    texts = []
+    for family, size in enumerate([3, 20, 60, 200] * 3):
+        base = [f"v{family}x{i * i % 97}" for i in range(size)]
+        for changes in range(5):
+            texts.append(" ".join(f"e{changes}" if i % (size // 4 + 1) == 2 and i // (size // 4 + 1) < changes else w for i, w in enumerate(base)))
+    texts += ["", " "]
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if (w := t.split()) else set() for t in texts]
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if root[i] != root[j] and (sets[i] == sets[j] or len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])):
+                old, new = max(root[i], root[j]), min(root[i], root[j])
+                root = [new if r == old else r for r in root]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, SF).collect()} == set(root)
+    assert len(set(root)) < len(set(texts)) - 2
+
+
 def test_pipeline_query(spark):
     assert entry.queries()["pipeline"](spark, SF).columns == ["doc_id", "n_tokens", "ids"]
