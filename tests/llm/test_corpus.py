@@ -322,6 +322,14 @@ def test_line_query_misses_no_similar_lines(spark, tmp_path):
     assert got == set(first.values())
 
 
+def test_repeated_rows_do_not_change_a_fingerprint(spark):
+    line = " ".join(f"r{i}" for i in range(20))
+    docs = make(spark, [(None, line, "en", "s")] * 4000)
+    distinct = lines._lines(docs).select("id", "norm").dropDuplicates(["id"])
+    assert [r.fp % (1 << 64) for r in lines._fingerprinted(distinct).collect()] == [brute_line_fingerprint(line)]
+    assert lines.line_groups(docs).count() == 1
+
+
 def test_lines_of_an_empty_table(spark):
     assert lines.line_groups(empty(spark)).count() == 0
     assert lines.dedup_lines(empty(spark)).count() == 0
