@@ -9,10 +9,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from .common import LOWER, UPPER, stash
+from .ngram_lm import hot_and_cold, split_join
 
 #: (verdict, host, path)
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
-#: Longest context in bytes; contexts and characters are counted in hashed cells, so a model has a fixed size (6 MB).
+#: Longest context in bytes. Counts are exact tables; ``UrlModels`` keeps those of small samples in hashed cells.
 ORDER = 5
 CELLS = 1 << 18
 #: Weight of the shorter context's estimate, in counts.
@@ -91,47 +92,60 @@ class UrlModels:
         return np.bincount(owner, total, len(urls)) / np.bincount(owner, minlength=len(urls))
 
 
-def count(labelled: DataFrame) -> UrlModels:
-    """Models of (address, accepted) rows, counted over all of them; the driver receives at most a fixed number of cells."""
+def _windows(addresses: DataFrame) -> DataFrame:
+    """(id, yes, no, h, n): how often a window of ORDER bytes and the next one, in 48 bits, stands in an address (id, address, yes, no)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros((2, 2, ORDER + 1, CELLS), np.int32)
-        for batch in batches:
-            urls, kinds = batch.column(0).to_pylist(), np.array(batch.column(1).to_pylist(), np.int64)
-            if not urls:
-                continue
-            contexts, nexts, owner = _cells(urls)
-            for order in range(ORDER + 1):
-                for table, cells in ((0, contexts), (1, nexts)):
-                    np.add.at(sums, (kinds[owner], table, order, cells[order]), 1)
-        cells = np.flatnonzero(sums)
-        yield pa.RecordBatch.from_arrays([pa.array(cells, pa.int64()), pa.array(sums.reshape(-1)[cells].astype(np.int64))], names=["cell", "n"])
-
-    parts = labelled.select("address", F.col("accepted").cast("int").alias("kind")).mapInArrow(run, "cell bigint, n bigint")
-    got = parts.groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
-    sums = np.zeros(2 * 2 * (ORDER + 1) * CELLS, np.float32)
-    sums[np.asarray(got["cell"])] = np.asarray(got["n"])
-    sums = sums.reshape(2, 2, ORDER + 1, CELLS)
-    return UrlModels(sums[:, 0], sums[:, 1])
-
-
-def with_ratio(urls: DataFrame, models: UrlModels) -> DataFrame:
-    """Add ``ratio`` to a table with a column ``address``."""
-    spark = urls.sparkSession
-    shared = spark.sparkContext.broadcast((models.contexts, models.nexts))
-    at, order = urls.columns.index("address"), [*urls.columns, "ratio"]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = UrlModels(*shared.value)
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(own.scores(batch.column(at).to_pylist()), pa.float64())], names=order)
-
-    return urls.mapInArrow(run, T.StructType([*urls.schema.fields, T.StructField("ratio", T.DoubleType())]))
-
-
-def calibrate(labelled: DataFrame, models: UrlModels) -> float:
-    """The threshold that tells (address, accepted) rows apart best: largest mean of both classes' shares told right."""
-    scored = with_ratio(labelled.select("address", "accepted"), models)
+        for batch in (b.slice(at, 1000) for b in batches for at in range(0, b.num_rows, 1000)):
+            data = [START + u.encode() + b"\x03" for u in batch.column(3).to_pylist()]
+            sizes = np.array([len(d) for d in data], np.int64)
+            flat = np.frombuffer(b"".join(data), np.uint8).astype(np.int64)
+            owner = np.repeat(np.arange(len(data)), sizes)
+            place = np.flatnonzero(np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes) >= ORDER)
+            window = sum(flat[place - k] << (8 * k) for k in range(ORDER + 1))
+            pairs, n = np.unique(np.stack([owner[place], window]), axis=1, return_counts=True)
+            rows = pa.array(pairs[0])
+            columns = [batch.column(i).take(rows) for i in range(3)] + [pa.array(pairs[1]), pa.array(n.astype(np.int64))]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "yes", "no", "h", "n"])
+
+    return addresses.select("id", "yes", "no", "address").mapInArrow(run, "id bigint, yes bigint, no bigint, h bigint, n bigint")
+
+
+def _valued(windows: DataFrame) -> DataFrame:
+    """(h, c, value): log p(accepted) - log p(rejected) of every window's last byte, from exact counts of all orders."""
+    table = stash(
+        windows.groupBy("h").agg(F.sum("n").alias("c"), F.sum(F.col("n") * F.col("yes")).alias("yes"), F.sum(F.col("n") * F.col("no")).alias("no")), "windows"
+    )
+    out = table.select("h", "c").withColumns({"p_yes": F.lit(1 / 256), "p_no": F.lit(1 / 256)})
+    for order in range(ORDER + 1):
+        key = F.col("h").bitwiseAND(F.lit((1 << 8 * (order + 1)) - 1))
+        nexts = stash(table.groupBy(key.alias("_next")).agg(F.sum("yes").alias("_ny"), F.sum("no").alias("_nn")), "nexts")
+        before = F.shiftright("_next", 8).alias("_before")
+        seen = stash(nexts.groupBy(before).agg(F.sum("_ny").alias("_sy"), F.sum("_nn").alias("_sn")), "seen")
+        nexts = nexts.withColumn("_b", before).join(seen, F.col("_b") == F.col("_before")).drop("_b")
+        out = out.withColumn("_key", key).join(nexts, F.col("_key") == F.col("_next"))
+        mixed = lambda n, s, p: (F.col(n) + PRIOR * F.col(p)) / (F.col(s) + PRIOR)
+        out = out.select("h", "c", mixed("_ny", "_sy", "p_yes").alias("p_yes"), mixed("_nn", "_sn", "p_no").alias("p_no"))
+    return stash(out.select("h", "c", (F.log("p_yes") - F.log("p_no")).alias("value")), "values")
+
+
+def with_ratio(urls: DataFrame, learned: Column, accepted: Column) -> DataFrame:
+    """Add ``ratio`` to a table with a column ``address``: the mean log ratio of its bytes under the models of the ``learned`` rows."""
+    keyed = urls.withColumn("_id", F.xxhash64("address"))
+    addresses = keyed.groupBy(F.col("_id").alias("id")).agg(
+        F.min("address").alias("address"),
+        F.sum((learned & accepted).cast("long")).alias("yes"), F.sum((learned & ~accepted).cast("long")).alias("no"),
+    )
+    addresses = addresses.withColumns({"yes": F.coalesce("yes", F.lit(0)).cast("long"), "no": F.coalesce("no", F.lit(0)).cast("long")})
+    windows = stash(_windows(addresses), "places")
+    hot, cold = hot_and_cold(_valued(windows))
+    valued = split_join(windows.select("id", "h", "n"), hot.select("h", "value"), cold.select("h", "value"), "h")
+    ratios = valued.groupBy("id").agg((F.sum(F.col("n") * F.col("value")) / F.sum("n")).alias("ratio"))
+    return keyed.join(stash(ratios, "ratios"), F.col("_id") == F.col("id")).drop("_id", "id")
+
+
+def calibrate(scored: DataFrame) -> float:
+    """The threshold that tells (ratio, accepted) rows apart best: largest mean of both classes' shares told right."""
     bin_ = F.floor((F.least(F.greatest("ratio", F.lit(-SPAN)), F.lit(SPAN)) + SPAN) / (2 * SPAN) * BINS)
     got = scored.groupBy(bin_.alias("bin")).agg(F.sum(F.col("accepted").cast("long")).alias("yes"), F.count(F.lit(1)).alias("n")).collect()
     yes, no = np.zeros(BINS + 1), np.zeros(BINS + 1)
@@ -161,8 +175,8 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES) -> Da
     kinds = ruled.groupBy("accepted").agg(F.count(F.lit(1)).alias("n")).collect()
     if len(kinds) < 2:
         return urls.withColumn("ratio", F.lit(0.0)).select("page_id", "host", "path", "rule", F.coalesce("verdict", F.lit("allow")).alias("verdict"), "ratio")
-    models = count(ruled.where(~apart))
-    threshold = calibrate(ruled.where(apart), models)
-    scored = with_ratio(urls, models)
+    accepted = F.col("verdict") == "allow"
+    scored = stash(with_ratio(urls, F.col("verdict").isNotNull() & ~apart, accepted), "scored")
+    threshold = calibrate(scored.where(F.col("verdict").isNotNull() & apart).select("ratio", accepted.alias("accepted")))
     method = F.when(F.col("ratio") >= threshold, "allow").otherwise("block")
     return scored.select("page_id", "host", "path", "rule", F.coalesce("verdict", method).alias("verdict"), "ratio")

@@ -3,6 +3,7 @@
 import hashlib
 import math
 import re
+import zlib
 from collections import Counter, defaultdict
 from itertools import combinations
 
@@ -525,6 +526,29 @@ def test_url_models_tell_kinds_apart(spark):
     assert all(r.rule is None and r.verdict == ("allow" if r.page_id % 2 else "block") for r in got)
 
 
+def test_url_ratios_are_those_of_exact_counts(spark):
+    rng = np.random.default_rng(9)
+    rows = [(i, f"http://h.{'example.net/en' if i % 2 else 'site.net'}/" + "".join(chr(c) for c in rng.integers(33, 123, 60)).replace("#", "a").replace("?", "b")) for i in range(1500)]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    got = {r.page_id: r for r in urls.judge(pages).collect()}
+    counts, data = Counter(), {i: urls.START + (r.host + r.path).encode() + b"\x03" for i, r in got.items()}
+    for i, r in got.items():
+        if r.rule and zlib.crc32((r.host + r.path).encode()) % urls.CALIBRATION:
+            for at in range(urls.ORDER, len(data[i])):
+                for k in range(urls.ORDER + 1):
+                    counts[r.verdict, data[i][at - k : at + 1]] += 1
+                    counts[r.verdict, k, data[i][at - k : at]] += 1
+    for i in range(20):
+        total = 0.0
+        for at in range(urls.ORDER, len(data[i])):
+            for verdict, sign in (("allow", 1), ("block", -1)):
+                p = 1 / 256
+                for k in range(urls.ORDER + 1):
+                    p = (counts[verdict, data[i][at - k : at + 1]] + urls.PRIOR * p) / (counts[verdict, k, data[i][at - k : at]] + urls.PRIOR)
+                total += sign * math.log(p)
+        assert got[i].ratio == pytest.approx(total / (len(data[i]) - urls.ORDER), abs=1e-9)
+
+
 def test_url_probabilities_sum_to_one():
     contexts, nexts, _ = urls._cells(["abab", "abba"])
     tables = np.zeros((2, 2, urls.ORDER + 1, urls.CELLS), np.float32)
