@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, exact, language, lines, mixing, ngram_lm, quality, search, simhash, urls
+from . import bpe, exact, fm_index, language, lines, mixing, ngram_lm, quality, search, simhash, urls
 from .common import LOWER, UPPER, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -126,3 +126,21 @@ def op9_exact_dedup(spark, sf_dir):
 @query("op10_line_dedup")
 def op10_line_dedup(spark, sf_dir):
     return lines.line_dedup_report(table(spark, sf_dir, "documents"), distance=None)
+
+
+@query(
+    "op11_fm_decontamination",
+    rf"""WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{fm_index.WORD}') AS w FROM documents),
+  b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{fm_index.WORD}') AS w FROM benchmark),
+  p AS (SELECT item_id, w[i:i + 9] AS g, len(w[i:i + 9]) AS n FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS i FROM b WHERE len(w) > 0)),
+  s AS (SELECT doc_id, i, w[i:i + n - 1] AS g, n FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM d), (SELECT DISTINCT n FROM p)
+    WHERE i + n - 1 <= len(w)),
+  o AS (SELECT DISTINCT s.doc_id, s.i, s.n, p.item_id FROM s JOIN p ON s.n = p.n AND s.g = p.g),
+  h AS (SELECT doc_id, count(DISTINCT at) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS at FROM o) GROUP BY doc_id),
+  t AS (SELECT doc_id, count(*) AS n_items, sha256(string_agg(item, ',' ORDER BY item)) AS items FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM o) GROUP BY doc_id)
+SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+  coalesce(items, sha256('')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+FROM d LEFT JOIN h USING (doc_id) LEFT JOIN t USING (doc_id)""",
+)
+def op11_fm_decontamination(spark, sf_dir):
+    return fm_index.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
