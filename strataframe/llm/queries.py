@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, exact, fm_index, language, lines, mixing, ngram_lm, quality, search, simhash, urls
+from . import bpe, exact, fm_index, language, lines, mixing, ngram_lm, quality, repair, search, simhash, urls
 from .common import LOWER, UPPER, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -136,7 +136,7 @@ def op10_line_dedup(spark, sf_dir):
   s AS (SELECT doc_id, i, w[i:i + n - 1] AS g, n FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM d), (SELECT DISTINCT n FROM p)
     WHERE i + n - 1 <= len(w)),
   o AS (SELECT DISTINCT s.doc_id, s.i, s.n, p.item_id FROM s JOIN p ON s.n = p.n AND s.g = p.g),
-  h AS (SELECT doc_id, count(DISTINCT at) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS at FROM o) GROUP BY doc_id),
+  h AS (SELECT doc_id, count(DISTINCT pos) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS pos FROM o) GROUP BY doc_id),
   t AS (SELECT doc_id, count(*) AS n_items, sha256(string_agg(item, ',' ORDER BY item)) AS items FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM o) GROUP BY doc_id)
 SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
   coalesce(items, sha256('')) AS items_sha256, n_hit IS NOT NULL AS contaminated
@@ -144,3 +144,67 @@ FROM d LEFT JOIN h USING (doc_id) LEFT JOIN t USING (doc_id)""",
 )
 def op11_fm_decontamination(spark, sf_dir):
     return fm_index.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def _crc32(text: str) -> str:
+    """SQL of the unsigned CRC-32 of a text of ASCII characters."""
+    bits = "lambda x, y: xor(x >> 1, (x & 1) * 3988292384)"  # the polynomial, a bit at a time
+    coded = f"list_transform(string_split({text}, ''), lambda x: ascii(x)::BIGINT)"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {coded}), lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], {bits})), 4294967295)"
+
+
+def _edit(cost: int | str, letter: str, after: str) -> str:
+    """SQL of a cost in nine digits and letters behind it, with an edit put before them."""
+    return f"printf('%09d', {after}[:9]::INT + {cost}) || '{letter}' || {after}[10:]"
+
+
+def _way(state: int) -> str:
+    """SQL of the cheapest edit of a row in a state, letters breaking ties."""
+    ways = [_edit(repair.DELETE, "D", f"a{state}")]
+    for initial, kept in repair.KEPT.items():
+        if state in kept:
+            ways.append(f"CASE WHEN c = '{repair.INITIALS[initial]}' AND f NOT IN (1, 2) THEN {_edit('t', 'K', f'a{kept[state]}')} END")
+    ways.append(f"CASE WHEN f NOT IN (1, 2) THEN {_edit(f'{repair.REROLE} + t', 'R', f'a{repair.TURN[state]}')} END")
+    return f"least({', '.join(ways)}) AS e{state}"
+
+
+def _inserted(state: int) -> str:
+    once, twice = repair.TURN[state], repair.TURN[repair.TURN[state]]
+    return f"least(e{state}, {_edit(3, 'I', f'e{once}')}, {_edit(6, 'II', f'e{twice}')}) AS a{state}"
+
+
+@query(
+    "op12_structure_repair",
+    rf"""WITH RECURSIVE k AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    {_crc32("coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ')")} % 20 AS kind FROM conversations),
+  r AS (SELECT conv_id, turn, CASE kind WHEN 4 THEN 'user' ELSE role END AS role,
+    CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text FROM k, range(CASE kind WHEN 3 THEN 2 ELSE 1 END) WHERE kind <> 0),
+  o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i, count(*) OVER (PARTITION BY conv_id) AS n FROM r),
+  v AS (SELECT *, role[:1] AS c, lag(role[:1]) OVER (PARTITION BY conv_id ORDER BY i) AS b,
+    CASE WHEN NOT regexp_matches(text, '[^ 	-
+]') THEN 1 WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 2
+      WHEN NOT regexp_matches(text, '[.!?][ 	-
+]*$') THEN 3 ELSE 0 END AS f FROM o),
+  w AS (SELECT *, CASE f WHEN 3 THEN 3 ELSE 0 END AS t FROM v),
+  z AS (SELECT conv_id, max(n) + 1 AS i, '000000000' AS a0, '000000006II' AS a1, '000000003I' AS a2, '000000000' AS a3 FROM w GROUP BY conv_id
+    UNION ALL SELECT conv_id, i, {", ".join(_inserted(s) for s in range(4))} FROM (SELECT w.conv_id, w.i, {", ".join(_way(s) for s in range(4))}
+      FROM z JOIN w ON z.conv_id IS NOT DISTINCT FROM w.conv_id AND w.i = z.i - 1)),
+  p AS (SELECT conv_id, a0[:9]::BIGINT AS cost, a0[10:] AS audit FROM z WHERE i = 1),
+  x AS (SELECT conv_id, audit, unnest(range(1, len(audit) + 1)) AS pos FROM p),
+  y AS (SELECT conv_id, pos, audit[pos] AS e, sum((audit[pos] <> 'I')::INT) OVER u AS i, sum((audit[pos] <> 'D')::INT) OVER u AS put FROM x
+    WINDOW u AS (PARTITION BY conv_id ORDER BY pos ROWS UNBOUNDED PRECEDING)),
+  g AS (SELECT y.*, w.role, w.text, w.c, max((put = 1 AND e = 'K' AND w.c = 's')::INT) OVER (PARTITION BY y.conv_id) AS sys
+    FROM y LEFT JOIN w ON y.conv_id IS NOT DISTINCT FROM w.conv_id AND y.i = w.i AND e <> 'I' WHERE e <> 'D'),
+  h AS (SELECT conv_id, sha256(string_agg(CASE WHEN e = 'K' THEN role WHEN (put - sys) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || CASE e WHEN 'I' THEN '' ELSE text END,
+    chr(10) ORDER BY pos)) AS digest FROM g GROUP BY conv_id),
+  m AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (f = 1) AS blank, count(*) FILTER (f = 2) AS duplicate,
+    count(*) FILTER (f = 3) AS truncated, count(*) FILTER (i > 1 AND b || c NOT IN ('su', 'ua', 'au')) AS illegal FROM w GROUP BY conv_id)
+SELECT d.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate,
+  coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal, coalesce(cost, 0)::BIGINT AS cost, coalesce(audit, '') AS audit,
+  coalesce(digest, sha256('')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) d LEFT JOIN m ON d.conv_id IS NOT DISTINCT FROM m.conv_id
+  LEFT JOIN p ON d.conv_id IS NOT DISTINCT FROM p.conv_id LEFT JOIN h ON d.conv_id IS NOT DISTINCT FROM h.conv_id""",
+)
+def op12_structure_repair(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations")
+    return repair.structure_report(repair.damaged(rows), rows)
