@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, exact, fm_index, language, lines, mixing, ngram_lm, quality, repair, search, simhash, urls
+from . import bpe, exact, fm_index, language, lines, mixing, ngram_lm, quality, repair, search, simhash, trie, urls
 from .common import LOWER, UPPER, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -208,3 +208,26 @@ FROM (SELECT DISTINCT conv_id FROM conversations) d LEFT JOIN m ON d.conv_id IS
 def op12_structure_repair(spark, sf_dir):
     rows = table(spark, sf_dir, "conversations")
     return repair.structure_report(repair.damaged(rows), rows)
+
+
+@query(
+    "op13_prefix_trie",
+    rf"""WITH t AS (SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i FROM conversations WHERE conv_id IS NOT NULL),
+  n AS (SELECT c, max(i) AS n, {_crc32("c::VARCHAR")} % 9 AS h FROM t GROUP BY c),
+  p AS (SELECT n.c, n.h, n.c - n.c % 5 AS base, least(n.h, coalesce(b.n, 0)) AS lent FROM n LEFT JOIN n b ON b.c = n.c - n.c % 5),
+  r AS (SELECT p.c, t.i AS d, t.role, t.text FROM p JOIN t ON t.c = p.base AND t.i <= p.h
+    UNION ALL SELECT p.c, t.i - p.h + p.lent, t.role, t.text FROM p JOIN t ON t.c = p.c AND t.i > p.h),
+  x AS (SELECT c, d, strlen(text) AS bytes, sha256(string_agg(len(role) || ':' || role || len(text) || ':' || text, '' ) OVER (PARTITION BY c ORDER BY d ROWS UNBOUNDED PRECEDING)) AS k FROM r),
+  l AS (SELECT c, 0 AS d, 0 AS bytes, '' AS k FROM p UNION ALL SELECT c, d, bytes, k FROM x),
+  y AS (SELECT *, lag(k) OVER (PARTITION BY c ORDER BY d) AS up, d = max(d) OVER (PARTITION BY c) AS ends FROM l),
+  v AS (SELECT d, k, min(up) AS up, min(c) AS c, count(*) AS n_convs, max(bytes) AS bytes,
+    coalesce(sha256(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (ends)), sha256('')) AS ends_sha256 FROM y GROUP BY d, k),
+  w AS (SELECT v.*, (SELECT count(*) FROM v z WHERE z.up = v.k AND z.d = v.d + 1) AS n_children FROM v),
+  s AS (SELECT a.d, a.k, sum((w.n_children = 0)::INT) AS n_leaves, sum((w.n_convs - 1) * w.bytes) AS saved
+    FROM w JOIN y a ON a.c = w.c AND a.d <= w.d GROUP BY a.d, a.k)
+SELECT w.c AS conv_id, w.d::BIGINT AS depth, q.c AS parent_conv_id, w.n_convs, w.n_children, s.n_leaves::BIGINT AS n_leaves, s.saved::BIGINT AS saved_tokens, w.ends_sha256
+FROM w JOIN s USING (d, k) LEFT JOIN v q ON q.d = w.d - 1 AND q.k = w.up""",
+)
+def op13_prefix_trie(spark, sf_dir):
+    return trie.rebuilt_trie(table(spark, sf_dir, "conversations"))
