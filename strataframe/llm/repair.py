@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from .common import stash
-from .turns import numbered
+from .turns import numbered, turn_order
 
 #: Rows in a chunk, a power of two.
 CHUNK = 4096
@@ -153,12 +153,12 @@ def row_codes(rows: DataFrame) -> DataFrame:
 
 
 def ordered_turns(conversations: DataFrame) -> DataFrame:
-    """(conv, turn, role, text, rid) in order of turn within conv (nulls first), ties by role, text digest and text."""
+    """(conv, turn, role, text, rid) in order of turn within conv (nulls first), ties by role and text."""
     rows = conversations.select(
         F.col("conv_id").alias("conv"), F.col("turn").cast("long").alias("turn"),
         F.coalesce(F.col("role").cast("string"), F.lit(" ")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit(" ")).alias("text"),
     )
-    return numbered(rows, ["conv", "turn", "role", F.xxhash64("text")], ["text"], "turns")
+    return numbered(rows, *turn_order(), "turns")
 
 
 def settled(chunks: DataFrame) -> DataFrame:
@@ -283,7 +283,7 @@ def repair(conversations: DataFrame, chunk: int = CHUNK) -> DataFrame:
     repaired conversation, and ``D``eleted ones without. Roles' initials then read ``(s?(ua)+)?``. Keeping costs 0,
     another role or an inserted empty row 3, deleting 4; a truncated row (last visible character not ``.!?``) that stays
     costs 3 more; blank rows and repeats of an earlier role and text must go. Of equally cheap edits those whose
-    letters come first are taken. Rows go by turn, nulls first, equal ones by role, text digest and text, so rows that
+    letters come first are taken. Rows go by turn, nulls first, equal ones by role and text, so rows that
     repeat are duplicates; null roles and texts are one space, which is no role that can be kept, nor is an empty one.
     Rows with a null conv_id are one conversation. An empty table gives an empty result; other columns are ignored.
     """

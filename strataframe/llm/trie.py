@@ -16,7 +16,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame, functions as F
 
 from .common import stash
-from .turns import carried, numbered
+from .turns import carried, numbered, turn_order
 
 #: Rows of conversations below a node of the spine, at least; a shard holds about as many nodes.
 SHARD_ROWS = 1 << 18
@@ -130,18 +130,18 @@ def _ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def turn_rows(conversations: DataFrame) -> DataFrame:
-    """(conv, depth, digest, bytes) of all turns: place by turn (nulls first, ties by role, text digest, text), SHA-256 of
-    role and text, UTF-8 bytes of the text. Null roles and texts are empty; rows without conv_id belong to none."""
+    """(conv, depth, digest, bytes) of all turns: place by turn (nulls first, ties by role and text), SHA-256 of role and text,
+    UTF-8 bytes of the text. Null roles and texts are empty; rows without conv_id belong to none."""
     role, text = (F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("role", "text"))
     rows = conversations.where("conv_id IS NOT NULL").select(
         F.col("conv_id").cast("long").alias("conv"), F.col("turn").cast("long").alias("turn"), role.alias("role"), text.alias("text")
     )
     rows = rows.select(
-        "conv", "turn", "role", F.octet_length("text").cast("long").alias("bytes"), F.xxhash64("text").alias("key"),
+        "conv", "turn", "role", "text", F.octet_length("text").cast("long").alias("bytes"),
         F.sha2(F.concat_ws(":", F.octet_length("role"), "role", "text"), 256).alias("digest"),
     )
-    order = ["conv", "turn", "role", "key", "digest"]
-    return carried(numbered(rows, order, [], "turns"), "conv", {"depth": F.lit(True)}, {}).select("conv", "depth", "digest", "bytes")
+    ordered = numbered(rows, *turn_order(), "turns", drop=["role", "text"])
+    return carried(ordered, "conv", {"depth": F.lit(True)}, {}).select("conv", "depth", "digest", "bytes")
 
 
 def trie(turns: DataFrame, ids: DataFrame, shard_rows: int = SHARD_ROWS) -> DataFrame:

@@ -12,13 +12,19 @@ from .common import stash
 RANGE_BITS = 33
 
 
-def numbered(df: DataFrame, order: Sequence[str | Column], ties: Sequence[str | Column], name: str) -> DataFrame:
+def numbered(df: DataFrame, order: Sequence[str | Column], ties: Sequence[str | Column], name: str, drop: Sequence[str] = ()) -> DataFrame:
     """``df`` with a column ``rid`` that grows along ``order``, then ``ties``; stored, as the ranges come from a sample.
 
-    Ranges are cut by ``order``; rows equal in it lie in one range. ``rid >> RANGE_BITS`` is the range.
+    Ranges are cut by ``order``; rows equal in it lie in one range. ``rid >> RANGE_BITS`` is the range. Columns of
+    ``drop`` serve the order only.
     """
     ranged = df.repartitionByRange(*order).sortWithinPartitions(*order, *ties)
-    return stash(ranged.withColumn("rid", F.monotonically_increasing_id()), name)
+    return stash(ranged.withColumn("rid", F.monotonically_increasing_id()).drop(*drop), name)
+
+
+def turn_order(role: str = "role", text: str = "text") -> tuple[list, list]:
+    """Order of turns within ``conv``: by turn (nulls first), ties by role and text; ranges see only a text's beginning."""
+    return ["conv", "turn", role, F.substring(text, 1, 32)], [text]
 
 
 def carried(rows: DataFrame, key: str, counts: dict[str, Column], xors: dict[str, Column]) -> DataFrame:
