@@ -15,6 +15,8 @@ SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     # Vector aggregates keep one buffer per group; let a task hold more of them before it sorts.
     "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "4096",
+    # State of streams off the heap; the retention buffer's map state needs it.
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.ui.enabled": "false",
 }
 

@@ -11,8 +11,8 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 SAMPLES = "row_id long, recording_id long, ch string, ts timestamp, v double"
 MARKERS = "code long, recording_id long, onset timestamp"
@@ -95,7 +95,10 @@ def close_run(done: DataFrame, markers: DataFrame, tail: Callable[[DataFrame], D
     """Result of a bounded run with one row for every marker: ``done`` is what the stream has put out, and ``tail``
     gives, as a batch, the rows of the markers that were still waiting when the input ended."""
     keys = ["recording_id", "code", "onset"]
-    left = markers.where(F.col("code") != 0).join(done.select(*keys), keys, "left_anti")
+    given = markers.where(F.col("code") != 0)
+    numbered = Window.partitionBy(*keys).orderBy(F.lit(0))  # equal markers only
+    came = done.select(*keys).withColumn("_nth", F.row_number().over(numbered))
+    left = given.withColumn("_nth", F.row_number().over(numbered)).join(came, [*keys, "_nth"], "left_anti").drop("_nth")
     return done.unionByName(tail(left).select(*done.columns))
 
 
@@ -103,7 +106,123 @@ ASSEMBLED = (
     "recording_id long, code long, onset double, n_samples long, max_gap double, status string, "
     "ch array<string>, t array<double>, v array<double>"
 )
-STATE = "row_id array<long>, ch array<string>, t array<double>, v array<double>, code array<long>, onset array<double>, last double"
+BUCKET_KEY = "bucket long"
+BUCKET = "row_id array<long>, ch array<string>, t array<double>, v array<double>"
+PENDING_KEY = "onset double, code long"
+PENDING = "times long"
+#: Of a recording: newest sample, time back to which samples are held, first bucket held, least end of a waiting marker's
+#: window, and the timer that is set.
+SPAN = "last double, earliest double, low long, due double, alarm long"
+
+
+class RetentionBuffer(StatefulProcessor):
+    """Samples of a recording in time buckets, its waiting markers, and one event-time timer for what is due next."""
+
+    def __init__(self, tmin: float, tmax: float, retention: float, max_gap: float | None, width: float):
+        self.tmin, self.tmax, self.retention, self.max_gap, self.width = tmin, tmax, retention, max_gap, width
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.buckets = handle.getMapState("buckets", BUCKET_KEY, BUCKET)
+        self.pending = handle.getMapState("pending", PENDING_KEY, PENDING)
+        self.span = handle.getValueState("span", SPAN)
+
+    def _bucket(self, t: float) -> int:
+        return int(np.floor(t / self.width))
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        last, earliest, low, due, alarm = self.span.get() or (float("-inf"), float("inf"), None, float("inf"), None)
+        for pdf in rows:
+            marker = pdf["code"].notna()
+            for (onset, code), n in pdf[marker].groupby(["t", "code"]).size().items():
+                seen = self.pending.getValue((onset, int(code)))
+                self.pending.updateValue((float(onset), int(code)), (int(n) + (seen[0] if seen else 0),))
+                due = min(due, float(onset) + self.tmax)
+            fresh = pdf[~marker]
+            for bucket, part in fresh.groupby(np.floor(fresh["t"] / self.width).astype("int64")):
+                held = self.buckets.getValue((int(bucket),)) or ([], [], [], [])
+                lists = part["row_id"].astype("int64"), part["ch"].astype(str), part["t"], part["v"]
+                self.buckets.updateValue((int(bucket),), tuple([*old, *new.tolist()] for old, new in zip(held, lists)))
+                low = int(bucket) if low is None else min(low, int(bucket))
+            if len(fresh):
+                last, earliest = max(last, float(fresh["t"].max())), min(earliest, float(fresh["t"].min()))
+        yield from self._advance(key, timerValues.getCurrentWatermarkInMs() / 1000.0, last, earliest, low, due, alarm)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if self.span.exists():
+            *held, _ = self.span.get()
+            yield from self._advance(key, timerValues.getCurrentWatermarkInMs() / 1000.0, *held, None)
+
+    def _window(self, t0: float, t1: float) -> pd.DataFrame:
+        held = [b for i in range(self._bucket(t0), self._bucket(t1) + 1) if (b := self.buckets.getValue((i,)))]
+        rows = pd.DataFrame({c: [x for b in held for x in b[i]] for i, c in enumerate(("row_id", "ch", "t", "v"))})
+        rows = rows.sort_values(["t", "row_id"])
+        return rows[(rows["t"] >= t0) & (rows["t"] < t1)]
+
+    def _settle(self, rec: int, code: int, onset: float, earliest: float, ready: bool) -> dict:
+        t0, t1 = onset + self.tmin, onset + self.tmax
+        hit = self._window(t0, t1)
+        gap = float(np.diff(hit["t"]).max()) if len(hit) > 1 else None
+        if not ready:
+            status = "not_ready"
+        elif earliest > t0:
+            status = "aged_out"
+        elif not len(hit):
+            status = "empty"
+        elif self.max_gap is not None and gap is not None and gap > self.max_gap:
+            status = "dropout"
+        else:
+            status = "ok"
+        keep = hit if status == "ok" else hit.iloc[:0]
+        return {
+            "recording_id": rec, "code": code, "onset": onset, "n_samples": len(hit), "max_gap": gap, "status": status,
+            "ch": list(keep["ch"]), "t": list(keep["t"]), "v": list(keep["v"]),
+        }
+
+    def _advance(
+        self, key, now: float, last: float, earliest: float, low: int | None, due: float, alarm: int | None
+    ) -> Iterator[pd.DataFrame]:
+        """Put out the markers that can be, drop the buckets nobody needs, and set the timer for what comes next."""
+        if due <= min(last, now) or due + self.retention <= now:
+            rec, out, due = int(key[0]), [], float("inf")
+            for (onset, code), (times,) in sorted(self.pending.iterator()):
+                end = onset + self.tmax
+                ready = end <= min(last, now)
+                if ready or end + self.retention <= now:
+                    out += [self._settle(rec, code, onset, earliest, ready)] * times
+                    self.pending.removeKey((onset, code))
+                else:
+                    due = min(due, end)
+            yield pd.DataFrame(out, columns=[c.split()[0] for c in ASSEMBLED.split(", ")])
+        if due == float("inf") and last + self.retention <= now:
+            self.buckets.clear()
+            self.span.clear()
+            if alarm is not None:
+                self.handle.deleteTimer(alarm)
+            return
+        keep_from = min(last - self.retention, now - self.retention, due - self.tmax + self.tmin)
+        if low is not None and (low + 1) * self.width <= keep_from:
+            for (bucket,) in sorted(self.buckets.keys()):
+                low = bucket
+                if (bucket + 1) * self.width > keep_from:
+                    break
+                self.buckets.removeKey((bucket,))
+                earliest = max(earliest, (bucket + 1) * self.width)
+            else:
+                low = None
+        # A window whose end the watermark has passed waits for samples or for the end of its grace; so do later ones.
+        times = [due if due > now else due + self.retention, last + self.retention]
+        times += [(low + 1) * self.width + self.retention] if low is not None else []
+        ahead = [x for x in times if x > now and np.isfinite(x)]
+        wanted = max(int(np.ceil(min(ahead, default=now) * 1000)), int(now * 1000)) + 1
+        if wanted != alarm:
+            if alarm is not None:
+                self.handle.deleteTimer(alarm)
+            self.handle.registerTimer(wanted)
+        self.span.update((last, earliest, low, due, wanted))
+
+    def close(self) -> None:
+        pass
 
 
 def assemble_epochs(
@@ -114,15 +233,19 @@ def assemble_epochs(
     retention: float = 30.0,
     max_gap: float | None = 0.1,
     delay: str = "10 seconds",
+    bucket: float | None = None,
 ) -> DataFrame:
     """Epochs from a retention buffer per recording, with a status for every marker.
 
     A marker is settled once its recording's samples and the watermark have reached ``onset + tmax``, so that samples
     which arrive out of order within ``delay`` count however the input is cut into batches: ``ok``, ``empty``,
-    ``dropout`` or ``aged_out`` (the buffer no longer reaches back to ``onset + tmin``). Later markers do not wait for
-    earlier ones. Samples leave the buffer ``retention`` seconds behind the newest, but never while a pending marker
-    needs them. When a recording falls silent for ``retention`` past a marker's window, the marker comes out as
-    ``not_ready``. What still waits when a bounded run ends is finished by ``close_run``.
+    ``dropout`` or ``aged_out`` (the buffer doesn't reach back to ``onset + tmin``). Later markers do not wait for
+    earlier ones, and a marker that came twice comes out twice. The buffer lies in buckets of ``bucket`` seconds (half a
+    window by default) in a map state: a micro-batch writes the buckets that it fills and reads those of the windows
+    that it settles. Buckets leave ``retention`` seconds behind the newest sample and the watermark, but never while a
+    waiting marker needs them. When a recording falls silent for ``retention`` past a marker's window, the marker comes
+    out as ``not_ready``. What still waits when a bounded run ends is finished by ``close_run``. State lives in the
+    RocksDB store, which ``session.configure`` sets.
     """
     s = samples.select("recording_id", F.col("ts").alias("at"), "row_id", "ch", "v", F.lit(None).cast("bigint").alias("code"))
     m = markers.where(F.col("code") != 0).select(
@@ -134,80 +257,5 @@ def assemble_epochs(
         "code",
     )
     events = s.unionByName(m).withWatermark("at", delay).withColumn("t", _seconds("at"))
-
-    def settle(rec: int, code: int, onset: float, buf: pd.DataFrame, ready: bool) -> dict:
-        t0, t1 = onset + tmin, onset + tmax
-        hit = buf[(buf["t"] >= t0) & (buf["t"] < t1)]
-        gap = float(np.diff(hit["t"]).max()) if len(hit) > 1 else None
-        if not ready:
-            status = "not_ready"
-        elif not len(buf) or buf["t"].min() > t0:
-            status = "aged_out"
-        elif not len(hit):
-            status = "empty"
-        elif max_gap is not None and gap is not None and gap > max_gap:
-            status = "dropout"
-        else:
-            status = "ok"
-        keep = hit if status == "ok" else hit.iloc[:0]
-        return {
-            "recording_id": rec,
-            "code": code,
-            "onset": onset,
-            "n_samples": len(hit),
-            "max_gap": gap,
-            "status": status,
-            "ch": list(keep["ch"]),
-            "t": list(keep["t"]),
-            "v": list(keep["v"]),
-        }
-
-    columns = ["recording_id", "code", "onset", "n_samples", "max_gap", "status", "ch", "t", "v"]
-
-    def step(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rec, now = int(key[0]), state.getCurrentWatermarkMs() / 1000.0
-        if state.exists:
-            row_id, ch, t, v, code, onset, last = state.get
-        else:
-            row_id, ch, t, v, code, onset, last = [], [], [], [], [], [], float("-inf")
-        buffered = [pd.DataFrame({"row_id": row_id, "ch": ch, "t": t, "v": v})] if len(row_id) else []
-        marks = [pd.DataFrame({"code": code, "t": onset})] if len(code) else []
-        if not state.hasTimedOut:
-            for pdf in chunks:
-                fresh = pdf["code"].isna()
-                buffered.append(pdf.loc[fresh, ["row_id", "ch", "t", "v"]])
-                marks.append(pdf.loc[~fresh, ["code", "t"]])
-        buf = pd.concat(buffered, ignore_index=True) if buffered else pd.DataFrame({"row_id": [], "ch": [], "t": [], "v": []})
-        pending = pd.concat(marks, ignore_index=True) if marks else pd.DataFrame({"code": [], "t": []})
-        buf, pending = buf.sort_values(["t", "row_id"]), pending.sort_values(["t", "code"])
-        if len(buf):
-            last = max(last, float(buf["t"].iloc[-1]))
-        end = pending["t"].to_numpy(float) + tmax
-        ready = (end <= last) & (end <= now)
-        silent = ~ready & (end + retention <= now)
-        out = [
-            settle(rec, int(c), float(at), buf, bool(ok))
-            for c, at, ok in zip(pending["code"][ready | silent], pending["t"][ready | silent], ready[ready | silent])
-        ]
-        if out:
-            yield pd.DataFrame(out, columns=columns)
-        waiting = pending[~(ready | silent)]
-        keep_from = min(last - retention, now - retention, float(waiting["t"].min()) + tmin if len(waiting) else float("inf"))
-        buf = buf[buf["t"] >= keep_from]
-        if not len(waiting) and last + retention <= now:
-            state.remove()
-            return
-        state.update(
-            (
-                buf["row_id"].astype("int64").tolist(), buf["ch"].astype(str).tolist(), buf["t"].tolist(), buf["v"].tolist(),
-                waiting["code"].astype("int64").tolist(), waiting["t"].tolist(), float(last),
-            )
-        )
-        # Called again when the watermark reaches the next window's end, or the end of its grace, or the buffer's.
-        ends = waiting["t"].to_numpy(float) + tmax
-        ahead = [x for x in (*ends, *(ends + retention), last + retention) if x > now and np.isfinite(x)]
-        state.setTimeoutTimestamp(max(int(min(ahead, default=now) * 1000), state.getCurrentWatermarkMs()) + 1)
-
-    return events.groupBy("recording_id").applyInPandasWithState(
-        step, ASSEMBLED, STATE, "append", GroupStateTimeout.EventTimeTimeout
-    )
+    buffer = RetentionBuffer(tmin, tmax, retention, max_gap, bucket or max((tmax - tmin) / 2, 1e-3))
+    return events.groupBy("recording_id").transformWithStateInPandas(buffer, ASSEMBLED, "Append", "EventTime")

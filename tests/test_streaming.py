@@ -156,6 +156,28 @@ def test_assembled_epochs_do_not_depend_on_how_the_input_is_cut(spark, tmp_path,
     assert got == {7: (15, "ok"), 8: (15, "ok"), 9: (10, "not_ready"), 3: (10, "aged_out")}
 
 
+def test_repeated_markers_and_buckets_of_any_width(spark, tmp_path):
+    samples, markers = frames(spark, ramp(400, 100.0), [(7, 1, 100.5), (7, 1, 100.5), (8, 1, 102.0)])
+    late = frames(spark, [(9000, 2, "c", 90000.0, 0.0)], [(99, 2, 90000.0)])
+    seen = []
+    for i, width in enumerate((0.01, 0.7, 1000.0)):
+        (tmp_path / str(i)).mkdir()
+        s, m = write_stream(spark, tmp_path / str(i), samples, markers, late)
+        live = S.assemble_epochs(s, m, -0.2, 1.0, retention=30.0, bucket=width)
+        out = sinks.run_to_files(live, f"width{i}").where("recording_id = 1").orderBy("onset", "code")
+        seen.append([(r.code, r.status, r.n_samples, tuple(r.v)) for r in out.collect()])
+    assert seen[0] == seen[1] == seen[2] and [x[:3] for x in seen[0]] == [(7, "ok", 120)] * 2 + [(8, "ok", 120)]
+    assert seen[0][0][3] == tuple(float(i) for i in range(30, 150))
+
+
+def test_close_run_counts_equal_markers(spark):
+    _, markers = frames(spark, [], [(7, 1, 1.0), (7, 1, 1.0), (8, 1, 2.0)])
+    marks = markers.withColumn("onset", F.unix_micros("onset") / 1e6)
+    done = marks.where("code = 7").limit(1).withColumn("status", F.lit("ok"))
+    closed = S.close_run(done, marks, lambda left: left.withColumn("status", F.lit("late")))
+    assert sorted((r.code, r.status) for r in closed.collect()) == [(7, "late"), (7, "ok"), (8, "late")]
+
+
 def test_update_sink_merges_by_key(spark, tmp_path):
     for key, v in ((1, 1.0), (2, 5.0), (1, 2.0)):
         spark.createDataFrame([(key, v)], "k long, v double").repartition(1).write.mode("append").parquet(str(tmp_path / "in"))
