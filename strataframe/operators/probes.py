@@ -423,125 +423,3 @@ def ablation_role(original: DataFrame, ablated: DataFrame, n_folds: int = 3, see
         "state_drop_mean double, subject_drop_mean double, orig_label_ba double, ablated_label_ba double, "
         "orig_subject_ba double, ablated_subject_ba double",
     )
-
-
-# ---- univariate concept probes -----------------------------------------------------------------------------------------------------
-
-
-def _concept_splits(concepts: DataFrame, test_frac: float, seed: int) -> DataFrame:
-    splits = sampling.subject_split(concepts, test_frac, seed, "subject_id", ["concept"])
-    return concepts.join(splits, ["concept", "subject_id"])
-
-
-def concept_probes(
-    latents: DataFrame, concepts: DataFrame, test_frac: float = 0.25, seed: int = 0, features: DataFrame | None = None
-) -> DataFrame:
-    """``feature, concept, kind, train_score, test_score`` of every feature against every concept.
-
-    ``latents(subject_id, feature, value)`` may be sparse: absent entries are zeros. ``concepts(subject_id, concept,
-    kind, y)``. Continuous concepts get a least-squares line fitted on training subjects and scored by R^2, binary ones
-    the AUC. All features go through one grouped aggregate. Scores are NaN below 10 training or 5 test subjects.
-    """
-    split = _concept_splits(concepts, test_frac, seed)
-    centre = split.where(F.col("split") == "train").groupBy("concept").agg(F.avg("y").alias("_c"))
-    split = split.join(centre, "concept", "left").withColumn("yc", F.col("y") - F.coalesce("_c", F.lit(0.0)))
-    totals = split.groupBy("concept", "kind", "split").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.sum("yc").alias("sy"),
-        F.sum(F.col("yc") * F.col("yc")).alias("syy"),
-        F.count_if(F.col("y") == 1).cast("double").alias("pos"),
-        F.count_if(F.col("y") == 0).cast("double").alias("neg"),
-    )
-    wanted = (features if features is not None else latents).select("feature").distinct()
-    grid = wanted.join(F.broadcast(totals))
-    joined = latents.join(split, "subject_id")
-    lines = joined.where(F.col("kind") == "continuous").groupBy("feature", "concept", "split").agg(
-        F.sum("value").alias("sx"), F.sum(F.col("value") * F.col("value")).alias("sxx"), F.sum(F.col("value") * F.col("yc")).alias("sxy")
-    )
-    zero = lambda c: F.coalesce(c, F.lit(0.0))
-    full = grid.where(F.col("kind") == "continuous").join(lines, ["feature", "concept", "split"], "left")
-    full = full.withColumns({c: zero(c) for c in ("sx", "sxx", "sxy")})
-    stats = F.struct("n", "sx", "sy", "sxx", "sxy", "syy")
-    wide = full.groupBy("feature", "concept", "kind").agg(
-        F.max(F.when(F.col("split") == "train", stats)).alias("a"), F.max(F.when(F.col("split") == "test", stats)).alias("b")
-    )
-    n = F.col("a.n").cast("double")
-    var_x = F.col("a.sxx") / n - (F.col("a.sx") / n) * (F.col("a.sx") / n)
-    slope = (F.col("a.sxy") / n - F.col("a.sx") / n * F.col("a.sy") / n) / F.col("_var")
-    level = F.col("a.sy") / n - F.col("_slope") * F.col("a.sx") / n
-
-    def score(s: str):
-        m = F.col(f"{s}.n").cast("double")
-        a, b = F.col("_slope"), F.col("_level")
-        res = (
-            F.col(f"{s}.syy")
-            - 2.0 * a * F.col(f"{s}.sxy")
-            - 2.0 * b * F.col(f"{s}.sy")
-            + a * a * F.col(f"{s}.sxx")
-            + 2.0 * a * b * F.col(f"{s}.sx")
-            + m * b * b
-        )
-        tot = F.col(f"{s}.syy") - F.col(f"{s}.sy") * F.col(f"{s}.sy") / m
-        return F.when(F.col("_var") < 1e-12, 0.0).otherwise(1.0 - res / (tot + 1e-12))
-
-    wide = wide.withColumn("_var", var_x)
-    wide = wide.withColumn("_slope", F.when(F.col("_var") < 1e-12, 0.0).otherwise(slope)).withColumn("_level", level)
-    enough = F.coalesce((F.col("a.n") >= 10) & (F.col("b.n") >= 5), F.lit(False))
-    nan = F.lit(float("nan"))
-    continuous = wide.select(
-        "feature",
-        "concept",
-        "kind",
-        F.when(enough, score("a")).otherwise(nan).alias("train_score"),
-        F.when(enough, score("b")).otherwise(nan).alias("test_score"),
-    )
-    keys = ["feature", "concept", "split"]
-    hits = joined.where((F.col("kind") == "binary") & (F.col("value") != 0)).groupBy(*keys, F.col("value").alias("_score")).agg(
-        F.count_if(F.col("y") == 1).cast("double").alias("_pos"), F.count_if(F.col("y") == 0).cast("double").alias("_neg")
-    )
-    seen = hits.groupBy(*keys).agg(F.sum("_pos").alias("_sp"), F.sum("_neg").alias("_sn"))
-    silent = (
-        grid.where(F.col("kind") == "binary")
-        .join(seen, keys, "left")
-        .select(*keys, F.lit(0.0).alias("_score"), (F.col("pos") - zero("_sp")).alias("_pos"), (F.col("neg") - zero("_sn")).alias("_neg"))
-    )
-    # a group has at most one score per subject of its concept: count those, not the joined rows
-    crowded = concepts.groupBy("concept").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > HOT_ROWS)
-    auc = metrics.auc_from_counts(hits.unionByName(silent), keys, None if crowded.isEmpty() else HOT_ROWS)
-    pair = F.struct(F.col("auc"), (F.col("n_pos") + F.col("n_neg")).alias("n"))
-    both = auc.groupBy("feature", "concept").agg(
-        F.max(F.when(F.col("split") == "train", pair)).alias("a"), F.max(F.when(F.col("split") == "test", pair)).alias("b")
-    )
-    binary = both.select(
-        "feature",
-        "concept",
-        F.lit("binary").alias("kind"),
-        F.when(enough, F.col("a.auc")).otherwise(nan).alias("train_score"),
-        F.when(enough, F.col("b.auc")).otherwise(nan).alias("test_score"),
-    )
-    return continuous.unionByName(binary)
-
-
-def _strength():
-    return F.when(F.col("kind") == "binary", F.abs(F.col("test_score") - 0.5)).otherwise(F.col("test_score"))
-
-
-def selectivity(scores: DataFrame) -> DataFrame:
-    """Per feature: best concept, its strength (|AUC - 0.5| or R^2), the runner-up and the gap. NaN scores are ignored.
-    A feature has one row per concept, so the window is as small as the concept list."""
-    live = scores.where(~F.isnan("test_score")).withColumn("_m", _strength())
-    ranks = live.withColumn("_r", F.row_number().over(Window.partitionBy("feature").orderBy(F.desc("_m"), "concept")))
-    out = ranks.groupBy("feature").agg(
-        F.max(F.when(F.col("_r") == 1, F.col("concept"))).alias("target_concept"),
-        F.max(F.when(F.col("_r") == 1, F.col("_m"))).alias("target_metric"),
-        F.max(F.when(F.col("_r") == 2, F.col("_m"))).alias("off_target_max"),
-    )
-    off = F.coalesce("off_target_max", F.lit(float("nan")))
-    return out.select("feature", "target_concept", "target_metric", off.alias("off_target_max"), (F.col("target_metric") - off).alias("selectivity_gap"))
-
-
-def top_features(scores: DataFrame, n: int = 20) -> DataFrame:
-    """The ``n`` strongest features of each concept on held-out subjects."""
-    live = scores.where(~F.isnan("test_score")).withColumn("metric", _strength())
-    ranks = live.withColumn("rank", F.row_number().over(Window.partitionBy("concept").orderBy(F.desc("metric"), "feature")))
-    return ranks.where(F.col("rank") <= n).select("concept", "rank", "feature", "metric")

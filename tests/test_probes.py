@@ -4,7 +4,7 @@ from helpers import identity_cohort, table
 from pyspark.sql import functions as F
 
 from strataframe.contracts import ContractError
-from strataframe.operators import audit as A, erasure as E, metrics as M, probes as P
+from strataframe.operators import audit as A, concepts as C, erasure as E, metrics as M, probes as P, sampling
 
 
 def newton(x, y, w, penalise, steps=60):
@@ -122,23 +122,61 @@ def test_concept_probes_by_hand_and_sparse_equals_dense(spark):
     c = spark.createDataFrame(concepts, "subject_id long, concept string, kind string, y double")
     dense = [(i, f, float(z[i, f])) for i in range(n) for f in range(3)]
     schema = "subject_id long, feature long, value double"
-    a = P.concept_probes(spark.createDataFrame(dense, schema), c).toPandas().set_index(["feature", "concept"])
-    s = P.concept_probes(spark.createDataFrame([d for d in dense if d[2] != 0], schema), c).toPandas().set_index(["feature", "concept"])
+    a = C.concept_probes(spark.createDataFrame(dense, schema), c).toPandas().set_index(["feature", "concept"])
+    s = C.concept_probes(spark.createDataFrame([d for d in dense if d[2] != 0], schema), c).toPandas().set_index(["feature", "concept"])
     cols = ["train_score", "test_score"]
     assert np.allclose(a.sort_index()[cols], s.sort_index()[cols])
-    split = P._concept_splits(c, 0.25, 0).where("concept = 'lin'").toPandas().set_index("subject_id").split
+    split = sampling.subject_split(c, 0.25, 0, "subject_id", ["concept"]).where("concept = 'lin'").toPandas().set_index("subject_id").split
     tr, te = [i for i in range(n) if split[i] == "train"], [i for i in range(n) if split[i] == "test"]
     k, m = np.polyfit(z[tr, 0], y[tr], 1)
     want = 1 - ((y[te] - k * z[te, 0] - m) ** 2).sum() / ((y[te] - y[te].mean()) ** 2).sum()
     assert a.loc[(0, "lin"), "test_score"] == pytest.approx(want) and want > 0.9
-    sel = P.selectivity(a.reset_index().pipe(spark.createDataFrame)).toPandas().set_index("feature")
+    sel = C.selectivity(a.reset_index().pipe(spark.createDataFrame)).toPandas().set_index("feature")
     assert sel.loc[0, "target_concept"] == "lin" and sel.loc[1, "target_concept"] == "bin"
 
 
+def auc(score, truth):
+    pos, neg = score[truth == 1], score[truth == 0]
+    return ((pos[:, None] > neg).sum() + 0.5 * (pos[:, None] == neg).sum()) / (len(pos) * len(neg)) if len(pos) and len(neg) else 0.5
+
+
+def test_sweep_equals_brute_force_with_ties_gaps_and_signs(spark):
+    rng = np.random.default_rng(11)
+    n = 70
+    z = rng.integers(-2, 3, (n, 4)) * (rng.random((n, 4)) < 0.7)
+    z[:, 3] = 0
+    concepts = [(i, f"b{k}", "binary", float(rng.integers(0, 2))) for k in range(2) for i in range(n) if rng.random() < 0.9]
+    concepts += [(i, "c", "continuous", float(z[i, 0] + rng.normal())) for i in range(5, n)] + [(i, "one", "binary", 1.0) for i in range(n)]
+    c = spark.createDataFrame(concepts, "subject_id long, concept string, kind string, y double")
+    entries = [(i, f"f{f}", float(z[i, f])) for i in range(n) for f in range(3) if z[i, f]] + [(1000, "f1", 9.0)]
+    lat = spark.createDataFrame(entries, "subject_id long, feature string, value double").repartition(3)
+    names = spark.createDataFrame([(f"f{f}",) for f in range(4)], "feature string")
+    split = {(r.concept, r.subject_id): r.split for r in sampling.subject_split(c, 0.25, 0, "subject_id", ["concept"]).collect()}
+    got = C.concept_probes(lat, c, features=names, blocks=5).collect()
+    assert len(got) == 16 and {r.feature for r in got} == {"f0", "f1", "f2", "f3"}
+    for r in got:
+        f = int(r.feature[1])
+        own = [(z[i, f], y, split[k, i]) for i, k, _, y in concepts if k == r.concept]
+        parts = {s: (np.array([o[0] for o in own if o[2] == s], float), np.array([o[1] for o in own if o[2] == s])) for s in ("train", "test")}
+        if r.kind == "binary":
+            want = [auc(*parts[s]) for s in ("train", "test")]
+        else:
+            x, y = parts["train"]
+            k, m = np.polyfit(x, y, 1) if x.std() else (0.0, 0.0)
+            want = [1 - ((y - k * x - m) ** 2).sum() / ((y - y.mean()) ** 2).sum() if x.std() else 0.0 for x, y in parts.values()]
+        assert (r.train_score, r.test_score) == pytest.approx(tuple(want), abs=1e-9), (r.feature, r.concept)
+
+
+def test_sweep_of_no_concepts_is_empty(spark):
+    c = spark.createDataFrame([], "subject_id long, concept string, kind string, y double")
+    lat = spark.createDataFrame([(1, 0, 1.0)], "subject_id long, feature long, value double")
+    assert C.concept_probes(lat, c).count() == 0
+
+
 def test_too_few_subjects_give_nan(spark):
     c = spark.createDataFrame([(i, "lin", "continuous", float(i)) for i in range(8)], "subject_id long, concept string, kind string, y double")
     lat = spark.createDataFrame([(i, 0, float(i)) for i in range(8)], "subject_id long, feature long, value double")
-    assert np.isnan(P.concept_probes(lat, c).first()["test_score"])
+    assert np.isnan(C.concept_probes(lat, c).first()["test_score"])
 
 
 def test_auc_cases(spark):

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from strataframe.operators import dictionary as Y, erasure as E, probes as B, retrieval as R, ridge as G, sampling, spectra as Z
+from strataframe.operators import concepts as CP, dictionary as Y, erasure as E, probes as B, retrieval as R, ridge as G, sampling, spectra as Z
 from strataframe.operators import pooling, selecting
 from strataframe.plans import moments
 
@@ -267,7 +267,7 @@ def _concepts(spark, sf):
 def _scores(spark, sf):
     pooled = pooling.mean_pool(nested(spark, sf), ["subject_id"])
     latents = pooled.select("subject_id", F.posexplode("x").alias("feature", "value")).withColumn("feature", F.col("feature").cast("bigint"))
-    return B.concept_probes(latents, _concepts(spark, sf))
+    return CP.concept_probes(latents, _concepts(spark, sf))
 
 
 CONCEPTS = f"""WITH {NESTED},
@@ -303,7 +303,7 @@ SELECT feature, max(concept) FILTER (r = 1) AS target_concept, round(max(m) FILT
   round(max(m) FILTER (r = 2), 6) AS off_target_max, round(max(m) FILTER (r = 1) - max(m) FILTER (r = 2), 6) AS selectivity_gap FROM r GROUP BY feature""",
 )
 def concept_selectivity(spark, sf):
-    return rounded(B.selectivity(_scores(spark, sf)))
+    return rounded(CP.selectivity(_scores(spark, sf)))
 
 
 @query(
@@ -313,7 +313,7 @@ def concept_selectivity(spark, sf):
 SELECT concept, rank, feature, round(m, 6) AS metric FROM r WHERE rank <= 20""",
 )
 def concept_top_features(spark, sf):
-    return rounded(B.top_features(_scores(spark, sf), 20))
+    return rounded(CP.top_features(_scores(spark, sf), 20))
 
 
 # ---- spectra ---------------------------------------------------------------------------------------------------------------------
