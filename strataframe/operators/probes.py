@@ -8,23 +8,19 @@ from multiprocessing.pool import ThreadPool
 import numpy as np
 import pandas as pd
 from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.stat import Summarizer
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.ml.functions import array_to_vector
+from pyspark.sql import DataFrame, functions as F
 
 from ..contracts import ContractError
 from ..functions import arrays as A
 from ..plans.moments import cell_moments
-from ..plans.ordered import HOT_ROWS
-from ..plans.quantiles import exact_percentiles
+from ..plans.overlapping import set_moments, set_percentiles, set_sums
+from ..session import checkpoint
 from . import metrics, sampling
 
 # Seeds of the canonical probe.
 SEEDS = (42, 123, 2024)
 
-# Up to this many rows the built-in percentile holds all values of a group; beyond, the bracketing plan is used.
-SMALL_ROWS = 200_000
-
 # ---- many binary logistic models in one pass per iteration -------------------------------------------------------------
 
 
@@ -57,7 +53,8 @@ def fit_binary_models(
 
     ``rows`` has ``x``, ``y`` (0/1) and ``train``: the array of models a row trains. Every iteration reads the rows once
     for all models together (folds, seeds, depths); tasks return one gradient and Hessian per model, so the driver
-    holds n_models x width^2 numbers. Standardisation uses population deviations of the (clipped) training rows.
+    holds n_models x width^2 numbers. Clipping bounds are exact percentiles of each model's training rows, found by
+    counting in brackets; standardisation uses population deviations of the (clipped) training rows.
     """
     rows = rows.select(A.as_double("x").alias("x"), F.col("y").cast("int").alias("y"), "train").persist()
     try:
@@ -67,81 +64,39 @@ def fit_binary_models(
 
 
 def _newton(rows, n_models, clip, c, penalise_intercept, max_iter, tol) -> ModelSet:
-    per_model = rows.select("x", "y", F.explode("train").alias("m"))
+    context = rows.sparkSession.sparkContext
     low = high = None
     if clip is not None:
-        long = per_model.select("m", F.posexplode("x").alias("dim", "v"))
-        probs = [p / 100.0 for p in clip]
-        if rows.count() <= SMALL_ROWS:
-            each = long.groupBy("m", "dim").agg(F.percentile("v", probs).alias("q"))
-            cut = each.select("m", "dim", F.posexplode("q").alias("i", "q")).select(
-                "m", "dim", F.lit(probs)[F.col("i")].alias("p"), "q"
-            ).collect()
-        else:
-            cut = exact_percentiles(long, ["m", "dim"], "v", probs).collect()
-        dims = 1 + max(r["dim"] for r in cut)
-        low, high = np.zeros((n_models, dims)), np.zeros((n_models, dims))
-        for r in cut:
-            (low if r["p"] == clip[0] / 100.0 else high)[r["m"], r["dim"]] = r["q"]
-    clipped = per_model
-    if clip is not None:
-        shared = rows.sparkSession.sparkContext.broadcast((low, high))
-
-        @F.pandas_udf("array<double>")
-        def clip_rows(x: pd.Series, m: pd.Series) -> pd.Series:
-            lo, hi = shared.value
-            if not len(x):
-                return pd.Series([], dtype=object)
-            return pd.Series(list(np.clip(np.stack(x.to_numpy()), lo[m.to_numpy()], hi[m.to_numpy()])))
-
-        clipped = per_model.select("m", "y", clip_rows("x", "m").alias("x"))
-    stats = cell_moments(clipped, ["m"], extra=[F.sum("y").alias("pos")]).collect()
-    width = len(stats[0]["mean"])
-    mu, sd = np.zeros((n_models, width)), np.ones((n_models, width))
-    w0, w1 = np.ones(n_models), np.ones(n_models)
-    for r in stats:
-        n, pos = r["n"], r["pos"]
-        mu[r["m"]] = r["mean"]
-        s = np.sqrt(np.maximum(np.array(r["within"]) / n, 0.0))
-        sd[r["m"]] = np.where(s > 1e-12, s, 1.0)
-        w0[r["m"]], w1[r["m"]] = (n / (2.0 * (n - pos)) if n > pos else 0.0), (n / (2.0 * pos) if pos else 0.0)
-    models = ModelSet(mu, sd, low, high, w0, w1)
-    penalty = np.ones(width + 1)
+        low, high = set_percentiles(rows, n_models, [p / 100.0 for p in clip])
+    bounds = context.broadcast((low, high))
+
+    def clipped(x: np.ndarray, m: int) -> np.ndarray:
+        lo, hi = bounds.value
+        return x if lo is None else np.clip(x, lo[m], hi[m])
+
+    n, pos, mu, variance = set_moments(rows, n_models, clipped)
+    sd = np.sqrt(np.maximum(variance, 0.0))
+    with np.errstate(divide="ignore", invalid="ignore"):
+        w0, w1 = (np.where(n == 0, 1.0, np.where(k > 0, n / (2.0 * k), 0.0)) for k in (n - pos, pos))
+    models = ModelSet(mu, np.where(sd > 1e-12, sd, 1.0), low, high, w0, w1)
+    size = mu.shape[1] + 1
+    penalty = np.ones(size)
     penalty[-1] = 1.0 if penalise_intercept else 0.0
-    context = rows.sparkSession.sparkContext
-    size = width + 1
     previous, step = np.full(n_models, np.inf), np.zeros_like(models.coef)
     for _ in range(max_iter):
-        shared_models = context.broadcast(models)
-
-        def partial(batches):
-            ms = shared_models.value
-            acc = np.zeros((n_models, 1 + size + size * size))
-            for pdf in batches:
-                if not len(pdf):
-                    continue
-                x, y = np.stack(pdf["x"].to_numpy()), pdf["y"].to_numpy()
-                member = np.zeros((len(pdf), n_models), dtype=bool)
-                for i, t in enumerate(pdf["train"]):
-                    member[i, t] = True
-                for m in np.flatnonzero(member.any(axis=0)):
-                    pick = member[:, m]
-                    d, t = ms.design(x[pick], m), y[pick]
-                    z = np.clip(d @ ms.coef[m], -700, 700)
-                    p = 1.0 / (1.0 + np.exp(-z))
-                    w = c * ms.class_weight[t, m]
-                    acc[m, 0] += float((w * (np.logaddexp(0.0, z) - t * z)).sum())
-                    acc[m, 1 : 1 + size] += d.T @ (w * (p - t))
-                    acc[m, 1 + size :] += (d.T @ (d * (w * p * (1.0 - p))[:, None])).ravel()
-            used = np.flatnonzero(acc[:, 0] != 0.0)
-            if len(used):
-                yield pd.DataFrame({"m": used, "s": list(acc[used])})
-
-        parts = rows.mapInPandas(partial, "m long, s array<double>")
-        summed = parts.groupBy("m").agg(Summarizer.metrics("sum").summary(array_to_vector("s")).alias("s"))
+        shared = context.broadcast(models)
+
+        def derivatives(x: np.ndarray, t: np.ndarray, m: int) -> np.ndarray:
+            ms = shared.value
+            d = ms.design(x, m)
+            z = np.clip(d @ ms.coef[m], -700, 700)
+            p = 1.0 / (1.0 + np.exp(-z))
+            w = c * ms.class_weight[t, m]
+            loss = (w * (np.logaddexp(0.0, z) - t * z)).sum()
+            return np.concatenate([[loss], d.T @ (w * (p - t)), (d.T @ (d * (w * p * (1.0 - p))[:, None])).ravel()])
+
         moved = 0.0
-        for r in summed.select("m", vector_to_array("s.sum").alias("s")).collect():
-            m, s = r["m"], np.array(r["s"])
+        for m, s in set_sums(rows, n_models, derivatives).items():
             loss = s[0] + 0.5 * float((penalty * models.coef[m] ** 2).sum())
             if loss > previous[m] * (1.0 + 1e-10) + 1e-12:
                 # the last step overshot: go half of the way back
@@ -215,7 +170,7 @@ def linear_probe(
     Folds hold out whole subjects; their number drops to the smaller class of recordings. All folds and seeds are
     fitted together. ``cv="loso"`` leaves one subject out.
     """
-    recs = windows.groupBy(recording, subject).agg(F.min(label).alias("y"), F.max(label).alias("y2"))
+    recs = windows.groupBy(recording, subject).agg(F.min(label).alias("y"), F.max(label).alias("y2")).persist()
     sizes = {r["y"]: r["n"] for r in recs.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(sizes) != 2:
         raise ContractError(f"a binary label is needed, found {sorted(sizes)}")
@@ -231,14 +186,12 @@ def linear_probe(
         if k < 2:
             raise ContractError("fewer than two recordings in a class")
         jobs = list(seeds)
-        folds = None
-        for j, seed in enumerate(jobs):
-            part = sampling.stratified_group_folds(recs, subject, "y", k, seed).withColumn("job", F.lit(j))
-            folds = part if folds is None else folds.unionByName(part)
+        folds = sampling.seeded_group_folds(recs, subject, "y", k, jobs)
     else:
         raise ContractError(f"unknown cv {cv!r}")
     rows = windows.select(recording, subject, F.col(vec).alias("x"), (F.col(label) == one).cast("int").alias("y"))
-    rows = _membership(rows, folds, subject, k)
+    rows = _membership(rows, checkpoint(folds), subject, k)
+    recs.unpersist()
     models = fit_binary_models(rows, k * len(jobs), clip=(1.0, 99.0), penalise_intercept=True)
     probs = predict_binary_models(rows, models, [recording, "y"])
     pooled = probs.groupBy(F.floor(F.col("m") / k).cast("int").alias("job"), recording).agg(

@@ -86,10 +86,17 @@ def stratified_group_folds(df: DataFrame, group: str, label: str, k: int, seed:
     """``group, fold``: whole groups, dealt out in hash order within their majority label (the smaller label on ties).
 
     Groups of one label spread evenly over the folds, label by label; nothing but the group table is shuffled."""
+    return seeded_group_folds(df, group, label, k, [seed]).drop("job")
+
+
+def seeded_group_folds(df: DataFrame, group: str, label: str, k: int, seeds: Sequence[int]) -> DataFrame:
+    """``group, job, fold``: ``stratified_group_folds`` for several seeds in one plan; ``job`` is the seed's place."""
     counts = df.groupBy(group, label).agg(F.count(F.lit(1)).alias("_c"))
     major = counts.groupBy(group).agg(F.min_by(label, F.struct(-F.col("_c"), F.col(label))).alias("_y"))
-    rows = hash_ranked(major, seed, [group], ["_y"], name="_r")
-    return rows.select(group, ((F.col("_r") - 1) % k).cast("int").alias("fold"))
+    jobs = F.array(*[F.struct(F.lit(j).alias("job"), F.lit(s).alias("_seed")) for j, s in enumerate(seeds)])
+    dealt = major.select(group, "_y", F.inline(jobs))
+    rows = hash_ranked(dealt, F.col("_seed"), [group], ["job", "_y"], name="_r")
+    return rows.select(group, "job", ((F.col("_r") - 1) % k).cast("int").alias("fold"))
 
 
 def group_folds(df: DataFrame, group: str, k: int, hot_rows=HOT_ROWS) -> DataFrame:

@@ -8,7 +8,7 @@ from helpers import table
 from pyspark.sql import Window, functions as F
 
 from strataframe.operators import direction as D, sampling
-from strataframe.plans import hashed, ordered, quantiles
+from strataframe.plans import hashed, ordered, overlapping, quantiles
 
 
 @pytest.fixture(scope="module")
@@ -146,3 +146,28 @@ def test_cell_moments_paths_agree(spark):
     ragged = spark.createDataFrame([(1, [1.0]), (1, [1.0, 2.0])], "k long, x array<double>").coalesce(1)
     with pytest.raises(Exception, match="different width"):
         moments.batch_cell_moments(ragged, ["k"]).collect()
+
+
+@pytest.mark.parametrize("held", [1 << 21, 1])
+def test_percentiles_of_overlapping_sets(spark, held):
+    rng = np.random.default_rng(4)
+    n, width, sets = 400, 3, 5
+    x = rng.normal(size=(n, width))
+    x[:, 1] = np.maximum(np.round(x[:, 1], 1), 0.0)  # ties and a heavy zero
+    x[:, 2] *= 10.0 ** rng.integers(-8, 8, n)
+    member = rng.random((n, sets)) < 0.6
+    member[:, 3], member[:, 4] = False, np.arange(n) == 7
+    y = rng.integers(0, 2, n)
+    rows = [([float(v) for v in a], int(t), [int(i) for i in np.flatnonzero(m)]) for a, t, m in zip(x, y, member)]
+    df = spark.createDataFrame(rows, "x array<double>, y int, train array<int>").repartition(4)
+    probs = [0.0, 0.01, 0.5, 0.99, 1.0]
+    got = overlapping.set_percentiles(df, sets, probs, held)
+    for m in range(sets):
+        own = x[member[:, m]]
+        want = np.quantile(own, probs, axis=0) if len(own) else np.zeros((5, width))
+        assert np.allclose(got[:, m], want, rtol=1e-12, atol=0), m
+    count, pos, mean, variance = overlapping.set_moments(df, sets, lambda a, m: np.clip(a, -1, 1 + m))
+    for m in (0, 1, 2, 4):
+        own = np.clip(x[member[:, m]], -1, 1 + m)
+        assert (count[m], pos[m]) == (len(own), y[member[:, m]].sum())
+        assert np.allclose(mean[m], own.mean(0)) and np.allclose(variance[m], own.var(0))
