@@ -6,8 +6,10 @@ engine that has ``md5``.
 
 from __future__ import annotations
 
+import hashlib
 import math
 
+import numpy as np
 from pyspark.sql import Column, functions as F
 
 TWO32 = 4294967296
@@ -45,3 +47,29 @@ def chi_square(z: Column, df: Column) -> Column:
     """A chi-square draw from a normal one (Wilson-Hilferty), for the large ``df`` of pooled residuals."""
     h = 2.0 / (9.0 * df)
     return df * F.pow(1.0 - h + z * F.sqrt(h), F.lit(3.0))
+
+
+#: Modulus of the arithmetic behind the rounds of a bijection, and their number.
+PRIME, ROUNDS = 2147483647, 48
+
+
+def bijection_keys(seed, number: int, size: int) -> np.ndarray:
+    """Keys of bijections 1 .. ``number`` on 0 .. size-1, shaped (number, ROUNDS, 3), from digests of seed:bijection:round."""
+    digests = [hashlib.md5(f"{seed}:{p}:{r}".encode()).hexdigest() for p in range(1, number + 1) for r in range(ROUNDS)]
+    words = np.array([[int(d[8 * i : 8 * i + 8], 16) for i in range(3)] for d in digests], np.int64).reshape(number, ROUNDS, 3)
+    return np.stack([words[..., 0] % size, words[..., 1] % (PRIME - 1) + 1, words[..., 2] % PRIME], axis=-1)
+
+
+def bijected(index: np.ndarray, keys: np.ndarray, size: int) -> np.ndarray:
+    """Where each bijection of ``keys`` sends each index: (bijection, index).
+
+    Each round pairs j with k - j (mod size) and lets a keyed bit of the pair's larger member say whether the two change
+    places ("swap or not"); so it is a bijection for any size below 2**31, told from the index alone.
+    """
+    at = np.broadcast_to(index.astype(np.int64), (len(keys), len(index))).copy()
+    for k, a, b in np.moveaxis(keys, 0, 2)[..., None]:
+        other = (k + size - at) % size
+        h = (a * np.maximum(at, other) + b) % PRIME
+        h = (h * h + a) % PRIME
+        at = np.where(h >> 8 & 1, other, at)
+    return at

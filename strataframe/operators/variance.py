@@ -17,6 +17,8 @@ from pyspark.sql import DataFrame, Window, functions as F
 from ..functions import arrays as A, draws
 from ..functions.scalars import excess_ratio, floor_ratio
 from ..plans.moments import attach, cell_moments, gram, mean_vector, pool
+from ..plans.ordered import ranked
+from ..session import checkpoint
 
 
 # ---- crossed sums of squares ---------------------------------------------------------------------------------------
@@ -264,38 +266,70 @@ def _replicate_sums(cells: DataFrame, vectors: Sequence[str], scalars: Sequence[
     return merged.select("rep", "g", vector_to_array("s.sum").alias("s"))
 
 
-def permutation_labels(
-    subjects: DataFrame, n_perm: int, seed: int, subject: str = "subject_id", label: str = "label", digits: int = 2
-) -> DataFrame:
+def _dealing(sizes: dict, n_perm: int, seed) -> tuple[list, np.ndarray, np.ndarray, int]:
+    """Labels in order, upper ends of their places among all subjects, keys of the permutations, number of subjects."""
+    labels = sorted(sizes)
+    ends = np.cumsum([sizes[y] for y in labels])
+    return labels, ends, draws.bijection_keys(seed, n_perm, int(ends[-1])), int(ends[-1])
+
+
+def permutation_labels(subjects: DataFrame, n_perm: int, seed: int, subject: str = "subject_id", label: str = "label") -> DataFrame:
     """``subject, perm, label``: the multiset of subject labels dealt out anew in each permutation.
 
-    In permutation p subjects are ranked by the digest of ``seed:p:subject``; the first c1 take the smallest label, the
-    next c2 the second, and so on, with c the label counts over subjects.
+    Subjects are numbered in their order; permutation p sends the number to a place by a keyed bijection. The first c1
+    places have the smallest label, the next c2 the second, and so on, with c the label counts over subjects. Any task
+    can tell the label of a subject it holds in every permutation, so nothing is sorted.
     """
-    from ..plans.hashed import hash_ranked
+    sizes = {r[0]: r["c"] for r in subjects.groupBy(label).agg(F.count(F.lit(1)).alias("c")).collect()}
+    labels, ends, keys, size = _dealing(sizes, n_perm, seed)
+    numbered = ranked(subjects.select(subject), [], [subject], "_i")
+
+    @F.pandas_udf("array<int>")
+    def places(i: pd.Series) -> pd.Series:
+        at = np.searchsorted(ends, draws.bijected(i.to_numpy() - 1, keys, size), "right")
+        return pd.Series(list(at.T.astype(np.int32)))
+
+    dealt = numbered.select(subject, F.posexplode(places("_i")).alias("perm", "code"))
+    kind = subjects.schema[label].dataType
+    return dealt.select(subject, (F.col("perm") + 1).alias("perm"), F.element_at(F.lit(labels), F.col("code") + 1).cast(kind).alias(label))
 
-    counts = subjects.groupBy(label).agg(F.count(F.lit(1)).alias("c"))
-    deal = counts.agg(F.sort_array(F.collect_list(F.struct(F.col(label).alias("y"), "c"))).alias("deal"))
-    upto = F.transform(
-        F.sequence(F.lit(1), F.size("deal")),
-        lambda i: F.struct(
-            F.aggregate(F.slice("deal", F.lit(1), i), F.lit(0).cast("bigint"), lambda a, d: a + d["c"]).alias("upto"),
-            F.element_at("deal", i)["y"].alias("y"),
-        ),
-    )
-    deal = deal.select(upto.alias("deal"))
-    many = subjects.select(subject, F.explode(F.sequence(F.lit(1), F.lit(n_perm))).alias("perm"))
-    ranks = hash_ranked(
-        many,
-        seed,
-        [subject],
-        ["perm"],
-        digits=digits,
-        hashed=draws.digest(seed, F.col("perm"), F.col(subject)),
-    )
-    dealt = ranks.join(F.broadcast(deal))
-    chosen = F.filter("deal", lambda d: d["upto"] >= F.col("rank"))[0]["y"]
-    return dealt.select(subject, "perm", chosen.alias(label))
+
+def _permuted_sums(subjects: DataFrame, ends: np.ndarray, keys: np.ndarray, width: int) -> DataFrame:
+    """``among, a`` of every permutation from ``subjects`` (i, z: sum of standardised rows, n).
+
+    A task works out the places of its subjects in all permutations and adds their sums up by label; what tasks hold is
+    merged as arrays of a few permutations each.
+    """
+    n_perm, labels, size = len(keys), len(ends), int(ends[-1])
+    chunk = max(1, 4096 // (labels * (width + 1)))
+    shared = subjects.sparkSession.sparkContext.broadcast((ends, keys))
+
+    def partial(batches):
+        upto, held = shared.value
+        acc = np.zeros((n_perm, labels, width + 1))
+        for pdf in batches:
+            for start in range(0, len(pdf), 512):
+                part = pdf.iloc[start : start + 512]
+                matrix = np.hstack([np.stack(part["z"].to_numpy()).astype(float), part[["n"]].to_numpy(float)])
+                code = np.searchsorted(upto, draws.bijected(part["i"].to_numpy(), held, size), "right")
+                for y in range(labels):
+                    acc[:, y] += (code == y).astype(float) @ matrix
+        for first in range(0, n_perm, chunk):
+            yield pd.DataFrame({"first": [first], "s": [acc[first : first + chunk].ravel()]})
+
+    def finish(batches):
+        for pdf in batches:
+            for s in pdf["s"]:
+                s = np.asarray(s).reshape(-1, labels, width + 1)
+                weight = s[..., -1]
+                square = (s[..., :-1] ** 2).sum(axis=-1)
+                there = weight > 0
+                among = np.where(there, square / np.where(there, weight, 1.0), 0.0).sum(axis=1)
+                yield pd.DataFrame({"among": among, "a": there.sum(axis=1)})
+
+    parts = subjects.select("i", "z", "n").mapInPandas(partial, "first long, s array<double>")
+    merged = parts.groupBy("first").agg(Summarizer.metrics("sum").summary(array_to_vector("s")).alias("s"))
+    return merged.select(vector_to_array("s.sum").alias("s")).mapInPandas(finish, "among double, a long")
 
 
 def permanova(
@@ -311,34 +345,24 @@ def permanova(
     Sums of squared distances within a group equal sums of squares about its centroid, so no distances are formed: per
     permutation only the label sums of subject means are needed. A subject counts with its smallest label.
     """
-    total = cell_moments(features, [], vec).first()
-    n, mu, ss = int(total["n"]), np.array(total["mean"]), np.array(total["within"])
+    cells = checkpoint(cell_moments(features, [subject, label], vec))  # the rows are read once
+    total = pool(cells, []).first()
+    n, mu, ss = int(total["n"]), np.array(total["mean"]), np.array(total["within"]) + np.array(total["between"])
     sd = np.maximum(np.sqrt(ss / n), 1e-12)
     ss_total = float((ss / sd**2).sum())
     center, scale = F.lit([float(v) for v in mu]), F.lit([float(v) for v in sd])
     standard = lambda c: F.zip_with(A.subtract(F.col(c), center), scale, lambda v, s: v / s)
-    observed_cells = cell_moments(features, [label], vec).withColumn("z", standard("mean"))
-    observed = observed_cells.agg(
-        F.sum(F.col("n") * A.sum_squares(F.col("z"))).alias("among"), F.count(F.lit(1)).alias("a")
-    )
     # rows of an observed label group of any subject keep their own label; permuted ones take the subject's
-    subjects = cell_moments(features, [subject], vec, extra=[F.min(label).alias(label)])
-    subjects = subjects.withColumn("z", A.scale(standard("mean"), F.col("n").cast("double"))).drop("mean", "within")
-    groups = [r[0] for r in subjects.select(label).distinct().orderBy(label).collect()]
-    labels = permutation_labels(subjects.select(subject, label), n_perm, seed, subject, label)
-    code = F.array_position(F.lit(groups), F.col(label)).cast("int") - 1
-    slot = ((F.col("perm") - 1) * len(groups) + code).cast("int")
-    reps = labels.groupBy(subject).agg(F.collect_list(slot).alias("slot"))
-    reps = reps.withColumn("mult", F.array_repeat(F.lit(1.0), n_perm))
-    sized = subjects.select(subject, "z", F.col("n").cast("double").alias("n")).join(reps, subject)
-    sums = _replicate_sums(sized, ["z"], ["n"], n_perm, len(groups))
-    weight = F.element_at("s", -1)
-    body = F.slice("s", 1, F.size("s") - 1)
-    per_rep = (
-        sums.where(weight > 0)
-        .groupBy("rep")
-        .agg(F.sum(A.sum_squares(body) / weight).alias("among"), F.count(F.lit(1)).alias("a"))
+    observed = pool(cells, [label]).withColumn("z", standard("mean")).agg(
+        F.sum(F.col("n") * A.sum_squares(F.col("z"))).alias("among"), F.count(F.lit(1)).alias("a")
     )
+    first = cells.groupBy(subject).agg(F.min(label).alias(label))
+    sizes = {r[0]: r["c"] for r in first.groupBy(label).agg(F.count(F.lit(1)).alias("c")).collect()}
+    _, ends, keys, _ = _dealing(sizes, n_perm, seed)
+    numbered = ranked(first.select(subject), [], [subject], "_i").select(subject, (F.col("_i") - 1).alias("i"))
+    sized = pool(cells, [subject]).join(numbered, subject)
+    sized = sized.select("i", A.scale(standard("mean"), F.col("n").cast("double")).alias("z"), F.col("n").cast("double").alias("n"))
+    per_rep = _permuted_sums(sized, ends, keys, len(mu))
 
     def pseudo_f(among, a):
         within = F.lit(ss_total) - among

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-
+from strataframe.functions.draws import PRIME, ROUNDS
 from strataframe.operators import variance as V
 
 from .registry import CROSSED, NESTED, crossed, nested, query, rounded, u32
@@ -102,14 +102,18 @@ def variance_components(spark, sf):
 
 
 N_PERM = 999
-PERM_SQL = f"""WITH {NESTED},
+PERM_SQL = f"""WITH RECURSIVE {NESTED},
 sd AS (SELECT dim, avg(v) AS m, greatest(stddev_pop(v), 1e-12) AS s FROM fl GROUP BY dim),
-subj AS (SELECT subject_id, min(label) AS label, row_number() OVER (ORDER BY min(label), subject_id) AS deal
-  FROM f GROUP BY subject_id),
-p AS (SELECT subject_id, perm, row_number() OVER (PARTITION BY perm
-  ORDER BY md5(concat_ws(':', 0, perm, subject_id)), subject_id) AS r FROM subj, range(1, {N_PERM + 1}) AS t(perm)),
+subj AS (SELECT subject_id, min(label) AS label, row_number() OVER (ORDER BY min(label), subject_id) - 1 AS place,
+  row_number() OVER (ORDER BY subject_id) - 1 AS i, count(*) OVER () AS size FROM f GROUP BY subject_id),
+ky AS (SELECT perm, r, {u32("concat_ws(':', 0, perm, r)")} AS k, {u32("concat_ws(':', 0, perm, r)", 1)} % {PRIME - 1} + 1 AS a,
+  {u32("concat_ws(':', 0, perm, r)", 2)} % {PRIME} AS b FROM range(1, {N_PERM + 1}) AS t(perm), range(0, {ROUNDS}) AS q(r)),
+j AS (SELECT perm, subject_id, i AS at_, 0 AS r, size FROM subj, range(1, {N_PERM + 1}) AS t(perm)
+  UNION ALL SELECT perm, subject_id, CASE WHEN ((h * h + a) % {PRIME} >> 8) & 1 = 1 THEN other ELSE at_ END, r + 1, size
+  FROM (SELECT *, (a * greatest(at_, other) + b) % {PRIME} AS h FROM (SELECT j.*, a, b, (k % size + size - at_) % size AS other
+    FROM j JOIN ky USING (perm, r)))),
 lab AS (SELECT 0 AS perm, subject_id, label FROM subj
-  UNION ALL SELECT p.perm, p.subject_id, d.label FROM p JOIN subj d ON d.deal = p.r),
+  UNION ALL SELECT j.perm, j.subject_id, d.label FROM j JOIN subj d ON d.place = j.at_ WHERE j.r = {ROUNDS}),
 sm AS (SELECT fl.subject_id, fl.dim, sum((v - m) / s) AS t, count(*) AS n FROM fl JOIN sd USING (dim)
   GROUP BY fl.subject_id, fl.dim),
 g AS (SELECT perm, label, dim, sum(t) AS t, sum(n) AS n FROM lab JOIN sm USING (subject_id) GROUP BY perm, label, dim),
