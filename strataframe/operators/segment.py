@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..contracts import require_empty
 from ..functions import arrays as A
+from ..plans.moments import attach
 from ..plans.ordered import HOT_ROWS, lagged, running
 
 
@@ -246,14 +247,26 @@ def epoch_matrix(
 # ---- channels -------------------------------------------------------------------------------------------------------------
 
 
-def select_channels(epochs: DataFrame, want: Sequence[str], ch: str = "ch", key: Sequence[str] = ()) -> DataFrame:
-    """Keep and renumber channels by case-insensitive name. A wanted name absent from a recording is an error."""
+def select_channels(epochs: DataFrame, want: Sequence[str], ch: str = "ch", key: Sequence[str] = (), header: DataFrame | None = None) -> DataFrame:
+    """Keep and renumber channels by case-insensitive name. A wanted name absent from a recording is an error.
+
+    ``header`` (key, ch) lists the channels of each recording, as a device tells them before its first sample. With it
+    the check is part of the plan: the first row of a recording that lacks a channel, or of one that no header has,
+    fails the query and names it. So it works on a stream; without it all names are looked up first, in a job.
+    """
     spark = epochs.sparkSession
     wanted = spark.createDataFrame([(i, n.strip().upper(), n) for i, n in enumerate(want)], "pos int, _name string, want string")
     named = epochs.withColumn("_name", F.upper(F.trim(ch)))
-    if key:
+    names = F.lit([n.strip().upper() for n in want])
+    if header is not None:
+        have = header.groupBy(*key).agg(F.array_except(names, F.collect_set(F.upper(F.trim(ch)))).alias("_missing"))
+        named = named.join(have, list(key), "left") if key else attach(named, have)
+        lacking = F.coalesce(F.array_join("_missing", ", "), F.lit("no header"))
+        error = F.raise_error(F.concat(F.lit("requested channels not in recording: "), lacking))
+        named = named.where(F.when(F.coalesce(F.size("_missing"), F.lit(1)) > 0, error.cast("boolean")).otherwise(True)).drop("_missing")
+    elif key:
         have = named.groupBy(*key).agg(F.collect_set("_name").alias("_have"))
-        short = have.withColumn("missing", F.array_except(F.lit([n.strip().upper() for n in want]), "_have"))
+        short = have.withColumn("missing", F.array_except(names, "_have"))
         require_empty(short.where(F.size("missing") > 0).select(*key, "missing"), "requested channels not in recording")
     else:
         require_empty(

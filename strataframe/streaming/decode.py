@@ -6,11 +6,13 @@ from collections.abc import Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StructType
 
 from ..contracts import BROADCAST_LIMIT, ContractError, fits_broadcast
 from ..functions import arrays as A
 from ..operators import metrics, pooling, retrieval, ridge, segment, selecting
 from ..operators.sampling import shuffled
+from . import sinks
 
 # Fixed value: seconds between replayed trials.
 REPLAY_SPACING = 1.2
@@ -70,6 +72,50 @@ def decode_stream(features: DataFrame, model: ridge.RidgeMap, gallery: DataFrame
     )
 
 
+DECODED = "trial long, code long, top array<long>"
+
+
+def decode_batch(batch: DataFrame, model: ridge.RidgeMap, gallery: DataFrame, ks: Sequence[int] = (1, 5), limit: int = BROADCAST_LIMIT) -> DataFrame:
+    """As ``decode_stream``, for a table and a gallery of any size: beyond ``limit`` it is matched in tiles. Trials have
+    unique numbers."""
+    known = ridge.apply_ridge_map(batch.select("trial", "code", "x"), model).select("trial", "code", F.col("prediction").alias("emb"))
+    best = retrieval.top_k(known, gallery, max(ks), qid="trial", limit=limit)
+    top = best.groupBy("qid").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "id"))), lambda r: r["id"]).alias("top"))
+    joined = known.join(top, F.col("trial") == F.col("qid"))
+    return joined.select(
+        "trial", "code", "top", *[F.array_contains(F.slice("top", 1, k), F.col("code")).alias(f"hit{k}") for k in ks]
+    )
+
+
+def decode_online(
+    trials: DataFrame,
+    model: str,
+    gallery: DataFrame,
+    out: str,
+    ks: Sequence[int] = (1, 5),
+    max_trials: int | None = None,
+    idle: float | None = None,
+    trigger: str | None = "0 seconds",
+    limit: int = BROADCAST_LIMIT,
+) -> DataFrame:
+    """Decode a stream of trials ``(trial, code, x)`` with a stored model; ``trial, code, top, hit…, batch``.
+
+    ``model`` is the folder of a ``ridge_table``. It is read for every micro-batch, so that a later calibration takes
+    effect at once. Decisions go to ``out`` (``data``, and ``state`` to go on from), each trial once also after a failed
+    batch. The run ends after ``max_trials`` trials, or when none has come for ``idle`` seconds.
+    """
+    spark = trials.sparkSession
+    schema = StructType(list(spark.createDataFrame([], DECODED).schema.fields))
+    for k in ks:
+        schema = schema.add(f"hit{k}", "boolean")
+    sink = sinks.BatchFolders(spark, f"{out}/data", schema, max_trials, ["trial"])
+
+    def step(batch: DataFrame) -> DataFrame:
+        return decode_batch(batch, ridge.ridge_from_table(spark.read.parquet(model)), gallery, ks, limit)
+
+    return sinks.run_live(trials, f"{out}/state", sink, step, idle, trigger)
+
+
 def running_accuracy(decoded: DataFrame, ks: Sequence[int] = (1, 5)) -> DataFrame:
     """Hit rates over all trials so far; on a stream in update or complete mode."""
     return decoded.agg(
@@ -84,7 +130,8 @@ def write_replay(trials: DataFrame, path: str, seed: int = 0, per_file: int = 64
         order = order.where(F.col("position") <= max_trials)
     rows = trials.join(order, id).withColumn("onset_ts", (F.col("position") - 1) * REPLAY_SPACING)
     rows = rows.withColumn("block", F.floor((F.col("position") - 1) / per_file))
-    rows.repartitionByRange("block").sortWithinPartitions("position").write.mode("overwrite").parquet(path)
+    files = max(1, -(-order.count() // per_file))
+    rows.repartitionByRange(files, "block").sortWithinPartitions("position").write.mode("overwrite").parquet(path)
 
 
 def read_replay(spark: SparkSession, path: str, files_per_trigger: int = 1) -> DataFrame:

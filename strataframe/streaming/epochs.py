@@ -7,7 +7,7 @@ there is one device, so its state is bounded by retention times sampling rate.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -259,3 +259,17 @@ def assemble_epochs(
     events = s.unionByName(m).withWatermark("at", delay).withColumn("t", _seconds("at"))
     buffer = RetentionBuffer(tmin, tmax, retention, max_gap, bucket or max((tmax - tmin) / 2, 1e-3))
     return events.groupBy("recording_id").transformWithStateInPandas(buffer, ASSEMBLED, "Append", "EventTime")
+
+
+def montage(epochs: DataFrame, want: Sequence[str]) -> DataFrame:
+    """``x array<array<double>>`` of assembled epochs: the samples of each wanted channel in order of time, channels in
+    the order wanted, names without regard to case. An epoch that lacks one fails the query with its name; epochs that
+    were not put together (status other than ``ok``) have no ``x``."""
+    names = F.transform("ch", lambda c: F.upper(F.trim(c)))
+    wanted = F.lit([n.strip().upper() for n in want])
+    missing = F.array_except(wanted, names)
+    error = F.raise_error(F.concat(F.lit("requested channels not in stream: "), F.array_join(missing, ", ")))
+    rows = F.arrays_zip(names.alias("c"), F.col("v").alias("v"))
+    picked = F.transform(wanted, lambda w: F.transform(F.filter(rows, lambda r: r["c"] == w), lambda r: r["v"]))
+    x = F.when(F.size(missing) > 0, error.cast("array<array<double>>")).otherwise(picked)
+    return epochs.withColumn("x", F.when(F.col("status") == "ok", x)).drop("ch", "t", "v")

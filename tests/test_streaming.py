@@ -185,3 +185,76 @@ def test_update_sink_merges_by_key(spark, tmp_path):
     assert {r["k"]: r["total"] for r in sinks.run_to_files(live, "merged", "update", keys=["k"]).collect()} == {1: 3.0, 2: 5.0}
     with pytest.raises(ValueError, match="keys"):
         sinks.run_to_files(live, "merged", "update")
+
+
+def gallery_and_model(spark, path, width=6, n=12):
+    rng = np.random.default_rng(2)
+    g = [(i, [float(v) for v in rng.normal(size=width)]) for i in range(n)]
+    model = ridge.RidgeMap(np.zeros(width), np.ones(width), np.zeros(width), np.eye(width))
+    ridge.ridge_table(spark, model).coalesce(1).write.parquet(path)
+    trials = [(100 + i, i % n, [v + 0.01 for v in g[i % n][1]]) for i in range(30)]
+    return spark.createDataFrame(g, "id long, emb array<double>"), spark.createDataFrame(trials, "trial long, code long, x array<double>")
+
+
+def test_online_decode_stops_at_its_trials_and_goes_on_later(spark, tmp_path):
+    g, t = gallery_and_model(spark, str(tmp_path / "model"))
+    decode.write_replay(t, str(tmp_path / "replay"), per_file=5)
+    live = lambda: decode.read_replay(spark, str(tmp_path / "replay")).select("trial", "code", "x")
+    run_ = lambda **o: decode.decode_online(live(), str(tmp_path / "model"), g, str(tmp_path / "out"), (1, 3), **o)
+    first = run_(max_trials=8)
+    assert first.count() == 8 and first.where("not hit1").count() == 0
+    done = run_(trigger=None).orderBy("trial").collect()  # from the stored state; two of the cut batch were not taken
+    assert len({r.trial for r in done}) == len(done) == 28 and all(r.top[0] == r.code for r in done)
+
+
+def test_online_decode_in_tiles_equals_broadcast(spark, tmp_path):
+    g, t = gallery_and_model(spark, str(tmp_path / "model"))
+    model = ridge.ridge_from_table(spark.read.parquet(str(tmp_path / "model")))
+    a, b = (sorted(map(repr, decode.decode_batch(t, model, g, (1, 4), limit).collect())) for limit in (1 << 20, 1))
+    assert a == b and len(a) == 30
+
+
+def test_live_run_stops_when_its_source_dries_up(spark, tmp_path):
+    g, t = gallery_and_model(spark, str(tmp_path / "model"))
+    decode.write_replay(t, str(tmp_path / "replay"), per_file=10)
+    live = decode.read_replay(spark, str(tmp_path / "replay")).select("trial", "code", "x")
+    out = decode.decode_online(live, str(tmp_path / "model"), g, str(tmp_path / "out"), (1,), idle=6.0)
+    assert out.count() == 30 and not spark.streams.active
+
+
+def test_a_batch_that_runs_again_replaces_its_rows(spark, tmp_path):
+    rows = spark.createDataFrame([(i,) for i in range(6)], "i long")
+    sink = sinks.BatchFolders(spark, str(tmp_path / "o"), rows.schema, limit=9, order=["i"])
+    sink.write(rows, 0)
+    sink.write(rows, 1)
+    sink.write(rows, 1)
+    again = sinks.BatchFolders(spark, str(tmp_path / "o"), rows.schema, limit=9, order=["i"])
+    again.write(rows, 1)
+    assert sorted((r.batch, r.i) for r in again.read().collect()) == [(0, i) for i in range(6)] + [(1, i) for i in range(3)]
+    assert again.full()
+
+
+def test_montage_of_assembled_epochs(spark, tmp_path):
+    samples = [(2 * i + k, 1, ("Cz", " fp1")[k], 100.0 + i / 100, float(i + 1000 * k)) for i in range(300) for k in range(2)]
+    s, m = frames(spark, samples, [(3, 1, 100.0), (4, 1, 90.0)])
+    late = frames(spark, [(9000, 2, "c", 90000.0, 0.0)], [(99, 2, 90000.0)])
+    ss, mm = write_stream(spark, tmp_path, s, m, late)
+    made = S.assemble_epochs(ss, mm, 0.0, 1.0)
+    out = {r.code: r for r in sinks.run_to_files(S.montage(made, ["Fp1", "Cz"]), "montage").collect()}
+    assert out[3].x == [[1000.0 + i for i in range(100)], [float(i) for i in range(100)]] and out[4].x is None
+    with pytest.raises(Exception, match="requested channels not in stream: OZ"):
+        sinks.run_to_files(S.montage(made, ["Oz"]), "lacking")
+
+
+def test_channels_of_a_stream_are_checked_against_its_header(spark, tmp_path):
+    samples, markers = frames(spark, [(1, 1, "Cz", 1.0, 0.5), (2, 2, "cz", 1.0, 0.7), (3, 2, "Pz", 1.0, 0.9)], [(1, 1, 1.0)])
+    s, _ = write_stream(spark, tmp_path, samples, markers)
+    header = spark.createDataFrame([(1, "CZ"), (2, "Cz"), (2, "Pz")], "recording_id long, ch string")
+    key = ["recording_id"]
+    out = sinks.run_to_files(segment.select_channels(s, ["cz"], key=key, header=header), "picked")
+    assert sorted((r.row_id, r.ch, r.pos) for r in out.collect()) == [(1, "cz", 0), (2, "cz", 0)]
+    for want, named in ((["Pz"], "PZ"), (["Oz"], "OZ")):
+        with pytest.raises(Exception, match=f"not in recording: {named}"):
+            sinks.run_to_files(segment.select_channels(s, want, key=key, header=header), "lacking")
+    with pytest.raises(Exception, match="no header"):
+        sinks.run_to_files(segment.select_channels(s, ["cz"], key=key, header=header.where("recording_id = 1")), "headless")

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 from pyspark.sql import functions as F
 
-from strataframe.operators import pooling as P, sampling, segment as S, selecting as X
+from strataframe import session
+from strataframe.operators import pooling as P, ridge, sampling, segment as S, selecting as X
+from strataframe.plans import moments
 from strataframe.sources import cohorts as C
 from strataframe.streaming import decode as D
 
@@ -181,3 +185,33 @@ def decode_trials(spark, sf):
     scaler, model, _ = D.calibrate(trials.where(F.col("trial") % 3 < 2), gallery, average=False)
     test = S.apply_epoch_scaler(trials.where(F.col("trial") % 3 == 2), scaler, ["ch"])
     return rounded(D.running_accuracy(D.decode_stream(D.concat_channels(test), model, gallery, (1, 3)), (1, 3)))
+
+
+@query(
+    "stream_online_decode",
+    """WITH f AS (SELECT vec_id AS trial, label AS code, unnest(range(len(embedding))) AS dim, unnest(embedding)::DOUBLE AS v FROM embeddings),
+m AS (SELECT dim, avg(v) AS m, stddev_pop(v) AS s FROM f GROUP BY dim),
+z AS (SELECT trial, code, dim, (v - m) / s AS z FROM f JOIN m USING (dim)),
+g AS (SELECT code AS id, dim, avg(z) AS g FROM z GROUP BY code, dim),
+gn AS (SELECT id, sqrt(sum(g * g)) AS n FROM g GROUP BY id),
+c AS (SELECT trial, z.code, g.id, sum(z * g) / any_value(gn.n) AS score FROM z JOIN g USING (dim) JOIN gn ON gn.id = g.id GROUP BY trial, z.code, g.id),
+r AS (SELECT *, row_number() OVER (PARTITION BY trial ORDER BY score DESC, id) AS r FROM c)
+SELECT trial, code::BIGINT AS code, string_agg(id::VARCHAR, ',' ORDER BY r) FILTER (r <= 3) AS top, max((id = code AND r = 1)::INT) = 1 AS hit1,
+  max((id = code AND r <= 3)::INT) = 1 AS hit3 FROM r GROUP BY trial, code""",
+)
+def stream_online_decode(spark, sf):
+    # the stored model standardises; the gallery holds the mean of each label's standardised rows
+    trials = table(spark, sf, "embeddings").select(
+        F.col("vec_id").alias("trial"), F.col("label").cast("bigint").alias("code"), F.col("embedding").cast("array<double>").alias("x")
+    )
+    total = moments.cell_moments(trials, []).first()
+    mean, sd = np.array(total["mean"]), np.sqrt(np.array(total["within"]) / total["n"])
+    model = ridge.RidgeMap(mean, sd, np.zeros(len(mean)), np.eye(len(mean)))
+    session.ensure_checkpoint_dir(spark)
+    base = f"{spark.sparkContext.getCheckpointDir()}/online-{uuid.uuid4().hex}"
+    ridge.ridge_table(spark, model).coalesce(1).write.parquet(f"{base}/model")
+    gallery = P.mean_pool(ridge.apply_ridge_map(trials, model, out="z").select("code", F.col("z").alias("x")), ["code"])
+    D.write_replay(trials, f"{base}/replay", seed=0, per_file=256)
+    live = D.read_replay(spark, f"{base}/replay", files_per_trigger=4).select("trial", "code", "x")
+    done = D.decode_online(live, f"{base}/model", gallery.select(F.col("code").alias("id"), F.col("x").alias("emb")), f"{base}/out", (1, 3), trigger=None)
+    return rounded(done.select("trial", "code", F.array_join("top", ",").alias("top"), "hit1", "hit3"))

@@ -223,6 +223,17 @@ def stream_assembled_epochs(spark, sf):
     return rounded(SE.close_run(done, markers(spark, sf), lambda left: S.epoch_summary(samples, left, -3600.0, 24 * 3600.0, max_gap=12 * 3600.0)))
 
 
+@query(
+    "stream_selected_channels",
+    f"""WITH {SIGNAL}, w(pos, u, ch) AS (VALUES (0, 'VIEW', 'View'), (1, 'PURCHASE', 'Purchase'))
+SELECT s.row_id, pos, w.ch, round(s.v, 6) AS v FROM s JOIN w ON upper(trim(s.ch)) = w.u""",
+)
+def stream_selected_channels(spark, sf):
+    header = signal(spark, sf).select("ch").distinct()
+    live = S.select_channels(_live(spark, sf), ["View", "Purchase"], header=header)
+    return rounded(sinks.run_to_files(live.select("row_id", "pos", "ch", "v"), "selected"))
+
+
 @query(
     "stream_running_rate",
     """SELECT count(*) AS n_trials, round(avg((event_type = 'purchase')::INT), 6) AS rate FROM events""",
