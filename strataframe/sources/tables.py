@@ -5,7 +5,8 @@ from __future__ import annotations
 import json
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StringType, VariantType
 
 from ..contracts import ContractError, require_columns
 from ..functions import arrays as A
@@ -41,6 +42,11 @@ def write_dictionary(atoms: DataFrame, dec_bias: Sequence[float], k: int, path:
     rows.unionByName(bias).withColumn("k", F.lit(k)).write.mode("overwrite").parquet(path)
 
 
+def read_atoms(spark: SparkSession, path: str) -> DataFrame:
+    """The atoms of a stored dictionary as a table: feature, enc, enc_bias, dec, k."""
+    return spark.read.parquet(path).where(F.col("feature") >= 0)
+
+
 def read_dictionary(spark: SparkSession, path: str):
     """The dictionary and its ``k``."""
     from ..operators.dictionary import load_dictionary
@@ -77,16 +83,39 @@ def write_scores(df: DataFrame, path: str, formatted: str = "csv") -> None:
     writer.option("header", True).csv(path) if formatted == "csv" else writer.parquet(path)
 
 
+def _variant(df: DataFrame, column: str) -> Column:
+    """A column as VARIANT: JSON text is parsed, a struct or map taken as it is."""
+    kind = df.schema[column].dataType
+    if isinstance(kind, VariantType):
+        return F.col(column)
+    return F.parse_json(column) if isinstance(kind, StringType) else F.to_variant_object(column)
+
+
+def setting(config: str, path: str, kind: str, default: Column | None = None) -> Column:
+    """A field of a VARIANT column by its path (``probe.score``); ``default`` where it is missing, null or of another kind."""
+    found = F.try_variant_get(config, f"$.{path}", kind)
+    return found if default is None else F.coalesce(found, default)
+
+
+def write_manifest(runs: DataFrame, path: str) -> None:
+    """Append a table of runs (run, config) in one job. ``config`` is JSON text, a struct, a map or a VARIANT and is
+    stored as VARIANT: runs may have other fields than those stored before, and the table's schema stays the same."""
+    rows = require_columns(runs, "run", "config").select("run", _variant(runs, "config").alias("config"))
+    rows.withColumn("written_at", F.current_timestamp()).write.mode("append").parquet(path)
+
+
 def append_manifest(spark: SparkSession, path: str, name: str, config: Mapping) -> None:
-    """One manifest row per run: name, time, configuration as JSON."""
-    row = spark.createDataFrame([(name, json.dumps(dict(config), sort_keys=True))], "run string, config string")
-    row.withColumn("written_at", F.current_timestamp()).write.mode("append").parquet(path)
+    """One manifest row: name, time, configuration."""
+    write_manifest(spark.createDataFrame([(name, json.dumps(dict(config), sort_keys=True))], "run string, config string"), path)
 
 
 def read_manifest(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
-    """Manifest rows; with a ``schema`` the configuration is parsed into a struct."""
+    """Manifest rows; with a ``schema`` the configuration becomes a struct with nulls for what a run doesn't have."""
     df = spark.read.parquet(path)
-    return df.withColumn("config", F.from_json("config", schema)) if schema else df
+    if not schema:
+        return df
+    fields = spark.createDataFrame([], schema).schema.fields
+    return df.withColumn("config", F.struct(*[setting("config", f.name, f.dataType.simpleString()).alias(f.name) for f in fields]))
 
 
 def write_leaderboard(rows: DataFrame, path: str) -> None:
@@ -109,6 +138,18 @@ def read_results(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("multiLine", True).json(path)
 
 
+def write_results(results: DataFrame, path: str, by: Sequence[str] = ("dataset", "model")) -> None:
+    """Append results (``by``, parts) of any nesting in one job, ``parts`` as VARIANT."""
+    rows = require_columns(results, *by, "parts").select(*by, _variant(results, "parts").alias("parts"))
+    rows.write.mode("append").parquet(path)
+
+
+def read_result_variants(spark: SparkSession, path: str, multiline: bool = True) -> DataFrame:
+    """``read_results`` with each file's content as one VARIANT ``parts``: files may differ in their fields, none is looked
+    at to find a schema. With ``multiline=False`` every line is a result."""
+    return spark.read.option("multiLine", multiline).option("singleVariantColumn", "parts").json(path)
+
+
 def lookup_result(results: DataFrame, **keys: str) -> DataFrame:
     """Rows for the given keys, checked one after the other; an unknown value is an error that lists the known ones."""
     out = results

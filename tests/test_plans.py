@@ -7,6 +7,7 @@ import pytest
 from helpers import table
 from pyspark.sql import Window, functions as F
 
+from strataframe.functions import draws
 from strataframe.operators import direction as D, sampling
 from strataframe.plans import hashed, ordered, overlapping, quantiles
 
@@ -171,3 +172,16 @@ def test_percentiles_of_overlapping_sets(spark, held):
         own = np.clip(x[member[:, m]], -1, 1 + m)
         assert (count[m], pos[m]) == (len(own), y[member[:, m]].sum())
         assert np.allclose(mean[m], own.mean(0)) and np.allclose(variance[m], own.var(0))
+
+
+@pytest.mark.parametrize("size", [1, 2, 7, 100, 1000])
+def test_keyed_bijections_are_bijections_and_spread(size):
+    keys = draws.bijection_keys(3, 400, size)
+    at = draws.bijected(np.arange(size), keys, size)
+    assert (np.sort(at, axis=1) == np.arange(size)).all()
+    assert (draws.bijected(np.arange(size)[::-1], keys[:5], size) == at[:5, ::-1]).all()  # each index by itself
+    if size > 2:
+        mean = at.mean(axis=0)  # every index lands everywhere: its mean place is the middle
+        assert np.abs(mean - (size - 1) / 2).max() < 6 * size / np.sqrt(12 * 400)
+        pairs = {tuple(p) for p in at[:, :2]}
+        assert len(pairs) > 0.6 * min(400, size * (size - 1))

@@ -285,6 +285,23 @@ def test_manifest_and_results(spark, tmp_path):
         B.lookup_result(res, dataset="b", model="y")
 
 
+def test_settings_with_drifting_fields_keep_one_schema(spark, tmp_path):
+    m = str(tmp_path / "m")
+    B.write_manifest(spark.createDataFrame([("a", '{"k": 8, "opt": {"lr": 0.5}}'), ("b", "{}")], "run string, config string"), m)
+    B.write_manifest(spark.createDataFrame([("c", {"k": "nine"})], "run string, config map<string,string>"), m)
+    B.append_manifest(spark, m, "d", {"k": 4, "new": [1, 2]})
+    rows = B.read_manifest(spark, m)
+    assert dict(rows.dtypes)["config"] == "variant"
+    got = rows.select("run", B.setting("config", "k", "long", F.lit(-1)).alias("k"), B.setting("config", "opt.lr", "double").alias("lr"), B.setting("config", "new[1]", "int").alias("new"))
+    assert sorted(map(tuple, got.collect())) == [("a", 8, 0.5, None), ("b", -1, None, None), ("c", -1, None, None), ("d", 4, None, 2)]
+    (tmp_path / "r").mkdir()
+    (tmp_path / "r" / "1.json").write_text('{"dataset": "x", "model": "p", "ba": 0.5}\n{"dataset": "x", "model": "q", "deep": {"ba": [0.25]}}\n')
+    found = B.read_result_variants(spark, str(tmp_path / "r"), multiline=False)
+    B.write_results(found.select(*[B.setting("parts", c, "string").alias(c) for c in ("dataset", "model")], "parts"), str(tmp_path / "t"))
+    out = spark.read.parquet(str(tmp_path / "t")).select("model", B.setting("parts", "ba", "double", B.setting("parts", "deep.ba[0]", "double")).alias("ba"))
+    assert sorted(map(tuple, out.collect())) == [("p", 0.5), ("q", 0.25)]
+
+
 def test_cohorts_and_extraction(spark):
     rng = np.random.default_rng(0)
     recs = [(s, s % 2, rng.normal(size=(3, 2, 8))) for s in range(4)]

@@ -7,8 +7,8 @@ import uuid
 from pyspark.sql import functions as F
 
 from strataframe import contracts
-from strataframe.functions import scalars
 from strataframe.operators import selecting as X
+from strataframe.plans import moments
 from strataframe.session import ensure_checkpoint_dir
 from strataframe.sources import cohorts as C, tables as T
 
@@ -30,19 +30,19 @@ def stored_activations(spark, sf):
 
 @query(
     "stored_dictionary",
-    """SELECT vec_id AS feature, round(embedding[1]::DOUBLE, 6) AS enc_first, round(embedding[64]::DOUBLE, 6) AS dec_last, 7 AS k, 64 AS width
-FROM embeddings WHERE vec_id < 32""",
+    """WITH m AS (SELECT label, dim, avg(v) AS v FROM (SELECT label, unnest(range(len(embedding))) AS dim, unnest(embedding)::DOUBLE AS v FROM embeddings)
+  GROUP BY label, dim)
+SELECT label::BIGINT AS feature, round(max(v) FILTER (dim = 0), 6) AS enc_first, round(max(v) FILTER (dim = 63), 6) AS dec_last, 7 AS k,
+  count(*) AS width FROM m GROUP BY label""",
 )
 def stored_dictionary(spark, sf):
-    atoms = table(spark, sf, "embeddings").where("vec_id < 32").select(
-        F.col("vec_id").alias("feature"), F.col("embedding").alias("enc"), F.lit(0.5).alias("enc_bias"), F.col("embedding").alias("dec")
-    )  # a dictionary is small by its contract
+    rows = table(spark, sf, "embeddings").select(F.col("label").cast("bigint").alias("feature"), F.col("embedding").cast("array<double>").alias("x"))
+    atoms = moments.cell_moments(rows, ["feature"]).select("feature", F.col("mean").alias("enc"), F.lit(0.5).alias("enc_bias"), F.col("mean").alias("dec"))
     path = _place(spark, "dictionary")
     T.write_dictionary(atoms, [0.25] * 64, 7, path)
-    found, k = T.read_dictionary(spark, path)
-    fields = list(zip(found.features.tolist(), found.enc[:, 0].tolist(), found.dec[:, -1].tolist()))
-    out = spark.createDataFrame(fields, "feature long, enc_first double, dec_last double")
-    return rounded(out.withColumns({"k": F.lit(k), "width": F.lit(found.enc.shape[1])}))
+    found = T.read_atoms(spark, path)
+    fields = found.select("feature", F.col("enc")[0].alias("enc_first"), F.element_at("dec", -1).alias("dec_last"), "k", F.size("enc").alias("width"))
+    return rounded(fields)
 
 
 @query(
@@ -118,32 +118,50 @@ def stored_leaderboard(spark, sf):
     return T.read_leaderboard(spark, path).select("dataset", "paradigm", "n_subjects", "c_bar_value")
 
 
-NATIONS = """SELECT r_name AS dataset, n_name AS model, n_nationkey * 0.5 AS score, CASE WHEN n_nationkey % 2 = 0 THEN n_name ELSE 'none' END AS note
-FROM nation JOIN region ON n_regionkey = r_regionkey"""
-
-
-@query("stored_results", NATIONS)
+@query(
+    "stored_results",
+    """SELECT l_returnflag AS dataset, l_suppkey AS model, round(avg(l_discount), 6) AS score,
+  CASE WHEN l_suppkey % 2 = 0 THEN 'n' || count(*) ELSE 'none' END AS note, CASE WHEN l_returnflag = 'R' THEN count(*) ELSE -1 END AS extra
+FROM lineitem GROUP BY l_returnflag, l_suppkey""",
+)
 def stored_results(spark, sf):
-    """Nested result files by data set and model; a missing inner field gives the default."""
-    region = table(spark, sf, "region").select(F.col("r_regionkey").alias("n_regionkey"), F.col("r_name").alias("dataset"))
-    note = F.when(F.col("n_nationkey") % 2 == 0, F.col("n_name"))
-    nested = F.struct(F.struct((F.col("n_nationkey") * 0.5).alias("score"), note.alias("note")).alias("probe")).alias("parts")
-    rows = table(spark, sf, "nation").join(region, "n_regionkey").select("dataset", F.col("n_name").alias("model"), nested)
+    """Results by data set and model as nested JSON, one a line; fields that a result lacks give the default."""
+    each = table(spark, sf, "lineitem").groupBy(F.col("l_returnflag").alias("dataset"), F.col("l_suppkey").alias("model")).agg(
+        F.round(F.avg("l_discount"), 6).alias("score"), F.count(F.lit(1)).alias("n")
+    )
+    probe = F.struct("score", F.when(F.col("model") % 2 == 0, F.concat(F.lit("n"), "n")).alias("note"))
+    extra = F.when(F.col("dataset") == "R", F.struct(F.col("n").alias("rows")))
     path = _place(spark, "results")
-    rows.repartition("dataset", "model").write.partitionBy("dataset", "model").json(path)
-    found = T.read_results(spark, path)
+    each.select("dataset", "model", probe.alias("probe"), extra.alias("later")).write.partitionBy("dataset").json(path)
+    lines = T.read_result_variants(spark, path, multiline=False).withColumn("model", T.setting("parts", "model", "long"))
+    stored = _place(spark, "result-table")
+    T.write_results(lines, stored)
+    found = spark.read.parquet(stored)
     return found.select(
-        "dataset", "model", scalars.nested("parts", "probe.score", F.lit(-1.0)).alias("score"), scalars.nested("parts", "probe.note", F.lit("none")).alias("note")
-    )
+        "dataset", "model", T.setting("parts", "probe.score", "double", F.lit(-1.0)).alias("score"),
+        T.setting("parts", "probe.note", "string", F.lit("none")).alias("note"), T.setting("parts", "later.rows", "long", F.lit(-1)).alias("extra"),
+    )
 
 
-@query("stored_manifest", "SELECT 'run' || n_nationkey AS run, n_nationkey + 1 AS draws, coalesce(NULL, 'default') AS mode FROM nation WHERE n_nationkey < 3")
+@query(
+    "stored_manifest",
+    """SELECT 'run' || user_id AS run, count(*) AS draws, CASE WHEN user_id % 3 = 0 THEN 'default' ELSE min(event_type) END AS mode,
+  CASE WHEN user_id % 2 = 0 THEN round(avg(value), 6) END AS lr FROM events GROUP BY user_id""",
+)
 def stored_manifest(spark, sf):
+    """Runs of two kinds with different settings, appended in two jobs."""
+    runs = table(spark, sf, "events").groupBy("user_id").agg(
+        F.count(F.lit(1)).alias("draws"), F.min("event_type").alias("mode"), F.round(F.avg("value"), 6).alias("lr")
+    )
+    runs = runs.withColumn("run", F.concat(F.lit("run"), "user_id")).withColumn("mode", F.when(F.col("user_id") % 3 > 0, F.col("mode")))
     path = _place(spark, "manifest")
-    for r in table(spark, sf, "nation").where("n_nationkey < 3").select("n_nationkey").orderBy("n_nationkey").collect():  # one run, one call
-        T.append_manifest(spark, path, f"run{r[0]}", {"draws": r[0] + 1})
-    rows = T.read_manifest(spark, path, "draws long, mode string")
-    return rows.select("run", F.col("config.draws").alias("draws"), scalars.nested("config", "mode", F.lit("default")).alias("mode"))
+    T.write_manifest(runs.where("user_id % 2 = 0").select("run", F.struct("draws", "mode", "lr").alias("config")), path)
+    T.write_manifest(runs.where("user_id % 2 <> 0").select("run", F.to_json(F.struct("mode", "draws")).alias("config")), path)
+    rows = T.read_manifest(spark, path)
+    return rounded(rows.select(
+        "run", T.setting("config", "draws", "long").alias("draws"), T.setting("config", "mode", "string", F.lit("default")).alias("mode"),
+        T.setting("config", "lr", "double").alias("lr"),
+    ))
 
 
 @query(
