@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame, functions as F
 
 #: Bytes of a window; a multiple of every width.
@@ -20,7 +20,7 @@ WINDOWS_PER_ROW = 2
 #: Windows that are convolved at once (about 1.5 MB of sums, so that they stay in a core's cache).
 BLOCK = 32
 
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 
 
 def windows_of(data: bytes) -> np.ndarray:

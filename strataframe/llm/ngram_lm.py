@@ -13,10 +13,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from .common import stash
 
-#: Longest n-gram, factor of each step back, and the least count of an n-gram of two words or more that is used.
-ORDER = 2
+#: Longest n-gram, and factor of each step back.
+ORDER = 3
 ALPHA = 0.4
-LEAST = 2
 #: The most frequent n-grams, at most so many, go to all tasks (3 MB): hot keys move no rows.
 HOT = 1 << 17
 #: Texts whose n-grams a task lists at once.
@@ -136,11 +135,11 @@ def _with_digest(pairs: DataFrame) -> DataFrame:
     return pairs.select("ctx", "suf", "c").mapInArrow(run, "h bigint, ctx bigint, suf bigint, c bigint")
 
 
-def count_ngrams(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, least: int = LEAST) -> list[DataFrame]:
+def count_ngrams(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA) -> list[DataFrame]:
     """Count tables of 1 to ``order`` words over all texts: h, c, log_s, gain; partitioned by h and stored.
 
     log_s is the log of the relative frequency after the first words, gain what the n-gram adds to the score of its
-    last words: log_s - log(alpha) - log_s of the shorter one. N-grams of two words or more need ``least`` occurrences.
+    last words: log_s - log(alpha) - log_s of the shorter one. Every n-gram counts, however rare.
     """
     words = _counted(docs, 1).groupBy("h").agg(F.sum("n").alias("c"))
     words = stash(words, "words")
@@ -151,7 +150,7 @@ def count_ngrams(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, leas
     for k in range(2, order + 1):
         keys = ["ctx", "suf"] if k == 2 else ["h", "ctx", "suf"]
         # Batches are counted already: dealt out as they are, in the order in which they pack well.
-        counts = _counted(docs, k).repartition(*keys).groupBy(*keys).agg(F.sum("n").alias("c")).where(F.col("c") >= least)
+        counts = _counted(docs, k).repartition(*keys).groupBy(*keys).agg(F.sum("n").alias("c"))
         counts = stash(_with_digest(counts) if k == 2 else counts, f"counts_{k}")
         below = tables[-1]
         hot, cold = hot_and_cold(below)

@@ -89,8 +89,10 @@ class Voters:
         for at in range(0, len(some), BLOCK):
             block = some[at : at + BLOCK]
             cosine = self.latent(term_rows([texts[i] for i in block])) @ self.units.T
-            near = np.argpartition(-cosine, k - 1, axis=1)[:, :k]
-            weight = np.exp(SHARPNESS * (np.take_along_axis(cosine, near, axis=1).astype(np.float64) - 1))
+            # To five digits, then by voter number: which texts share a block decides nothing.
+            rounded = np.round(cosine.astype(np.float64) * 1e5).astype(np.int64)
+            near = np.argpartition(np.arange(len(self.labels)) - rounded * len(self.labels), k - 1, axis=1)[:, :k]
+            weight = np.exp(SHARPNESS * (np.take_along_axis(rounded, near, axis=1) / 1e5 - 1))
             out[block] = (weight * self.labels[near]).sum(axis=1) / weight.sum(axis=1)
         return np.clip(out, 0, 1)
 
@@ -99,11 +101,13 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, seed: int = 0)
     """Voters from texts with a label (labels: doc_id, quality); None if there is none.
 
     At most ``sample`` labelled ids are used, chosen by a digest of the id; of an id with several labels the mean
-    counts. Null labels and null or empty texts are left out. The driver receives the sample's sparse term vectors.
+    counts, of one with several texts the largest by digest and text. Null labels and null or empty texts are left out.
+    The driver receives the sample's sparse term vectors.
     """
     known = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.avg("quality").alias("label"))
     chosen = known.orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(sample)
-    texts = docs.select("doc_id", "text").where("text <> ''").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "label")
+    texts = docs.select("doc_id", "text").where("text <> ''").join(F.broadcast(chosen), "doc_id")
+    texts = texts.groupBy("doc_id").agg(F.max_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"), F.max("label").alias("label"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -114,7 +118,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, seed: int = 0)
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "label", "terms", "values"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    got = texts.mapInArrow(count, f"doc_id {kind}, label double, terms array<int>, values array<float>").limit(2 * sample).toArrow()
+    got = texts.mapInArrow(count, f"doc_id {kind}, label double, terms array<int>, values array<float>").toArrow()
     got = got.sort_by("doc_id")
     if not got.num_rows:
         return None

@@ -70,11 +70,15 @@ def op4_simhash(spark, sf_dir):
     "op5_backoff_score",
     rf"""WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x20\x09-\x0D]+') AS l FROM documents),
   w AS (SELECT doc_id, unnest(l) AS b, generate_subscripts(l, 1) AS i FROM d),
-  p AS (SELECT *, lag(b) OVER (PARTITION BY doc_id ORDER BY i) AS a FROM w),
+  p AS (SELECT *, lag(b) OVER o AS a, lag(b, 2) OVER o AS z FROM w WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
   u AS (SELECT b, count(*) AS c, sum(count(*)) OVER () AS total FROM w GROUP BY b),
-  g AS (SELECT a, b, count(*) AS c FROM p WHERE a IS NOT NULL GROUP BY a, b HAVING count(*) >= 2),
-  s AS (SELECT p.doc_id, CASE WHEN p.a IS NULL THEN ln(u.c / u.total) WHEN g.c IS NULL THEN ln(0.4) + ln(u.c / u.total)
-    ELSE ln(g.c / x.c) END AS s FROM p JOIN u ON p.b = u.b LEFT JOIN u x ON p.a = x.b LEFT JOIN g ON p.a = g.a AND p.b = g.b)
+  g AS (SELECT a, b, count(*) AS c FROM p WHERE a IS NOT NULL GROUP BY a, b),
+  h AS (SELECT z, a, b, count(*) AS c FROM p WHERE z IS NOT NULL GROUP BY z, a, b),
+  s AS (SELECT p.doc_id, CASE WHEN h.c IS NOT NULL THEN ln(h.c / y.c)
+    WHEN g.c IS NOT NULL THEN CASE WHEN p.z IS NULL THEN 0 ELSE ln(0.4) END + ln(g.c / x.c)
+    ELSE CASE WHEN p.z IS NOT NULL THEN 2 * ln(0.4) WHEN p.a IS NOT NULL THEN ln(0.4) ELSE 0 END + ln(u.c / u.total) END AS s
+    FROM p JOIN u ON p.b = u.b LEFT JOIN u x ON p.a = x.b LEFT JOIN g ON p.a = g.a AND p.b = g.b
+    LEFT JOIN g y ON p.z = y.a AND p.a = y.b LEFT JOIN h ON p.z = h.z AND p.a = h.a AND p.b = h.b)
 SELECT d.doc_id, count(s) AS n_words, round(coalesce(sum(s), 0), 4) AS log_score, round(sum(s) / nullif(count(s), 0), 6) AS mean_log_score
 FROM d LEFT JOIN s USING (doc_id) GROUP BY d.doc_id""",
 )

@@ -6,16 +6,15 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import LOWER, UPPER, stash
 from .ngram_lm import hot_and_cold, split_join
 
 #: (verdict, host, path)
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
-#: Longest context in bytes. Counts are exact tables; ``UrlModels`` keeps those of small samples in hashed cells.
+#: Longest context in bytes; counts are exact tables.
 ORDER = 5
-CELLS = 1 << 18
 #: Weight of the shorter context's estimate, in counts.
 PRIOR = 1.5
 #: Share of the labelled URLs that sets the threshold (one in so many), and the width of its histogram.
@@ -52,46 +51,6 @@ def match(host_: Column, path_: Column, rules: Sequence[tuple[str, str, str]] =
     return found
 
 
-def _cells(urls: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Cells of the context alone and with the next character, by order and character; and each character's URL."""
-    data = [START + u.encode() + b"\x03" for u in urls]
-    sizes = np.array([len(d) - ORDER for d in data], np.int64)
-    flat = np.frombuffer(b"".join(data), np.uint8).astype(np.uint64)
-    owner = np.repeat(np.arange(len(urls)), sizes)
-    first = np.cumsum(sizes + ORDER) - sizes
-    place = np.repeat(first - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes) + np.arange(sizes.sum())
-    context = np.full(len(place), 0x9E3779B97F4A7C15, np.uint64)
-    contexts, nexts = [], []
-    for order in range(ORDER + 1):
-        if order:
-            context = (context ^ (flat[place - order] + np.uint64(order << 8))) * np.uint64(0xFF51AFD7ED558CCD)
-            context ^= context >> np.uint64(29)
-        with_next = (context ^ (flat[place] + np.uint64(77777))) * np.uint64(0xC4CEB9FE1A85EC53)
-        contexts.append((context * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(46))
-        nexts.append((with_next ^ (with_next >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(46))
-    return np.array(contexts, np.int64), np.array(nexts, np.int64), owner
-
-
-class UrlModels:
-    """Counts of both classes; a URL's score is the mean over its characters of log p(accepted) - log p(rejected)."""
-
-    def __init__(self, contexts: np.ndarray, nexts: np.ndarray, threshold: float = 0.0):
-        self.contexts, self.nexts, self.threshold = contexts, nexts, threshold
-
-    def scores(self, urls: list[str]) -> np.ndarray:
-        if not urls:
-            return np.zeros(0)
-        contexts, nexts, owner = _cells(urls)
-        total = np.zeros(contexts.shape[1])
-        for kind, sign in ((1, 1.0), (0, -1.0)):
-            p = np.full(contexts.shape[1], 1 / 256)
-            for order in range(ORDER + 1):
-                seen = self.contexts[kind, order][contexts[order]]
-                p = (np.minimum(self.nexts[kind, order][nexts[order]], seen) + PRIOR * p) / (seen + PRIOR)
-            total += sign * np.log(p)
-        return np.bincount(owner, total, len(urls)) / np.bincount(owner, minlength=len(urls))
-
-
 def _windows(addresses: DataFrame) -> DataFrame:
     """(id, yes, no, h, n): how often a window of ORDER bytes and the next one, in 48 bits, stands in an address (id, address, yes, no)."""
 
