@@ -62,15 +62,18 @@ def aperiodic_fit(spark, sf):
     return rounded(G.aperiodic_fit(psd, ["recording_id"], (2.0, 30.0)), 5)
 
 
-@query(
-    "spectral_peaks",
-    f"""WITH {FIT},
+PEAKS = f"""{FIT},
 r AS (SELECT lg.recording_id, freq, p - (b - chi * f) AS flat FROM lg JOIN ft USING (recording_id)),
 m AS (SELECT *, lag(flat) OVER w AS before, lead(flat) OVER w AS after FROM r WINDOW w AS (PARTITION BY recording_id ORDER BY freq)),
 k AS (SELECT recording_id, freq AS cf, flat AS amp FROM m WHERE flat > before AND flat >= after AND flat >= 0.1),
 h AS (SELECT k.recording_id, cf, amp, min(abs(freq - cf)) FILTER (flat <= amp / 2) AS half FROM k JOIN r USING (recording_id) GROUP BY ALL),
-q AS (SELECT *, row_number() OVER (PARTITION BY recording_id ORDER BY amp DESC, cf) AS peak FROM h)
-SELECT recording_id, peak, round(cf, 5) AS cf, round(amp, 5) AS amp, round(least(greatest(2 * coalesce(half, 6), 1), 12), 5) AS bw FROM q WHERE peak <= 6""",
+q AS (SELECT *, least(greatest(2 * coalesce(half, 6), 1), 12) AS bw, row_number() OVER (PARTITION BY recording_id ORDER BY amp DESC, cf) AS peak FROM h)"""
+
+
+@query(
+    "spectral_peaks",
+    f"""WITH {PEAKS}
+SELECT recording_id, peak, round(cf, 5) AS cf, round(amp, 5) AS amp, round(bw, 5) AS bw FROM q WHERE peak <= 6""",
 )
 def spectral_peaks(spark, sf):
     psd = G.welch_psd(windows(spark, sf), RATE, ["recording_id"])
@@ -87,23 +90,79 @@ def representative_recording(spark, sf):
     return rounded(G.representative_recording(G.aperiodic_fit(psd, ["recording_id"], (2.0, 30.0))), 5)
 
 
-@query("spectral_ablation")
+# Plain sums over the bins of each window; a bin's factor is that of the line and the peaks of its recording.
+ABLATED = f"""{PEAKS},
+bins AS (SELECT bin, bin * {RATE} / {WIN} AS freq, CASE WHEN bin IN (0, {WIN // 2}) THEN 1 ELSE 2 END AS times FROM range(0, {WIN // 2 + 1}) AS b(bin)),
+x AS (SELECT recording_id, epoch, bin, any_value(freq) AS freq, any_value(times) AS times,
+  sum(v * cos(2 * {math.pi!r} * bin * t / {WIN})) AS re, sum(v * sin(2 * {math.pi!r} * bin * t / {WIN})) AS im FROM w, bins GROUP BY recording_id, epoch, bin),
+e AS (SELECT recording_id, bin, b - chi * log10(greatest(freq, 2)) AS line, coalesce((SELECT sum(pow(10, amp * exp(-2 * ((freq - cf) / bw) ** 2)) - 1)
+  FROM q WHERE q.recording_id = ft.recording_id AND peak <= 6), 0) AS rise FROM ft, bins),
+ga AS (SELECT x.*, CASE WHEN line IS NULL THEN 1 ELSE sqrt(greatest((1 - CASE WHEN re * re + im * im > 0
+  THEN pow(10, line) * rise / ((re * re + im * im) / {WIN}) ELSE 1 END) * pow(10, -greatest(line, -16)), 0)) END AS gain FROM x LEFT JOIN e USING (recording_id, bin))"""
+
+
+@query(
+    "spectral_ablation",
+    f"""WITH {ABLATED}
+SELECT recording_id, epoch, t, round(sum(times * gain * (re * cos(2 * {math.pi!r} * bin * t / {WIN}) + im * sin(2 * {math.pi!r} * bin * t / {WIN}))) / {WIN}, 4) AS v
+FROM ga, range(0, {WIN}) AS b(t) GROUP BY recording_id, epoch, t""",
+)
 def spectral_ablation(spark, sf):
     w = windows(spark, sf)
     psd = checkpoint(G.welch_psd(w, RATE, ["recording_id"]))
     fit = G.aperiodic_fit(psd, ["recording_id"], (2.0, 30.0))
     peaks = G.spectral_peaks(psd, fit, ["recording_id"], (2.0, 30.0))
-    return G.spectral_ablate(w, RATE, "both_removed", ["recording_id"], fit, peaks, (2.0, 30.0))
+    out = G.spectral_ablate(w, RATE, "both_removed", ["recording_id"], fit, peaks, (2.0, 30.0))
+    return rounded(out.select("recording_id", "epoch", F.posexplode("x").alias("t", "v")), 4)
+
+
+UP, DOWN = 3, 4
+REACH = 10 * max(UP, DOWN)
 
 
-@query("resampled_windows")
+@query(
+    "resampled_windows",
+    f"""WITH {WINDOWS},
+ks AS (SELECT l, CASE WHEN l = 0 THEN 1 ELSE sin({math.pi!r} * l / {max(UP, DOWN)}) / ({math.pi!r} * l / {max(UP, DOWN)}) END
+  * (SELECT sum(pow(6.25 * (1 - (l / {REACH}.0) ** 2), k) / pow(factorial(k::INT)::DOUBLE, 2)) FROM range(0, 31) AS s(k)) AS h FROM range({-REACH}, {REACH + 1}) AS b(l)),
+kn AS (SELECT l, {UP} * h / sum(h) OVER () AS h FROM ks)
+SELECT recording_id, epoch, m AS t, round(sum(v * h), 6) AS v FROM w, range(0, {-(-WIN * UP // DOWN)}) AS b(m), kn
+WHERE l = {DOWN} * m - {UP} * w.t GROUP BY recording_id, epoch, m""",
+)
 def resampled_windows(spark, sf):
-    return G.resample(windows(spark, sf), RATE, 48.0)
+    out = G.resample(windows(spark, sf), RATE, RATE * UP / DOWN)
+    return rounded(out.select("recording_id", "epoch", F.posexplode("x").alias("t", "v")))
+
+
+HIGH, LOW, LINE, LONG = 0.5, 28.0, 20.0, 3 * WIN - 2
+
 
+def _edge(freq) -> str:
+    return f"tan(pi() * {freq} / {RATE})"
 
-@query("filtered_windows")
+
+# The response of the filters as a kernel over the window with its odd reflections, which is cyclic.
+FILTERED = f"""{WINDOWS},
+gs AS (SELECT bin, freq, {_edge(f"least(freq, {RATE / 2 * (1 - 1e-9)!r})")} AS warped, cos(2 * pi() * freq / {RATE}) - cos(2 * pi() * {LINE} / {RATE}) AS off_,
+  tan(pi() * {LINE} / 30 / {RATE}) * sin(2 * pi() * freq / {RATE}) AS across FROM (SELECT bin, bin * {RATE} / {LONG} AS freq FROM range(1, {LONG // 2 + 1}) AS b(bin))),
+gf AS (SELECT bin, CASE WHEN bin = {LONG // 2} THEN 1 ELSE 2 END / (1 + pow((warped * warped - {_edge(HIGH)} * {_edge(LOW)}) / (warped * ({_edge(LOW)} - {_edge(HIGH)})), 8))
+  * off_ * off_ / (off_ * off_ + across * across) AS g FROM gs),
+kl AS (SELECT lag_, sum(g * cos(2 * pi() * bin * lag_ / {LONG})) / {LONG} AS h FROM gf, range(0, {LONG}) AS b(lag_) GROUP BY lag_),
+ends AS (SELECT recording_id, epoch, max(v) FILTER (t = 0) AS a, max(v) FILTER (t = {WIN - 1}) AS z FROM w GROUP BY recording_id, epoch),
+lw AS (SELECT recording_id, epoch, t + {WIN - 1} AS j, v FROM w
+  UNION ALL SELECT recording_id, epoch, {WIN - 1} - t, 2 * a - v FROM w JOIN ends USING (recording_id, epoch) WHERE t > 0
+  UNION ALL SELECT recording_id, epoch, {3 * WIN - 3} - t, 2 * z - v FROM w JOIN ends USING (recording_id, epoch) WHERE t < {WIN - 1})"""
+
+
+@query(
+    "filtered_windows",
+    f"""WITH {FILTERED}
+SELECT recording_id, epoch, b.t, round(sum(v * h), 6) AS v FROM lw, range(0, {WIN}) AS b(t), kl
+WHERE lag_ = (b.t + {WIN - 1} - j + {LONG}) % {LONG} GROUP BY recording_id, epoch, b.t""",
+)
 def filtered_windows(spark, sf):
-    return G.clean(windows(spark, sf), G.FilterPlan(RATE, highpass=0.5, lowpass=28.0, notch=20.0))
+    out = G.clean(windows(spark, sf), G.FilterPlan(RATE, highpass=HIGH, lowpass=LOW, notch=LINE))
+    return rounded(out.select("recording_id", "epoch", F.posexplode("x").alias("t", "v")))
 
 
 @query(
