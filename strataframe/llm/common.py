@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import atexit
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
@@ -17,7 +19,19 @@ LOWER = UPPER.lower()
 #: With this setting the shuffle files of a query go when it ends.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
-_stashed: list[tuple[SparkSession, str]] = []
+#: Stored intermediates: session, path, and the owner they were made for.
+_stashed: list[tuple[SparkSession, str, str | None]] = []
+_owner: list[str] = []
+
+
+@contextmanager
+def owned(name: str) -> Iterator[None]:
+    """Intermediates stored inside belong to ``name``, so that ``release(name)`` deletes them and no others."""
+    _owner.append(name)
+    try:
+        yield
+    finally:
+        _owner.pop()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,22 +72,38 @@ def stash(df: DataFrame, name: str) -> DataFrame:
         df.write.option("compression", "zstd").parquet(path)
     finally:
         spark.conf.set(CLEANUP, kept)
-    _stashed.append((spark, path))
+    _stashed.append((spark, path, _owner[-1] if _owner else None))
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release() -> None:
-    """Delete all stored intermediates; results that still read them must have been written before."""
-    while _stashed:
-        spark, path = _stashed.pop()
+def release(owner: str | None = None, keep: DataFrame | None = None) -> None:
+    """Delete stored intermediates, those of one owner or all; results that still read them must have been written before.
+
+    What ``keep`` reads stays.
+    """
+    read = "\n".join(keep.inputFiles()) if keep is not None else ""
+    for entry in list(_stashed):
+        spark, path, of = entry
+        folder = path.rpartition("/")[0]
+        if (owner is not None and of != owner) or folder.rpartition("/")[2] in read:
+            continue
+        _stashed.remove(entry)
         try:
-            jvm = spark.sparkContext._jvm
-            folder = jvm.org.apache.hadoop.fs.Path(path.rpartition("/")[0])
-            folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+            delete(spark, folder)
         except Exception:  # noqa: BLE001  the session is gone: its folder is the cluster's to clear
             return
 
 
+def delete(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def register(spark: SparkSession, path: str) -> None:
+    """Let ``release`` delete the folder above ``path``, which other code has written."""
+    _stashed.append((spark, path, None))
+
+
 atexit.register(release)
 
 

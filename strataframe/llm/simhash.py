@@ -156,8 +156,10 @@ def _shingles(docs: DataFrame, width: int, similarity: float) -> DataFrame:
 
 def _similar(docs: DataFrame, width: int, similarity: float) -> DataFrame:
     """(doc_id, content, root): rows whose sets of shingles have this Jaccard similarity, directly or through others, share a root."""
-    rows = stash(_shingles(docs, width, similarity), "shingles")
-    nodes = stash(rows.dropDuplicates(["id"]).select("id", "size", "hashes", "keys"), "nodes")
+    found = _shingles(docs, width, similarity)
+    rows = stash(found.select("doc_id", "content", "id"), "names")
+    # Sets are stored once, those of one text for each id.
+    nodes = stash(found.dropDuplicates(["id"]).select("id", "size", "hashes", "keys"), "nodes")
     shared = stash(shared_blocks(nodes.select(F.explode("keys").alias("key"), "id", "size")), "blocks")
     sets = nodes.select("id", "size", "hashes")
     first, second = (sets.toDF(end, f"{end}_size", f"{end}_hashes") for end in "uv")
