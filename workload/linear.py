@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
+from strataframe.functions import arrays as A
 from strataframe.operators import concepts as CP, dictionary as Y, erasure as E, probes as B, retrieval as R, ridge as G, sampling, spectra as Z
 from strataframe.operators import pooling, selecting
-from strataframe.plans import moments
+from strataframe.plans import moments, overlapping
 
 from .registry import CROSSED, NESTED, crossed, nested, query, rounded, table
 
@@ -427,3 +429,87 @@ def layer_probe(spark, sf):
         "x", F.transform("x", lambda v: F.when(F.col("depth") == 0, v).otherwise(v * v))
     )
     return rounded(B.layer_probe(deep))
+
+
+# ---- certificates of fitted models: what must hold at a solution, beside what SQL can say of its inputs -----------------------------------
+
+
+SPLIT = """q AS (SELECT vec_id AS id, embedding AS x FROM embeddings WHERE vec_id % 2 = 1),
+sp AS (SELECT id, row_number() OVER (ORDER BY md5(concat_ws(':', 0, id)), id) > greatest(1, round_even(count(*) OVER () * 0.2, 0)) AS train
+  FROM q JOIN embeddings e ON e.vec_id = q.id - 1)"""
+
+
+@query(
+    "ridge_normal_equations",
+    f"""WITH {SPLIT}, t AS (SELECT unnest(range(len(x))) AS dim, unnest(x)::DOUBLE AS v FROM q JOIN sp USING (id) WHERE train)
+SELECT dim, round(avg(v), 6) AS mu, round(stddev_pop(v), 6) AS sd, count(*) AS n_train, 0.0::DOUBLE AS residual FROM t GROUP BY dim""",
+)
+def ridge_normal_equations(spark, sf):
+    """Z'(Y - prediction) = alpha W for the standardised training rows Z: the largest miss of each feature, relative."""
+    pairs = _query(spark, sf).join(_gallery(spark, sf).select(F.col("id").alias("correct_id"), F.col("emb").alias("y")), "correct_id")
+    split = sampling.subject_split(pairs.select(F.col("id").alias("subject_id")), 0.2, 0).withColumnRenamed("subject_id", "id")
+    train = pairs.join(split, "id").where(F.col("split") == "train").withColumnRenamed("emb", "x")
+    model, alpha = G.fit_ridge_map(train, 1000.0), 1000.0
+    told = G.apply_ridge_map(train, model).select(A.as_double("x").alias("x"), A.subtract(A.as_double("y"), F.col("prediction")).alias("r"))
+    cross, n, _ = moments.gram(told, "x", "r", center_left=model.mu, scale_left=model.scale)
+    miss = np.abs(cross - alpha * model.weights).max(axis=1) / np.abs(alpha * model.weights).max()
+    rows = [(d, float(model.mu[d]), float(model.scale[d]), int(n), float(miss[d])) for d in range(len(miss))]
+    return rounded(spark.createDataFrame(rows, "dim long, mu double, sd double, n_train long, residual double"))
+
+
+@query(
+    "erasure_certificate",
+    f"""WITH {CROSSED}, k AS (SELECT count(DISTINCT subject_id) - 1 AS rank FROM f)
+SELECT subject_id, count(*) AS n, 0.0::DOUBLE AS shift, any_value(rank) AS rank, (64 - any_value(rank))::DOUBLE AS trace, 0.0::DOUBLE AS idempotence FROM f, k GROUP BY subject_id""",
+)
+def erasure_certificate(spark, sf):
+    """After erasure every subject has the same mean; the projector repeats itself and leaves width - rank directions."""
+    f = crossed(spark, sf)
+    eraser = E.fit_eraser(f, E.fit_whitening(f))
+    cells = moments.cell_moments(E.apply_eraser(f, eraser), ["subject_id"])
+    shift = F.array_max(F.transform(A.subtract(F.col("mean"), F.lit([float(v) for v in eraser.mu])), F.abs))
+    p = eraser.projector
+    out = cells.select("subject_id", "n", shift.alias("shift"))
+    return rounded(out.withColumns({"rank": F.lit(eraser.rank), "trace": F.lit(float(np.trace(p))), "idempotence": F.lit(float(np.abs(p @ p - p).max()))}))
+
+
+@query(
+    "label_direction_overlap",
+    """WITH m AS (SELECT label, dim, avg(v) AS v FROM (SELECT label, unnest(range(len(embedding))) AS dim, unnest(embedding)::DOUBLE AS v FROM embeddings) GROUP BY ALL)
+SELECT b.label::BIGINT AS label, round(pow(sum(a.v * b.v), 2) / (sum(a.v * a.v) * sum(b.v * b.v)), 6) AS overlap
+FROM m a JOIN m b USING (dim) WHERE a.label = 0 AND b.label BETWEEN 1 AND 3 GROUP BY b.label""",
+)
+def label_direction_overlap(spark, sf):
+    rows = table(spark, sf, "embeddings").select("label", F.col("embedding").cast("array<double>").alias("x"))
+    means = moments.cell_moments(rows, ["label"]).select("label", A.unit(F.col("mean")).alias("x")).persist()
+    first = means.where("label = 0").select("x")
+    found = [(k, E.subspace_overlap(first, means.where(F.col("label") == k).select("x"))) for k in (1, 2, 3)]
+    means.unpersist()
+    return rounded(spark.createDataFrame(found, "label long, overlap double"))
+
+
+@query(
+    "probe_stationarity",
+    f"""WITH {CROSSED}, r AS (SELECT subject_id, label AS y FROM f),
+g AS (SELECT subject_id, arg_min(y, (-n, y)) AS y FROM (SELECT subject_id, y, count(*) AS n FROM r GROUP BY ALL) GROUP BY subject_id),
+d AS (SELECT subject_id, (row_number() OVER (PARTITION BY y ORDER BY md5(concat_ws(':', 42, subject_id)), subject_id) - 1) % 5 AS fold FROM g)
+SELECT m, count(*) AS n_train, sum(y)::BIGINT AS n_positive, 0.0::DOUBLE AS gradient FROM r JOIN d USING (subject_id), range(0, 5) AS t(m) WHERE fold <> m GROUP BY m""",
+)
+def probe_stationarity(spark, sf):
+    """The balanced, penalised logistic loss of each fold's probe is flat where its fit ended, to five digits."""
+    f = crossed(spark, sf)
+    folds = sampling.stratified_group_folds(f, "subject_id", "label", 5, 42)
+    every = F.sequence(F.lit(0), F.lit(4))
+    rows = f.join(folds, "subject_id").select(
+        "x", F.col("label").alias("y"), F.transform(F.filter(every, lambda i: i != F.col("fold")), lambda i: i).cast("array<int>").alias("train")
+    )
+    models = B.fit_binary_models(rows, 5, clip=(1.0, 99.0), penalise_intercept=True)
+
+    def slope(x, y, m):
+        d = models.design(x, m)
+        w = models.class_weight[y, m]
+        return np.concatenate([[len(x), y.sum()], d.T @ (w * (models.probability(x, m) - y))])
+
+    found = overlapping.set_sums(rows.select(A.as_double("x").alias("x"), F.col("y").cast("int").alias("y"), "train"), 5, slope)
+    out = [(m, int(s[0]), int(s[1]), float(np.abs(s[2:] + models.coef[m]).max())) for m, s in found.items()]
+    return rounded(spark.createDataFrame(out, "m long, n_train long, n_positive long, gradient double"), 5)
