@@ -13,7 +13,7 @@ import numpy as np
 import pandas as pd
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from ..functions import arrays as A
 from ..functions.scalars import finite
@@ -193,13 +193,35 @@ def welch_psd(epochs: DataFrame, sfreq: float, keys: Sequence[str] = ("recording
     return out
 
 
-def _line(psd: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Least-squares line of log power on log frequency per key."""
-    sums = psd.groupBy(*keys).agg(
-        F.covar_pop("_f", "_p").alias("_c"), F.var_pop("_f").alias("_v"), F.avg("_f").alias("_mf"), F.avg("_p").alias("_mp")
-    )
-    slope = F.try_divide(F.col("_c"), F.col("_v"))
-    return sums.select(*keys, slope.alias("_slope"), (F.col("_mp") - slope * F.col("_mf")).alias("_b"))
+def _spectra(psd: DataFrame, keys: list[str], fit_range: tuple[float, float]) -> DataFrame:
+    """One row for each key with the arrays ``_f``, ``_p`` of its bins in range, in order of frequency. A spectrum has a
+    fixed number of bins."""
+    inside = psd.where((F.col("freq") >= fit_range[0]) & (F.col("freq") <= fit_range[1]) & (F.col("freq") > 0))
+    packed = inside.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(F.col("freq").cast("double").alias("freq"), F.col("psd").cast("double").alias("psd")))).alias("_s"))
+    return packed.select(*keys, F.transform("_s", lambda s: s["freq"]).alias("_f"), F.transform("_s", lambda s: s["psd"]).alias("_p"))
+
+
+def _line(f: np.ndarray, p: np.ndarray) -> tuple[float, float]:
+    """Level and slope of the least-squares line; NaN where all f are equal."""
+    off = f - f.mean()
+    spread = float(off @ off)
+    slope = float(off @ (p - p.mean())) / spread if spread > 0 else float("nan")
+    return float(p.mean()) - slope * float(f.mean()), slope
+
+
+def _log_line(freq: np.ndarray, power: np.ndarray, quantile: float) -> tuple[float, float, float]:
+    """b, chi, r2 of a spectrum; all NaN where no line can be drawn."""
+    f, p = np.log10(freq), np.log10(power)
+    b, slope = _line(f, p)
+    flat = np.maximum(p - (b + slope * f), 0.0)
+    low = flat <= np.quantile(flat, quantile)
+    if np.isnan(slope) or not low.any():
+        return (float("nan"),) * 3
+    b, slope = _line(f[low], p[low])
+    hat = b + slope * f
+    spread = p.std() * hat.std()
+    r2 = (((p - p.mean()) * (hat - hat.mean())).mean() / spread) ** 2 if spread > 0 else float("nan")
+    return b, -slope, float(r2)
 
 
 def aperiodic_fit(psd: DataFrame, keys: Sequence[str] = ("recording_id", "ch"), fit_range: tuple[float, float] = FIT_RANGE, quantile: float = 0.025) -> DataFrame:
@@ -207,54 +229,45 @@ def aperiodic_fit(psd: DataFrame, keys: Sequence[str] = ("recording_id", "ch"),
 
     Two passes: a first line, then a line through the bins whose flattened power is lowest (so that peaks do not tilt
     it). Keys with a non-positive or non-finite power in range get no row. ``r2`` compares the line with all bins.
+    Each spectrum is packed once and fitted as an array.
     """
     keys = list(keys)
-    inside = psd.where((F.col("freq") >= fit_range[0]) & (F.col("freq") <= fit_range[1]) & (F.col("freq") > 0))
-    bad = inside.where(~(F.col("psd") > 0) | ~finite(F.col("psd"))).select(*keys).distinct()
-    logs = inside.join(bad, keys, "left_anti").select(
-        *keys, "freq", F.log10("freq").alias("_f"), F.log10("psd").alias("_p")
-    )
-    first = logs.join(_line(logs, keys), keys)
-    flat = F.col("_p") - (F.col("_b") + F.col("_slope") * F.col("_f"))
-    flat = first.withColumn("_flat", F.greatest(flat, F.lit(0.0))).drop("_b", "_slope")
-    cut = flat.groupBy(*keys).agg(F.percentile("_flat", quantile).alias("_cut"))
-    low = flat.join(cut, keys).where(F.col("_flat") <= F.col("_cut"))
-    fit = _line(low, keys)
-    joined = logs.join(fit, keys).withColumn("_hat", F.col("_b") + F.col("_slope") * F.col("_f"))
-    return joined.groupBy(*keys).agg(
-        F.max("_b").alias("b"),
-        (-F.max("_slope")).alias("chi"),
-        F.pow(
-            F.try_divide(F.covar_pop("_p", "_hat"), F.stddev_pop("_p") * F.stddev_pop("_hat")), F.lit(2.0)
-        ).alias("r2"),
-    )
+
+    @F.pandas_udf("b double, chi double, r2 double")
+    def fit(freq: pd.Series, power: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([_log_line(np.asarray(f), np.asarray(p), quantile) for f, p in zip(freq, power)], columns=["b", "chi", "r2"])
+
+    spectra = _spectra(psd, keys, fit_range).where(F.forall("_p", lambda p: F.coalesce((p > 0) & finite(p), F.lit(False))))
+    return spectra.select(*keys, fit("_f", "_p").alias("_fit")).select(*keys, "_fit.*")
+
+
+def _peaks(freq: np.ndarray, flat: np.ndarray, max_peaks: int, min_height: float, widths: tuple[float, float]) -> list[dict]:
+    """Local maxima of a flattened spectrum, tallest first."""
+    top = np.zeros(len(flat), bool)
+    top[1:-1] = (flat[1:-1] > flat[:-2]) & (flat[1:-1] >= flat[2:])
+    found = []
+    for i in np.flatnonzero(top & (flat >= min_height)):
+        below = np.abs(freq - freq[i])[flat <= flat[i] / 2.0]
+        half = below.min() if len(below) else widths[1] / 2.0
+        found.append((-flat[i], freq[i], float(np.clip(2.0 * half, *widths))))
+    return [{"peak": k, "cf": float(cf), "amp": float(-amp), "bw": bw} for k, (amp, cf, bw) in enumerate(sorted(found)[:max_peaks], 1)]
 
 
 def spectral_peaks(psd: DataFrame, fit: DataFrame, keys: Sequence[str] = ("recording_id", "ch"), fit_range: tuple[float, float] = FIT_RANGE, max_peaks: int = MAX_PEAKS, min_height: float = MIN_PEAK_HEIGHT, widths: tuple[float, float] = PEAK_WIDTHS) -> DataFrame:
     """``keys, peak, cf, amp, bw``: local maxima of the flattened log spectrum, tallest first.
 
-    A spectrum has a fixed number of bins, so its neighbours and ranks are windows of bounded size. The width is twice
-    the smaller distance to half height, clipped to ``widths``.
+    The width is twice the smaller distance to half height, clipped to ``widths``. Spectra without a fit have no peaks.
     """
     keys = list(keys)
-    inside = psd.where((F.col("freq") >= fit_range[0]) & (F.col("freq") <= fit_range[1]) & (F.col("freq") > 0))
-    rows = inside.join(fit, keys).withColumn(
-        "_flat", F.log10("psd") - (F.col("b") - F.col("chi") * F.log10("freq"))
-    )
-    along = Window.partitionBy(*keys).orderBy("freq")
-    top = (F.col("_flat") > F.lag("_flat").over(along)) & (F.col("_flat") >= F.lead("_flat").over(along))
-    marked = rows.withColumn("_top", F.coalesce(top, F.lit(False))).select(*keys, "freq", "_flat", "_top")
-    peaks = marked.where(F.col("_top") & (F.col("_flat") >= min_height)).select(
-        *keys, F.col("freq").alias("cf"), F.col("_flat").alias("amp")
-    )
-    near = peaks.join(marked.select(*keys, "freq", "_flat"), keys)
-    below = F.col("_flat") <= F.col("amp") / 2.0
-    sized = near.groupBy(*keys, "cf", "amp").agg(F.min(F.when(below, F.abs(F.col("freq") - F.col("cf")))).alias("_half"))
-    width = F.least(F.greatest(2.0 * F.coalesce("_half", F.lit(widths[1] / 2.0)), F.lit(widths[0])), F.lit(widths[1]))
-    ranks = sized.withColumn("bw", width).withColumn(
-        "peak", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("amp"), "cf"))
-    )
-    return ranks.where(F.col("peak") <= max_peaks).select(*keys, "peak", "cf", "amp", "bw")
+
+    @F.pandas_udf("array<struct<peak:int,cf:double,amp:double,bw:double>>")
+    def find(freq: pd.Series, power: pd.Series, b: pd.Series, chi: pd.Series) -> pd.Series:
+        flat = [np.log10(p) - (level - slope * np.log10(f)) for f, p, level, slope in zip(freq, power, b, chi)]
+        return pd.Series([_peaks(np.asarray(f), r, max_peaks, min_height, widths) for f, r in zip(freq, flat)], dtype=object)
+
+    lines = fit.where(F.col("b").isNotNull() & ~F.isnan("b")).select(*keys, "b", "chi")
+    joined = _spectra(psd, keys, fit_range).join(lines, keys)
+    return joined.select(*keys, F.inline(find("_f", "_p", "b", "chi")))
 
 
 def spectral_gain(power: np.ndarray, freqs: np.ndarray, line: np.ndarray, peaks: np.ndarray, mode: str) -> np.ndarray:

@@ -454,6 +454,17 @@ def bootstrap_replicates(
     ).where(F.col("n") > 0)
 
 
+def register_subject_statistic(spark, name: str, stat: Callable[[np.ndarray, np.ndarray], float]) -> None:
+    """Make ``stat(means, sizes)`` of the subjects of a group an aggregate in SQL: ``SELECT …, name(mean, n) … GROUP BY …``
+    over ``cell_moments`` by subject. Arrow hands a task one group's subject means (not their rows) at a time."""
+
+    @F.pandas_udf("double")
+    def aggregate(mean: pd.Series, n: pd.Series) -> float:
+        return float(stat(np.stack(mean.to_numpy()).astype(float), n.to_numpy(float)))
+
+    spark.udf.register(name, aggregate)
+
+
 def replicate_statistics(replicates: DataFrame) -> DataFrame:
     """The built-in statistics of every replicate: ``boot`` and one column per name in ``BOOT_STATS``."""
     vectors = ("sx", "sxx_cell", "sxx_subject", "sw", "sl")

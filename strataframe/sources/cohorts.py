@@ -6,7 +6,8 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, Row, SparkSession, functions as F, types as T
+from pyspark.sql.udtf import AnalyzeArgument, AnalyzeResult
 
 from ..contracts import ContractError, require_rows
 from ..functions import arrays as A
@@ -112,8 +113,6 @@ def extract_features(windows: DataFrame, extractor: str | Callable, dim: int, ba
     schema = windows.select(*keep).schema
     if layers:
         schema = schema.add("depth", "integer")
-    from pyspark.sql import types as T
-
     schema = T.StructType([*schema.fields, T.StructField("x", T.ArrayType(T.DoubleType()))])
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -135,6 +134,49 @@ def extract_features(windows: DataFrame, extractor: str | Callable, dim: int, ba
     return windows.mapInPandas(scan, schema)
 
 
+def register_layered_extractor(spark: SparkSession, name: str, extractor: str | Callable, dim: int, batch: int = 16, signal: str = "signal") -> None:
+    """Make a layered extractor callable from SQL: ``SELECT * FROM name(TABLE(windows) PARTITION BY recording_id)``.
+
+    The result has the table's columns without ``signal``, then ``depth`` and ``x``; its schema is worked out from the
+    table when the query is analysed. A partition is fed to the function ``batch`` windows at a time, so it may be of any
+    size. A table without ``signal`` is refused before anything runs.
+    """
+    make = get_extractor(extractor) if isinstance(extractor, str) else (lambda: extractor)
+
+    class Layered:
+        def __init__(self):
+            self.fn, self.held = None, []
+
+        @staticmethod
+        def analyze(table: AnalyzeArgument) -> AnalyzeResult:
+            if not table.isTable or signal not in table.dataType.fieldNames():
+                raise ContractError(f"{name} takes a table with a column {signal!r}")
+            kept = [f for f in table.dataType.fields if f.name != signal]
+            return AnalyzeResult(T.StructType([*kept, T.StructField("depth", T.IntegerType()), T.StructField("x", T.ArrayType(T.DoubleType()))]))
+
+        def _flush(self) -> Iterator[tuple]:
+            if self.held:
+                self.fn = self.fn or make()
+                out = np.asarray(self.fn(np.stack([np.asarray(s, dtype=float) for _, s in self.held])), dtype=float)
+                if out.shape[-1] != dim:
+                    raise ValueError(f"extractor returned width {out.shape[-1]}, expected {dim}")
+                for i, (kept, _) in enumerate(self.held):
+                    for depth, layer in enumerate(out):
+                        yield (*kept, depth, layer[i].tolist())
+                self.held = []
+
+        def eval(self, row: Row) -> Iterator[tuple]:
+            fields = row.asDict()
+            self.held.append((tuple(v for k, v in fields.items() if k != signal), fields[signal]))
+            if len(self.held) >= batch:
+                yield from self._flush()
+
+        def terminate(self) -> Iterator[tuple]:
+            yield from self._flush()
+
+    spark.udtf.register(name, F.udtf(Layered))
+
+
 def feature_table(extracted: DataFrame) -> DataFrame:
     """Extracted windows as features with a row id, the 64-bit digest of recording (of any type) and window."""
     return extracted.withColumn("row_id", F.xxhash64("recording_id", "window_idx"))

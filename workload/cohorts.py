@@ -8,12 +8,12 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from strataframe import session
-from strataframe.operators import pooling as P, ridge, sampling, segment as S, selecting as X
+from strataframe.operators import pooling as P, ridge, sampling, segment as S, selecting as X, variance as V
 from strataframe.plans import moments
 from strataframe.sources import cohorts as C
 from strataframe.streaming import decode as D
 
-from .registry import crossed, query, rounded, table
+from .registry import NESTED, crossed, nested, query, rounded, table
 from .sequences import SIGNAL, signal
 from .signals import WINDOWS, windows
 
@@ -135,6 +135,32 @@ def extracted_layers(spark, sf):
     return rounded(out.select("recording_id", "epoch", "depth", F.col("x")[0].alias("a")), 8)
 
 
+@query(
+    "layers_by_sql",
+    f"""WITH {WINDOWS} SELECT recording_id, epoch, depth, round(CASE depth WHEN 0 THEN avg(v) ELSE min(v) END, 8) AS a
+FROM w, (VALUES (0), (1)) AS d(depth) GROUP BY recording_id, epoch, depth""",
+)
+def layers_by_sql(spark, sf):
+    C.register_extractor("mean_and_least", lambda: lambda x: np.stack([x.mean(axis=2), x.min(axis=2)]))
+    C.register_layered_extractor(spark, "mean_and_least", "mean_and_least", 1)
+    C.channel_windows_to_signal(windows(spark, sf), ["recording_id", "epoch"]).createOrReplaceTempView("windows_by_sql")
+    out = spark.sql("SELECT recording_id, epoch, depth, x[0] AS a FROM mean_and_least(TABLE(windows_by_sql) PARTITION BY recording_id)")
+    return rounded(out, 8)
+
+
+@query(
+    "statistic_by_sql",
+    f"""WITH {NESTED}, m AS (SELECT label, subject_id, dim, avg(v) AS m FROM fl GROUP BY ALL),
+d AS (SELECT label, dim, var_pop(m) AS v, stddev_pop(m) AS s FROM m GROUP BY label, dim)
+SELECT label::BIGINT AS label, round(sum(v), 6) AS spread FROM d GROUP BY label""",
+)
+def statistic_by_sql(spark, sf):
+    """A user's statistic of the subject means of each label, called from SQL."""
+    V.register_subject_statistic(spark, "subject_spread", lambda means, sizes: float(means.var(axis=0).sum()))
+    moments.cell_moments(nested(spark, sf), ["label", "subject_id"]).createOrReplaceTempView("subject_means_by_sql")
+    return rounded(spark.sql("SELECT label, subject_spread(mean, n) AS spread FROM subject_means_by_sql GROUP BY label"))
+
+
 @query(
     "stimulus_cohort",
     """WITH p AS (SELECT p_type AS image, p_brand AS cls, p_partkey AS row, unnest([0, 1, 2]) AS t,
