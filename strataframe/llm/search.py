@@ -15,7 +15,7 @@ from .common import running_sums, stash
 K1, B = 1.2, 0.75
 TOP = 10
 #: Documents of a shard at most, and of a block whose largest impact is kept for each term.
-SHARD, BLOCK = 8192, 32
+SHARD, BLOCK = 4096, 32
 #: Query terms that are sent to the shards at once (16 bytes each); a longer query goes alone.
 QUERY_TERMS = 3_000_000
 #: Scores are compared after rounding to so many digits; equal ones are ordered by doc_id.
@@ -126,12 +126,14 @@ class Searcher:
         for name, kind in KINDS.items():
             setattr(self, name, np.frombuffer(row[name], kind))
         self.count = len(self.doc_ids)
+        self.scored = 0  # documents whose scores were worked out, over all searches
 
     def top(self, terms: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """The k best documents (places in the shard) and their scores; those without a common term don't count.
 
-        The sum of a block's weighted peaks bounds the score of its documents. The most promising blocks are scored
-        first; their k-th best score is a threshold that every block with a smaller bound falls short of.
+        The sum of a block's weighted peaks bounds the score of its documents. Blocks are scored from the largest bound
+        down, a few, then twice as many each time; the k-th best score so far is a threshold that rises with each
+        stretch, and ends the search at the first block that falls short of it.
         """
         at = np.searchsorted(self.terms, terms)
         found = at < len(self.terms)
@@ -142,14 +144,19 @@ class Searcher:
         entry, owner = _ranges(self.entries[at], self.entries[at + 1])
         weight, block = weights[owner], self.blocks[entry]
         bound = np.bincount(block, weight * self.peaks[entry], -(-self.count // BLOCK))
-        wanted = min(len(bound), 2 + k // 4)
-        first = np.zeros(len(bound), bool)
-        first[np.argpartition(-bound, wanted - 1)[:wanted]] = True
-        scores = self._scores(entry, weight, first[block])
-        threshold = np.partition(scores, -k)[-k] if len(scores) > k else 0.0
-        rest = (bound >= threshold - 2 * 10.0**-DIGITS) & ~first & (bound > 0)
-        if rest.any():
-            scores = scores + self._scores(entry, weight, rest[block])
+        # Blocks in falling order of their bounds; each stretch of scored blocks can raise the threshold for the next.
+        ranked = np.argsort(-bound, kind="stable")
+        ranked = ranked[: np.count_nonzero(bound > 0)]
+        scores, threshold, done, wanted = np.zeros(self.count), 0.0, 0, 2 + k // 4
+        while done < len(ranked) and bound[ranked[done]] >= threshold - 2 * 10.0**-DIGITS:
+            stretch = ranked[done : done + wanted]
+            stretch = stretch[bound[stretch] >= threshold - 2 * 10.0**-DIGITS]
+            chosen = np.zeros(len(bound), bool)
+            chosen[stretch] = True
+            scores += self._scores(entry, weight, chosen[block])
+            threshold = np.partition(scores, -k)[-k] if self.count > k else 0.0
+            done, wanted = done + len(stretch), 2 * wanted
+        self.scored += min(done * BLOCK, self.count)
         scores = np.round(scores, DIGITS)
         hits = np.flatnonzero(scores > 0)
         if len(hits) > k:
