@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from ..contracts import ContractError
+from ..functions.draws import digest
 from ..functions.scalars import round_half_even
 from ..plans.hashed import hash_ranked, take_hashed
 from ..plans.moments import attach
 from ..plans.ordered import HOT_ROWS, ranked
+from ..session import checkpoint
 
 
 def subsample(df: DataFrame, n: int, seed: int = 0, ids: Sequence[str] = ("row_id",)) -> DataFrame:
@@ -99,6 +103,62 @@ def seeded_group_folds(df: DataFrame, group: str, label: str, k: int, seeds: Seq
     return rows.select(group, "job", ((F.col("_r") - 1) % k).cast("int").alias("fold"))
 
 
+def _least_spread(counts: np.ndarray, weight: np.ndarray, k: int, held: np.ndarray | None = None, apart: bool = False) -> np.ndarray:
+    """Fold of each row of label counts, one after the other: the fold in which the sum of squared label shares over all
+    folds grows least, then the smallest, then the first. ``apart``: no two rows share a fold."""
+    held = np.zeros((k, counts.shape[1])) if held is None else held
+    out = np.empty(len(counts), np.int32)
+    free = np.ones(k, bool)
+    for i, row in enumerate(counts):
+        grows = np.where(free, np.round(held @ (row * weight), 12), np.inf)
+        best = np.flatnonzero(grows == grows.min())
+        fold = best[np.argmin(held[best].sum(axis=1))]
+        held[fold] += row
+        out[i] = fold
+        free[fold] = not apart
+    return out
+
+
+def balanced_group_folds(df: DataFrame, group: str, label: str, k: int, seed: int = 42, part_groups: int = 20_000) -> DataFrame:
+    """``group, fold``: whole groups with any mix of labels, so dealt that every label is spread evenly over the folds.
+
+    Groups are taken from the largest to the smallest, measured in shares of their labels (ties in hash order), each to
+    the fold where it disturbs the balance of labels least. Up to about ``part_groups`` groups are dealt in one task; more are cut into
+    parts by hash, and the folds of a part are matched to those of all parts before it in the same manner. State is
+    k x labels numbers. ``stratified_group_folds`` looks at each group's majority label only.
+    """
+    counts = df.groupBy(group, label).agg(F.count(F.lit(1)).alias("_c"))
+    totals = {r[0]: r["n"] for r in counts.groupBy(label).agg(F.sum("_c").alias("n")).collect()}
+    labels = sorted(totals, key=lambda y: (y is None, y))
+    weight = np.array([1.0 / totals[y] ** 2 for y in labels])
+    cells = [F.coalesce(F.sum(F.when(F.col(label).eqNullSafe(F.lit(y)), F.col("_c"))), F.lit(0)).cast("double") for y in labels]
+    wide = counts.groupBy(group).agg(F.array(*cells).alias("_n")).withColumn("_h", digest(seed, F.col(group)))
+    parts = max(1, -(-wide.count() // part_groups))
+    wide = wide.withColumn("_part", F.pmod(F.xxhash64("_h"), F.lit(parts)).cast("int"))
+    schema = wide.select(group, "_part", "_n").withColumn("_at", F.lit(0)).schema
+
+    def deal(pdf: pd.DataFrame) -> pd.DataFrame:
+        n = np.stack(pdf["_n"].to_numpy()).astype(float)
+        order = np.lexsort((pdf["_h"].to_numpy().astype(str), -np.round((n**2 * weight).sum(axis=1), 15)))
+        at = np.empty(len(pdf), np.int32)
+        at[order] = _least_spread(n[order], weight, k)
+        return pdf[[group, "_part", "_n"]].assign(_at=at)
+
+    dealt = wide.groupBy("_part").applyInPandas(deal, schema)
+    if parts == 1:
+        return dealt.select(group, F.col("_at").alias("fold"))
+    dealt = checkpoint(dealt)
+    sums = dealt.groupBy("_part", "_at").agg(*[F.sum(F.col("_n")[i]).alias(f"n{i}") for i in range(len(labels))]).toPandas()
+    held, matched = np.zeros((k, len(labels))), []
+    for part, own in sums.sort_values(["_part", "_at"]).groupby("_part"):  # k rows for each part
+        n = own[[f"n{i}" for i in range(len(labels))]].to_numpy(float)
+        order = np.argsort(-n.sum(axis=1), kind="stable")
+        folds = _least_spread(n[order], weight, k, held, apart=True)
+        matched += [(int(part), int(own["_at"].iloc[i]), int(f)) for i, f in zip(order, folds)]
+    named = df.sparkSession.createDataFrame(matched, "_part int, _at int, fold int")
+    return dealt.join(F.broadcast(named), ["_part", "_at"]).select(group, "fold")
+
+
 def group_folds(df: DataFrame, group: str, k: int, hot_rows=HOT_ROWS) -> DataFrame:
     """``group, fold``: groups from largest to smallest, dealt back and forth so that fold sizes stay close."""
     sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("_c"))

@@ -1,6 +1,7 @@
 """Ordered, hashed and quantile plans: split groups give what a plain window gives."""
 
 import hashlib
+import itertools
 
 import numpy as np
 import pytest
@@ -185,3 +186,38 @@ def test_keyed_bijections_are_bijections_and_spread(size):
         assert np.abs(mean - (size - 1) / 2).max() < 6 * size / np.sqrt(12 * 400)
         pairs = {tuple(p) for p in at[:, :2]}
         assert len(pairs) > 0.6 * min(400, size * (size - 1))
+
+
+def best_imbalance(counts, k):
+    """Least sum of squared label shares over all ways to deal the groups into folds."""
+    share = counts / counts.sum(axis=0)
+    best = np.inf
+    for deal in itertools.product(range(k), repeat=len(counts)):
+        best = min(best, sum((share[np.array(deal) == f].sum(axis=0) ** 2).sum() for f in range(k)))
+    return best
+
+
+def test_balanced_folds_are_close_to_the_best_deal(spark):
+    rng = np.random.default_rng(9)
+    for trial in range(3):
+        counts = rng.integers(0, 6, (8, 2)) + np.array([[0, 1]])
+        rows = [(g, y) for g in range(8) for y in range(2) for _ in range(counts[g, y])]
+        got = sampling.balanced_group_folds(spark.createDataFrame(rows, "g long, y int"), "g", "y", 3, seed=trial).toPandas().set_index("g").fold
+        share = counts / counts.sum(axis=0)
+        mine = sum((share[(got.reindex(range(8)) == f).to_numpy()].sum(axis=0) ** 2).sum() for f in range(3))
+        largest = (share**2).sum(axis=1).max()
+        assert len(got) == 8 and mine <= best_imbalance(counts, 3) + largest
+
+
+@pytest.mark.parametrize("part_groups", [20_000, 25])
+def test_balanced_folds_of_mixed_groups(spark, part_groups):
+    rng = np.random.default_rng(1)
+    rows = [(g, None if y == 2 else int(y)) for g in range(150) for y in rng.choice(3, rng.integers(1, 12), p=[0.7, 0.2, 0.1])]
+    df = spark.createDataFrame(rows, "g long, y int")
+    folds = sampling.balanced_group_folds(df, "g", "y", 4, part_groups=part_groups)
+    assert sorted(map(tuple, folds.collect())) == sorted(map(tuple, sampling.balanced_group_folds(df.repartition(5), "g", "y", 4, part_groups=part_groups).collect()))
+    pdf = df.join(folds, "g").toPandas()
+    pdf["y"] = pdf["y"].fillna(2)
+    assert pdf.groupby("g").fold.nunique().max() == 1 and folds.count() == 150
+    per = pdf.groupby(["y", "fold"]).size().unstack(fill_value=0)
+    assert ((per.max(axis=1) - per.min(axis=1)) <= 11).all()

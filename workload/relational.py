@@ -175,6 +175,21 @@ def stratified_group_folds(spark, sf):
     return rounded(sampling.stratified_group_folds(table(spark, sf, "events"), "user_id", "event_type", 5, 42))
 
 
+@query(
+    "balanced_group_folds",
+    """SELECT event_type, count(*) AS n_rows, 5 AS n_folds, true AS balanced FROM events GROUP BY event_type""",
+)
+def balanced_group_folds(spark, sf):
+    """Rows of each label over the folds of users with mixed labels: folds differ by no more than the largest user does."""
+    events = table(spark, sf, "events").select("user_id", "event_type")
+    folds = sampling.balanced_group_folds(events, "user_id", "event_type", 5)
+    whole = folds.groupBy("user_id").agg(F.max("fold").alias("fold"), F.count(F.lit(1)).alias("times"))
+    each = events.join(whole.where("times = 1"), "user_id").groupBy("event_type", "user_id", "fold").agg(F.count(F.lit(1)).alias("n"))
+    per = each.groupBy("event_type", "fold").agg(F.sum("n").alias("n"), F.max("n").alias("most"))
+    spread = F.max("n") - F.min("n") <= F.max("most")
+    return rounded(per.groupBy("event_type").agg(F.sum("n").alias("n_rows"), F.count(F.lit(1)).alias("n_folds"), spread.alias("balanced")))
+
+
 @query(
     "group_folds",
     """WITH r AS (SELECT user_id, row_number() OVER (ORDER BY count(*) DESC, user_id) - 1 AS r FROM events GROUP BY user_id)
