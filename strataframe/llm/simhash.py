@@ -22,8 +22,10 @@ DISTANCE = 2
 BLOCKS = 5
 #: Blocks with more fingerprints than this are linked through shared one-bit neighbours instead of in pairs.
 LARGE_BLOCK = 32
-#: Rounds in which large blocks of similar shingle sets are linked to one of them.
-ROUNDS = 4
+#: Blocks of at most so many shingle sets are compared in pairs at once; larger ones are linked to one of them in rounds.
+PAIR_BLOCK, ROUNDS = 4, 4
+#: Ids of sets to be compared, up to which they go to all tasks (8 bytes each), so that other sets stay where they are.
+FEW_IDS = 1 << 20
 #: Shingles whose bits are counted at once.
 CHUNK = 1 << 14
 
@@ -162,14 +164,18 @@ def _similar(docs: DataFrame, width: int, similarity: float) -> DataFrame:
     nodes = stash(found.dropDuplicates(["id"]).select("id", "size", "hashes", "keys"), "nodes")
     shared = stash(shared_blocks(nodes.select(F.explode("keys").alias("key"), "id", "size")), "blocks")
     sets = nodes.select("id", "size", "hashes")
-    first, second = (sets.toDF(end, f"{end}_size", f"{end}_hashes") for end in "uv")
 
     def verified(pairs: DataFrame) -> DataFrame:
+        # Only the sets of these pairs are moved: their ids go to all tasks if they are few enough.
+        pairs = stash(pairs, "pairs")
+        ends = stash(pairs.select(F.col("u").alias("id")).union(pairs.select("v")).distinct(), "ends")
+        needed = sets.join(F.broadcast(ends) if ends.count() <= FEW_IDS else ends, "id", "left_semi")
+        first, second = (needed.toDF(end, f"{end}_size", f"{end}_hashes") for end in "uv")
         both = F.size(F.array_intersect("u_hashes", "v_hashes"))
         return pairs.join(first, "u").join(second, "v").where(both >= similarity * (F.col("u_size") + F.col("v_size") - both) - 1e-9).select("u", "v")
 
     near = F.least("a_size", "b_size") >= similarity * F.greatest("a_size", "b_size") - 1e-9
-    roots = connected_components(connecting_links(shared, near, near, verified, LARGE_BLOCK, ROUNDS))
+    roots = connected_components(connecting_links(shared, near, near, verified, PAIR_BLOCK, ROUNDS))
     return rows.select("doc_id", "content", "id").join(roots, F.col("id") == F.col("node"), "left").select("doc_id", "content", F.coalesce("root", "id").alias("root"))
 
 
