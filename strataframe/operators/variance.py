@@ -401,9 +401,10 @@ def bootstrap_replicates(
     """
     from ..plans.hashed import hash_ranked
 
-    total = cell_moments(features, [], vec).first()
+    cells = checkpoint(cell_moments(features, [subject, label], vec))  # the rows are read once
+    total = pool(cells, []).first()
     center = F.lit([float(v) for v in total["mean"]])
-    cells = cell_moments(features, [subject, label], vec).withColumn("mean", A.subtract(F.col("mean"), center))
+    cells = cells.withColumn("mean", A.subtract(F.col("mean"), center))
     subjects = pool(cells, [subject]).select(
         subject, F.col("n").alias("_ns"), F.col("mean").alias("_ms"), F.col("n_cells").alias("_k")
     )

@@ -9,6 +9,7 @@ from strataframe.functions import arrays as A
 from strataframe.operators import concepts as CP, dictionary as Y, erasure as E, probes as B, retrieval as R, ridge as G, sampling, spectra as Z
 from strataframe.operators import pooling, selecting
 from strataframe.plans import moments, overlapping
+from strataframe.session import checkpoint
 
 from .registry import CROSSED, NESTED, crossed, nested, query, rounded, table
 
@@ -128,9 +129,9 @@ def ridge_retrieval(spark, sf):
     # features are decoded to the embedding of the row before them, then retrieved among held-out targets
     pairs = _query(spark, sf).join(_gallery(spark, sf).select(F.col("id").alias("correct_id"), F.col("emb").alias("y")), "correct_id")
     split = sampling.subject_split(pairs.select(F.col("id").alias("subject_id")), 0.2, 0).withColumnRenamed("subject_id", "id")
-    rows = pairs.join(split, "id").withColumnRenamed("emb", "x")
+    rows = checkpoint(pairs.join(split, "id").withColumnRenamed("emb", "x"))  # read by the fit and by the test
     model = G.fit_ridge_map(rows.where(F.col("split") == "train"), 1000.0)
-    test = G.apply_ridge_map(rows.where(F.col("split") == "test"), model)
+    test = checkpoint(G.apply_ridge_map(rows.where(F.col("split") == "test"), model))
     gallery = test.select(F.col("correct_id").alias("id"), F.col("y").alias("emb"))
     queries = test.select("id", "correct_id", F.col("prediction").alias("emb"))
     return rounded(R.evaluate_retrieval(queries, gallery, (1, 5, 10)))
