@@ -15,7 +15,7 @@ from oracle import compare, duck  # noqa: E402
 
 import __spark_entry__ as entry  # noqa: E402
 import corpus_pipeline  # noqa: E402
-from strataframe.llm import bpe, simhash  # noqa: E402
+from strataframe.llm import bpe, common, simhash  # noqa: E402
 from strataframe.llm.queries import QUERIES, SQL  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
@@ -25,9 +25,9 @@ def rows_of(spark, name):
     return spark.read.parquet(f"{SF}/{name}.parquet").collect()
 
 
-def test_all_ten_operators_and_the_pipeline_are_registered():
+def test_all_operators_and_the_pipeline_are_registered():
     names = entry.queries()
-    assert all(any(n.startswith(f"op{i}_") for n in names) for i in range(1, 11)) and "pipeline" in names
+    assert all(any(n.startswith(f"op{i}_") for n in names) for i in range(1, 14)) and "pipeline" in names
     assert set(SQL) <= set(entry.oracle_sql())
 
 
@@ -150,3 +150,31 @@ def test_near_dedup_stage_misses_no_similar_texts(spark):
 
 def test_pipeline_query(spark):
     assert entry.queries()["pipeline"](spark, SF).columns == ["doc_id", "n_tokens", "ids"]
+
+
+def test_stages_free_what_earlier_ones_stored(spark, tmp_path):
+    common.release("pipeline")
+    docs, held = spark.read.parquet(f"{SF}/documents.parquet").limit(60), []
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        before = [path for _, path, owner in common._stashed if owner == "pipeline"]
+        out = stage(spark, docs, SF)
+        left = [path for _, path, owner in common._stashed if owner == "pipeline"]
+        assert not set(before) & set(left)
+        held.append(len(left))
+        out.write.parquet(str(tmp_path / name))
+        docs = spark.read.parquet(str(tmp_path / name))
+    assert sum(held) > 3
+    kept = common.stash(docs.select("doc_id"), "mine")
+    common.release("pipeline", keep=docs)
+    assert kept.count() == docs.count() and not any(owner == "pipeline" for _, _, owner in common._stashed)
+
+
+@pytest.mark.parametrize("rows", [[], [(1, None, None, None, None), (None, None, None, None, None), (2, "", None, None, 0)]])
+def test_stages_take_empty_and_null_tables(spark, tmp_path, rows):
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, SF)
+        out.write.parquet(str(tmp_path / name))
+        docs = spark.read.schema(out.schema).parquet(str(tmp_path / name))
+        assert docs.count() <= len(rows)
+    assert docs.columns == ["doc_id", "n_tokens", "ids"]
