@@ -26,6 +26,8 @@ LARGE_BLOCK = 32
 PAIR_BLOCK, ROUNDS = 4, 4
 #: Ids of sets to be compared, up to which they go to all tasks (8 bytes each), so that other sets stay where they are.
 FEW_IDS = 1 << 20
+#: Bits of a set's sketch.
+SKETCH = 1024
 #: Shingles whose bits are counted at once.
 CHUNK = 1 << 14
 
@@ -130,15 +132,16 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def _shingles(docs: DataFrame, width: int, similarity: float) -> DataFrame:
-    """(doc_id, content, id, size, hashes, keys) of every row.
+    """(doc_id, content, id, size, bits, hashes, keys) of every row.
 
     ``id`` tells different word lists apart, ``hashes`` are the different shingles, ``keys`` the smallest of them, so many
-    that two sets at the similarity share one: they have at least similarity * size of either in common.
+    that two sets at the similarity share one: they have at least similarity * size of either in common. ``bits`` tells
+    for SKETCH classes of hashes whether a set has an odd number of them: where two sets differ, so do the sets.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (b.slice(at, 1000) for b in batches for at in range(0, b.num_rows, 1000)):
-            ids, sets, keys = [], [], []
+            ids, sets, keys, bits = [], [], [], []
             for text in batch.column(2):
                 found = _WORD.findall((text.as_py() or "").encode("utf-8", "surrogatepass").translate(_LOWER))
                 count = max(1, len(found) - width + 1) if found else 0
@@ -146,14 +149,16 @@ def _shingles(docs: DataFrame, width: int, similarity: float) -> DataFrame:
                 own = np.unique(np.frombuffer(hashed, ">i8").astype(np.int64))
                 ids.append(np.frombuffer(xxhash.xxh64_digest(b" ".join(found), SEED), ">i8")[0])
                 sets.append(own)
+                odd = np.bincount(own & (SKETCH - 1), minlength=SKETCH) & 1
+                bits.append(np.packbits(odd.astype(np.uint8)).view(np.int64))
                 keys.append(own[: len(own) - math.ceil(similarity * len(own) - 1e-9) + 1])
             sizes = [len(x) for x in sets]
-            columns = [pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(sets, pa.list_(pa.int64())), pa.array(keys, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *columns], names=["doc_id", "content", "id", "size", "hashes", "keys"])
+            columns = [pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(bits, pa.list_(pa.int64())), pa.array(sets, pa.list_(pa.int64())), pa.array(keys, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *columns], names=["doc_id", "content", "id", "size", "bits", "hashes", "keys"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     whole = docs.select("doc_id", content(F.col("text")).alias("content"), F.col("text").cast("string"))
-    return whole.mapInArrow(run, f"doc_id {kind}, content bigint, id bigint, size bigint, hashes array<bigint>, keys array<bigint>")
+    return whole.mapInArrow(run, f"doc_id {kind}, content bigint, id bigint, size bigint, bits array<bigint>, hashes array<bigint>, keys array<bigint>")
 
 
 def _similar(docs: DataFrame, width: int, similarity: float) -> DataFrame:
@@ -161,18 +166,23 @@ def _similar(docs: DataFrame, width: int, similarity: float) -> DataFrame:
     found = _shingles(docs, width, similarity)
     rows = stash(found.select("doc_id", "content", "id"), "names")
     # Sets are stored once, those of one text for each id.
-    nodes = stash(found.dropDuplicates(["id"]).select("id", "size", "hashes", "keys"), "nodes")
+    nodes = stash(found.dropDuplicates(["id"]).select("id", "size", "bits", "hashes", "keys"), "nodes")
     shared = stash(shared_blocks(nodes.select(F.explode("keys").alias("key"), "id", "size")), "blocks")
-    sets = nodes.select("id", "size", "hashes")
+    sets, sketches = nodes.select("id", "hashes"), nodes.select("id", "size", "bits")
 
     def verified(pairs: DataFrame) -> DataFrame:
-        # Only the sets of these pairs are moved: their ids go to all tasks if they are few enough.
-        pairs = stash(pairs, "pairs")
-        ends = stash(pairs.select(F.col("u").alias("id")).union(pairs.select("v")).distinct(), "ends")
+        # Sets that differ in d classes differ in d hashes at least; what this bound leaves is compared in full, and only
+        # those sets are moved (their ids go to all tasks if they are few enough).
+        u, v = (sketches.toDF(end, f"{end}_size", f"{end}_bits") for end in "uv")
+        differ = F.aggregate(F.zip_with("u_bits", "v_bits", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda a, n: a + n)
+        total = F.col("u_size") + F.col("v_size")
+        enough = lambda both: both >= similarity * (total - both) - 1e-9
+        likely = stash(pairs.join(u, "u").join(v, "v").where(enough((total - differ) / 2)).select("u", "v", "u_size", "v_size"), "likely")
+        ends = stash(likely.select(F.col("u").alias("id")).union(likely.select("v")).distinct(), "ends")
         needed = sets.join(F.broadcast(ends) if ends.count() <= FEW_IDS else ends, "id", "left_semi")
-        first, second = (needed.toDF(end, f"{end}_size", f"{end}_hashes") for end in "uv")
+        first, second = (needed.toDF(end, f"{end}_hashes") for end in "uv")
         both = F.size(F.array_intersect("u_hashes", "v_hashes"))
-        return pairs.join(first, "u").join(second, "v").where(both >= similarity * (F.col("u_size") + F.col("v_size") - both) - 1e-9).select("u", "v")
+        return likely.join(first, "u").join(second, "v").where(enough(both)).select("u", "v")
 
     near = F.least("a_size", "b_size") >= similarity * F.greatest("a_size", "b_size") - 1e-9
     roots = connected_components(connecting_links(shared, near, near, verified, PAIR_BLOCK, ROUNDS))
