@@ -8,7 +8,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..contracts import ContractError, require_empty, require_rows
 from ..functions.scalars import class_index, finite, sex_code, subject_number
+from ..plans.moments import attach
 from ..plans.ordered import HOT_ROWS, ranked
+from ..session import checkpoint
+from .nearest import nearest
 
 
 # ---- recordings -----------------------------------------------------------------------------------------------------------
@@ -244,30 +247,19 @@ def nearest_electrodes(channels: DataFrame, vocabulary: DataFrame, positions: Da
     """``ch, electrode``: vocabulary names pass through (any case); other names take the nearest vocabulary electrode by
     3-D distance, the first in vocabulary order on ties; a name with no position takes the first electrode.
 
-    ``vocabulary(name, ord, x, y, z)`` and ``positions(ch, x, y, z)`` are montage tables of fixed size, so the nearest
-    name is found in an array of the vocabulary without joining every pair.
+    ``vocabulary(name, ord, x, y, z)`` and ``positions(ch, x, y, z)`` are joined by name; the nearest electrode comes
+    from a grid, so neither table has to fit into a task.
     """
     names = channels.select(ch).distinct().withColumn("_u", F.upper(F.trim(ch)))
-    vocab = vocabulary.select(F.upper("name").alias("_u"), F.col("name").alias("_same"))
-    located = positions.select(F.upper(F.trim(ch)).alias("_u"), F.struct("x", "y", "z").alias("_p")).dropDuplicates(["_u"])
-    listed = vocabulary.where(F.col("x").isNotNull()).agg(
-        F.sort_array(F.collect_list(F.struct("ord", "name", "x", "y", "z"))).alias("_vocab")
-    )
-    rows = names.join(F.broadcast(vocab), "_u", "left").join(F.broadcast(located), "_u", "left").join(F.broadcast(listed))
-    scored = F.transform(
-        "_vocab",
-        lambda e: F.struct(
-            (
-                (e["x"] - F.col("_p.x")) * (e["x"] - F.col("_p.x"))
-                + (e["y"] - F.col("_p.y")) * (e["y"] - F.col("_p.y"))
-                + (e["z"] - F.col("_p.z")) * (e["z"] - F.col("_p.z"))
-            ).alias("d2"),
-            e["ord"].alias("ord"),
-            e["name"].alias("name"),
-        ),
-    )
-    nearest = F.when(F.col("_p").isNotNull(), F.array_min(scored)["name"]).otherwise(F.col("_vocab")[0]["name"])
-    return rows.select(ch, F.coalesce("_same", nearest).alias("electrode"))
+    vocab = vocabulary.select(F.upper("name").alias("_u"), F.col("name").alias("_same")).dropDuplicates(["_u"])
+    located = positions.select(F.upper(F.trim(ch)).alias("_u"), "x", "y", "z").dropDuplicates(["_u"])
+    placed = vocabulary.where(F.col("x").isNotNull())
+    first = placed.agg(F.min_by("name", "ord").alias("_first"))
+    rows = checkpoint(names.join(vocab, "_u", "left"))
+    strange = rows.where(F.col("_same").isNull()).select("_u").distinct().join(located, "_u")
+    near = nearest(strange, placed.select("ord", "name", "x", "y", "z"), "_u", "ord").select("_u", F.col("found.name").alias("_near"))
+    joined = attach(rows.join(near, "_u", "left"), first)
+    return joined.select(ch, F.coalesce("_same", "_near", "_first").alias("electrode"))
 
 
 def channel_positions(channels: DataFrame, montage: DataFrame, ch: str = "ch", extreme: float = 0.13, bins: int = 100) -> DataFrame:

@@ -9,7 +9,7 @@ from helpers import table
 from pyspark.sql import Window, functions as F
 
 from strataframe.functions import draws
-from strataframe.operators import direction as D, sampling
+from strataframe.operators import direction as D, nearest, sampling
 from strataframe.plans import hashed, ordered, overlapping, quantiles
 
 
@@ -221,3 +221,38 @@ def test_balanced_folds_of_mixed_groups(spark, part_groups):
     assert pdf.groupby("g").fold.nunique().max() == 1 and folds.count() == 150
     per = pdf.groupby(["y", "fold"]).size().unstack(fill_value=0)
     assert ((per.max(axis=1) - per.min(axis=1)) <= 11).all()
+
+
+@pytest.mark.parametrize("shape", ["cloud", "flat", "one place", "far"])
+def test_nearest_by_grid_equals_brute_force(spark, shape):
+    rng = np.random.default_rng(6)
+    t, p = rng.normal(size=(200, 3)), rng.normal(size=(90, 3))
+    if shape == "flat":
+        t[:, 1:], p[:, 1:] = np.round(t[:, 1:]), 0.0
+        t[:, 0], p[:, 0] = rng.integers(0, 40, 200), rng.integers(-5, 60, 90) + 0.5  # many ties
+    elif shape == "one place":
+        t[:] = t[0]
+    elif shape == "far":
+        p[:30] += 1e4
+    targets = spark.createDataFrame([(int(o), f"n{o}", *map(float, v)) for o, v in zip(rng.permutation(200), t)], "ord long, name string, x double, y double, z double")
+    order = np.array([r.ord for r in targets.collect()])
+    points = spark.createDataFrame([(i, *map(float, v)) for i, v in enumerate(p)], "id long, x double, y double, z double")
+    got = {r.id: r.found.ord for r in nearest.nearest(points, targets, "id", "ord").collect()}
+    d2 = ((p[:, None] - t[None]) ** 2).sum(-1)
+    for i in range(90):
+        best = np.flatnonzero(d2[i] <= d2[i].min() * (1 + 1e-12))
+        assert got[i] in order[best] and (len(best) > 1 and shape != "flat" or got[i] == order[best].min())
+    assert nearest.nearest(points, targets.limit(0), "id", "ord").count() == 0 and nearest.nearest(points.limit(0), targets, "id", "ord").count() == 0
+
+
+def test_nearest_moves_no_table_whole(spark):
+    n = 1_000_000
+    cloud = lambda seed: spark.range(n).select("id", *[(F.rand(seed + i) * 100).alias(a) for i, a in enumerate("xyz")])
+    few = cloud(1).where("id % 2000 = 0")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = nearest.nearest(few, cloud(7).withColumnRenamed("id", "ord"), "id", "ord")
+        assert found.count() == 500
+        assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
