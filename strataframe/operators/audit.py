@@ -146,11 +146,14 @@ def _schema(row: Mapping) -> str:
 
 
 def sweep(features: DataFrame, dataset: str = "dataset", n_null_seeds: int = 10, seed: int = 0) -> DataFrame:
-    """Variance shares, null excess and mean direction cosine of every data set in one job: the data set is a grouping
-    column. Data sets with fewer than two subjects or labels come out as failed rows."""
+    """Variance shares, null excess, mean and median direction cosine of every data set in the same jobs: the data set is a
+    grouping column. Data sets with fewer than two subjects or labels come out as failed rows."""
     null = variance.null_control(features, n_null_seeds, seed, by=[dataset])
-    cosine = direction.mean_cosine(direction.unit_directions(features, by=[dataset]), by=[dataset])
+    directions = direction.unit_directions(features, by=[dataset])
+    cosine = direction.mean_cosine(directions, by=[dataset])
+    median = direction.direction_consistency_by(directions, dataset)
     joined = null.join(cosine.select(dataset, "mean_cosine"), dataset, "left")
+    joined = joined.join(median.select(dataset, F.col("c_bar").alias("median_cosine")), dataset, "left").fillna(NAN, ["median_cosine"])
     status = (
         F.when(F.col("n_subjects") < 2, "failed: fewer than two subjects")
         .when(F.col("n_labels") < 2, "failed: fewer than two labels")

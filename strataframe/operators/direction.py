@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from ..functions import arrays as A, draws
 from ..plans.hashed import hash_ranked
@@ -138,6 +138,67 @@ def direction_consistency(
     )
 
 
+def direction_consistency_by(directions: DataFrame, by: str, subject: str = "subject_id", tile: int = 4096, bins: int = 1 << 14) -> DataFrame:
+    """``direction_consistency`` of every data set ``by`` in the same passes: ``by, c_bar, iqr_low, iqr_high,
+    n_subjects_paired``, NaN below two subjects. The driver holds a histogram of the open bins for each data set."""
+    spark = directions.sparkSession
+    directions = checkpoint(directions.select(by, subject, "d"))
+    sizes = [(r[0], int(r["n"])) for r in directions.groupBy(by).agg(F.count(F.lit(1)).alias("n")).collect()]
+    kind = directions.schema[by]
+    numbers = spark.createDataFrame(
+        [(name, g, max(1, -(-n // tile))) for g, (name, n) in enumerate(sizes)], T.StructType([kind]).add("g", "integer").add("_tiles", "integer")
+    ).withColumnRenamed(by, "_by")
+    tagged = directions.join(F.broadcast(numbers), directions[by].eqNullSafe(F.col("_by"))).select(
+        "g", F.col(subject).alias("id"), "d", "_tiles", F.pmod(F.xxhash64(subject), F.col("_tiles").cast("long")).cast("int").alias("t")
+    )
+    every = F.sequence(F.lit(0), F.col("_tiles") - 1)
+    left = tagged.select("g", "id", "d", F.lit(0).alias("side"), F.col("t").alias("a"), F.explode(F.filter(every, lambda o: o >= F.col("t"))).alias("b"))
+    right = tagged.select("g", "id", "d", F.lit(1).alias("side"), F.explode(F.filter(every, lambda o: o < F.col("t"))).alias("a"), F.col("t").alias("b"))
+    tiles = left.unionByName(right)
+    points, spans = {}, {}
+    for g, (_, n) in enumerate(sizes):
+        if n >= 2:
+            points[g] = {p: p * (n * (n - 1) // 2 - 1) for p in (0.25, 0.5, 0.75)}
+            for v in points[g].values():
+                for rank in (int(np.floor(v)), int(np.ceil(v))):
+                    spans[g, rank] = (-1.0 - 1e-9, 1.0 + 1e-9, rank)
+    for _ in range(3):
+        wanted = {g: sorted({x[:2] for (of, _), x in spans.items() if of == g}) for g in points}
+
+        def count(pdf: pd.DataFrame) -> pd.DataFrame:
+            g, out = int(pdf["g"].iloc[0]), [pd.DataFrame({"g": [], "s": [], "c": [], "n": []})]
+            values = _tile_cosines(pdf) if g in wanted else np.zeros(0)
+            for s, (lo, hi) in enumerate(wanted.get(g, ())):
+                cell = np.floor((values[(values >= lo) & (values < hi)] - lo) / (hi - lo) * bins).astype(int)
+                c, n = np.unique(np.clip(cell, 0, bins - 1), return_counts=True)
+                out.append(pd.DataFrame({"g": g, "s": s, "c": c, "n": n}))
+            return pd.concat(out)
+
+        counted = tiles.groupBy("g", "a", "b").applyInPandas(count, "g int, s int, c int, n long").groupBy("g", "s", "c").agg(F.sum("n").alias("n"))
+        hist: dict[tuple[int, int], list] = {}
+        for r in counted.collect():
+            hist.setdefault((r["g"], r["s"]), []).append((r["c"], r["n"]))
+        for (g, rank), (lo, hi, inside) in spans.items():
+            cells, n = (np.array(x) for x in zip(*sorted(hist[g, wanted[g].index((lo, hi))])))
+            upto = np.cumsum(n)
+            at = int(np.searchsorted(upto, inside, side="right"))
+            step = (hi - lo) / bins
+            spans[g, rank] = (lo + cells[at] * step, lo + (cells[at] + 1) * step, inside - int(upto[at] - n[at]))
+
+    def value(g: int, p: float) -> float:
+        if g not in points:
+            return float("nan")
+        at = points[g][p]
+        low, high = (sum(spans[g, int(r)][:2]) / 2.0 for r in (np.floor(at), np.ceil(at)))
+        return float(low + (high - low) * (at - np.floor(at)))
+
+    rows = [(name, value(g, 0.5), value(g, 0.25), value(g, 0.75), n) for g, (name, n) in enumerate(sizes)]
+    schema = T.StructType([kind])
+    for name in ("c_bar", "iqr_low", "iqr_high"):
+        schema = schema.add(name, "double")
+    return spark.createDataFrame(rows, schema.add("n_subjects_paired", "long"))
+
+
 # ---- mean pairwise cosine: closed form, no pairs -------------------------------------------------------------------------
 
 

@@ -124,6 +124,11 @@ def test_pairwise_cosine_paths_agree(spark, tile):
     for r, tol in ((direct, 1e-12), (counted, 1e-6)):
         assert [r["c_bar"], r["iqr_low"], r["iqr_high"]] == pytest.approx(want, abs=tol)
     assert D.mean_cosine(dirs).first()["mean_cosine"] == pytest.approx(upper.mean())
+    sets = dirs.withColumn("ds", F.lit("all")).unionByName(dirs.where("subject_id < 9").withColumn("ds", F.lit("some"))).unionByName(dirs.where("subject_id = 0").withColumn("ds", F.lit(None).cast("string")))
+    by = {r.ds: (r.c_bar, r.iqr_low, r.iqr_high, r.n_subjects_paired) for r in D.direction_consistency_by(sets, "ds", tile=tile).collect()}
+    some = (d[:9] @ d[:9].T)[np.triu_indices(9, 1)]
+    assert by["all"] == pytest.approx((*want, 30), abs=1e-12) and by["some"] == pytest.approx((np.median(some), *np.percentile(some, [25, 75]), 9), abs=1e-12)
+    assert np.isnan(by[None][0]) and by[None][3] == 1
     few = D.direction_consistency(dirs.where("subject_id = 0")).first()
     assert np.isnan(few["c_bar"]) and few["n_subjects_paired"] == 1
 

@@ -34,6 +34,27 @@ def direction_consistency(spark, sf):
     return rounded(D.direction_consistency(D.unit_directions(crossed(spark, sf))))
 
 
+BY_SET = f"""WITH {CROSSED},
+c AS (SELECT row_id % 3 AS ds, subject_id, label, dim, count(*) AS n, avg(v) AS m FROM fl GROUP BY ALL),
+df AS (SELECT a.ds, a.subject_id, a.dim, b.m - a.m AS d FROM c a JOIN c b ON a.ds = b.ds AND a.subject_id = b.subject_id AND a.dim = b.dim
+  AND a.label = 0 AND b.label = 1 WHERE a.n >= 2 AND b.n >= 2),
+nm AS (SELECT ds, subject_id, sqrt(sum(d * d)) AS mag FROM df GROUP BY ds, subject_id HAVING sqrt(sum(d * d)) > 1e-12),
+u AS (SELECT df.ds, df.subject_id, dim, d / mag AS d FROM df JOIN nm ON df.ds = nm.ds AND df.subject_id = nm.subject_id),
+pc AS (SELECT a.ds, a.subject_id AS i, b.subject_id AS j, sum(a.d * b.d) AS cos FROM u a JOIN u b ON a.ds = b.ds AND a.dim = b.dim
+  AND a.subject_id < b.subject_id GROUP BY ALL)"""
+
+
+@query(
+    "direction_consistency_by_set",
+    BY_SET
+    + """ SELECT ds AS dataset, round(median(cos), 6) AS c_bar, round(quantile_cont(cos, 0.25), 6) AS iqr_low,
+  round(quantile_cont(cos, 0.75), 6) AS iqr_high, (SELECT count(*) FROM nm WHERE nm.ds = pc.ds) AS n_subjects_paired FROM pc GROUP BY ds""",
+)
+def direction_consistency_by_set(spark, sf):
+    rows = crossed(spark, sf).withColumn("dataset", F.col("row_id") % 3)
+    return rounded(D.direction_consistency_by(D.unit_directions(rows, by=["dataset"]), "dataset"))
+
+
 POOLED = f"""WITH {CROSSED},
 r AS (SELECT recording_id, subject_id, label, dim, avg(v) AS v FROM fl GROUP BY ALL),
 c AS (SELECT subject_id, label, dim, avg(v) AS m FROM r GROUP BY ALL),
