@@ -26,8 +26,8 @@ LARGE_BLOCK = 32
 PAIR_BLOCK, ROUNDS = 4, 4
 #: Ids of sets to be compared, up to which they go to all tasks (8 bytes each), so that other sets stay where they are.
 FEW_IDS = 1 << 20
-#: Bits of a set's sketch.
-SKETCH = 1024
+#: Bits of a set's sketch, and of that of sets which it leaves; up to so many of the first kind go to all tasks (10 MB).
+SKETCH, WIDE_SKETCH, FEW_SKETCHES = 1024, 8192, 1 << 16
 #: Shingles whose bits are counted at once.
 CHUNK = 1 << 14
 
@@ -149,8 +149,7 @@ def _shingles(docs: DataFrame, width: int, similarity: float) -> DataFrame:
                 own = np.unique(np.frombuffer(hashed, ">i8").astype(np.int64))
                 ids.append(np.frombuffer(xxhash.xxh64_digest(b" ".join(found), SEED), ">i8")[0])
                 sets.append(own)
-                odd = np.bincount(own & (SKETCH - 1), minlength=SKETCH) & 1
-                bits.append(np.packbits(odd.astype(np.uint8)).view(np.int64))
+                bits.append(_parities(own, SKETCH))
                 keys.append(own[: len(own) - math.ceil(similarity * len(own) - 1e-9) + 1])
             sizes = [len(x) for x in sets]
             columns = [pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(bits, pa.list_(pa.int64())), pa.array(sets, pa.list_(pa.int64())), pa.array(keys, pa.list_(pa.int64()))]
@@ -161,6 +160,34 @@ def _shingles(docs: DataFrame, width: int, similarity: float) -> DataFrame:
     return whole.mapInArrow(run, f"doc_id {kind}, content bigint, id bigint, size bigint, bits array<bigint>, hashes array<bigint>, keys array<bigint>")
 
 
+def _parities(own: np.ndarray, classes: int) -> np.ndarray:
+    """A bit for each class of hashes: whether a set has an odd number of them. As longs."""
+    odd = np.bincount(own & (classes - 1), minlength=classes) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+def _wide_sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        sets = [h.values.to_numpy(zero_copy_only=False) for h in batch.column("hashes")]
+        bits = pa.array([_parities(x, WIDE_SKETCH) for x in sets], pa.list_(pa.int64()))
+        yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([len(x) for x in sets], pa.int64()), bits], names=["id", "size", "bits"])
+
+
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("u").alias("id")).union(pairs.select("v")).distinct()
+
+
+def _bounded(pairs: DataFrame, sketches: DataFrame, similarity: float, small: bool) -> DataFrame:
+    """The pairs (u, v) that may reach the similarity by what ``sketches`` (id, size, bits) say."""
+    u, v = (sketches.toDF(end, f"{end}_size", f"{end}_bits") for end in "uv")
+    if small:
+        u, v = F.broadcast(u), F.broadcast(v)
+    differ = F.aggregate(F.zip_with("u_bits", "v_bits", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda a, n: a + n)
+    total = F.col("u_size") + F.col("v_size")
+    both = (total - differ) / 2
+    return pairs.join(u, "u").join(v, "v").where(both >= similarity * (total - both) - 1e-9).select("u", "v")
+
+
 def _similar(docs: DataFrame, width: int, similarity: float) -> DataFrame:
     """(doc_id, content, root): rows whose sets of shingles have this Jaccard similarity, directly or through others, share a root."""
     found = _shingles(docs, width, similarity)
@@ -171,18 +198,21 @@ def _similar(docs: DataFrame, width: int, similarity: float) -> DataFrame:
     sets, sketches = nodes.select("id", "hashes"), nodes.select("id", "size", "bits")
 
     def verified(pairs: DataFrame) -> DataFrame:
-        # Sets that differ in d classes differ in d hashes at least; what this bound leaves is compared in full, and only
-        # those sets are moved (their ids go to all tasks if they are few enough).
-        u, v = (sketches.toDF(end, f"{end}_size", f"{end}_bits") for end in "uv")
-        differ = F.aggregate(F.zip_with("u_bits", "v_bits", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda a, n: a + n)
-        total = F.col("u_size") + F.col("v_size")
-        enough = lambda both: both >= similarity * (total - both) - 1e-9
-        likely = stash(pairs.join(u, "u").join(v, "v").where(enough((total - differ) / 2)).select("u", "v", "u_size", "v_size"), "likely")
-        ends = stash(likely.select(F.col("u").alias("id")).union(likely.select("v")).distinct(), "ends")
+        # Sets whose sketches differ in d classes differ in d hashes at least. Pairs that this bound leaves are held against
+        # it once more with wider sketches, what is left then is compared in full; only those sets are moved.
+        pairs = stash(pairs, "pairs")
+        ends = stash(_ends(pairs), "ends")
+        told = sketches.join(F.broadcast(ends) if ends.count() <= FEW_IDS else ends, "id", "left_semi")
+        likely = stash(_bounded(pairs, told, similarity, ends.count() <= FEW_SKETCHES), "likely")
+        ends = stash(_ends(likely), "ends")
+        needed = sets.join(F.broadcast(ends) if ends.count() <= FEW_IDS else ends, "id", "left_semi")
+        wide = stash(needed.mapInArrow(_wide_sketches, "id bigint, size bigint, bits array<bigint>"), "wide")
+        likely = stash(_bounded(likely, wide, similarity, False), "likely")
+        ends = stash(_ends(likely), "ends")
         needed = sets.join(F.broadcast(ends) if ends.count() <= FEW_IDS else ends, "id", "left_semi")
         first, second = (needed.toDF(end, f"{end}_hashes") for end in "uv")
         both = F.size(F.array_intersect("u_hashes", "v_hashes"))
-        return likely.join(first, "u").join(second, "v").where(enough(both)).select("u", "v")
+        return likely.join(first, "u").join(second, "v").where(both >= similarity * (F.size("u_hashes") + F.size("v_hashes") - both) - 1e-9).select("u", "v")
 
     near = F.least("a_size", "b_size") >= similarity * F.greatest("a_size", "b_size") - 1e-9
     roots = connected_components(connecting_links(shared, near, near, verified, PAIR_BLOCK, ROUNDS))
